@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from framesift.functions.pixels import average_hash_hex, decode
 
@@ -43,7 +44,7 @@ def box_mean_grid(grid: Column, size: int, rows: int, cols: int) -> Column:
     return F.array(*cells)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def average_hash_image(image: pd.DataFrame) -> pd.Series:
     """Hash of an ``image`` struct column (Spark's image source); null if not decodable."""
     return pd.Series(
