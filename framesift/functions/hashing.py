@@ -12,21 +12,30 @@ from pyspark.sql.types import StringType
 from framesift.functions.pixels import average_hash_hex, decode
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def average_hash_grid(grid: Column, cells: int = 64) -> Column:
     """Hex hash of a row-major grey grid: one bit per cell, set when above the mean.
 
-    Written out per cell (no lambda), so the whole hash is one generated function.
-    ``cells`` is a multiple of 4, at most 64.
+    The bits are folded into one long in the JVM. ``cells`` is a multiple of 4, at most 64.
+    (Written out cell by cell the generated code outgrows the compiler and runs slower.)
     """
     if cells % 4 or not 4 <= cells <= 64:
         raise ValueError("cells must be a multiple of 4 between 4 and 64")
-    values = [F.get(grid, i).cast("double") for i in range(cells)]
-    mean = reduce(lambda a, b: a + b, values) / F.lit(float(cells))
-    bits = [
-        F.shiftleft((v > mean).cast("long"), cells - 1 - i) for i, v in enumerate(values)
-    ]
-    word = reduce(lambda a, b: a.bitwiseOR(b), bits)
-    return F.lpad(F.lower(F.hex(word)), cells // 4, "0")
+
+    def word(g: Column) -> Column:
+        mean = F.aggregate(g, F.lit(0.0), lambda acc, v: acc + v) / F.lit(float(cells))
+        return _let(
+            mean,
+            lambda m: F.aggregate(
+                g, F.lit(0).cast("long"), lambda acc, v: F.shiftleft(acc, 1).bitwiseOR((v > m).cast("long"))
+            ),
+        )
+
+    return F.lpad(F.lower(F.hex(_let(grid.cast("array<double>"), word))), cells // 4, "0")
 
 
 def box_mean_grid(grid: Column, size: int, rows: int, cols: int) -> Column:
