@@ -6,20 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.operators.skew import join_to_unique
+from framesift.session import save_table
 
 
 def hash_duplicates(hashes: DataFrame, id_col: str, hash_col: str = "hash") -> DataFrame:
     """(id, hash, kept): one row per duplicate with the id of the image that stays.
 
+    ``hashes`` is read twice, so it should be a stored table and not the hashing itself.
+
     The first id per hash comes from an aggregation with map-side combine, so a hash shared
     by a large part of the set costs one row per task; only hashes that occur twice or more
     take part in the join back.
     """
     rows = hashes.select(F.col(id_col), F.col(hash_col)).filter(F.col(hash_col).isNotNull())
-    firsts = (
+    firsts = save_table(
         rows.groupBy(hash_col)
         .agg(F.min(id_col).alias("kept"), F.count(F.lit(1)).alias("_copies"))
-        .filter(F.col("_copies") > 1)
+        .filter(F.col("_copies") > 1),
+        "firsts",
     )
     return (
         join_to_unique(rows, firsts, [hash_col], weight="_copies")

@@ -23,10 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.operators.similarity import similar_groups
-from framesift.operators.skew import HOT_ROWS, join_to_unique, ordered_rank, ordered_slices
+from framesift.functions.vectors import cosine
+from framesift.operators.near_copies import twin_groups
+from framesift.operators.similarity import check_threshold, distinct_pairs, equal_groups
+from framesift.operators.skew import join_to_unique, ordered_rank, ordered_slices
 from framesift.session import save_table
 
+MERGE_ABOVE = 20_000  # distinct vectors from which on near copies are merged
 TASK_ROWS = 200_000  # arrivals plus edges that one task may sweep
 
 
@@ -207,7 +210,7 @@ def _no_result() -> pd.DataFrame:
 
 
 def match_groups(groups: DataFrame, edges: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
-    """(moved, kept, similarity) from stored ``similar_groups`` output."""
+    """(moved, kept, similarity) from stored groups (id, rep, copies) and edges between reps."""
     kind = groups.schema["id"].dataType.simpleString()
     links = edges.select(F.col("earlier").alias("rep"), F.col("later").alias("other"), "similarity").unionByName(
         edges.select(F.col("later").alias("rep"), F.col("earlier").alias("other"), "similarity")
@@ -215,7 +218,7 @@ def match_groups(groups: DataFrame, edges: DataFrame, task_rows: int = TASK_ROWS
     degrees = links.groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
     # images alone in their group and without an edge are never paired
     active = save_table(
-        join_to_unique(groups, degrees, ["rep"], "left", n_rows=None if groups.count() >= HOT_ROWS else 0)
+        join_to_unique(groups, degrees, ["rep"], "left", n_rows=groups.count())
         .filter((F.col("copies") > 1) | F.col("degree").isNotNull())
         .select("id", "rep", F.coalesce("degree", F.lit(0)).alias("degree")),
         "active",
@@ -265,12 +268,53 @@ def match_groups(groups: DataFrame, edges: DataFrame, task_rows: int = TASK_ROWS
     return small.unionByName(rest)
 
 
+def _merged_groups(
+    groups: DataFrame, distinct: DataFrame, threshold: float, sizes: dict
+) -> tuple[DataFrame, DataFrame]:
+    """Equal vectors and twins joined into one group table, with the edges between groups."""
+    twins, edges = twin_groups(distinct, threshold, **sizes)
+    joined = twins.filter(F.col("id") != F.col("rep")).select(F.col("id").alias("rep"), F.col("rep").alias("twin"))
+    n_rows = groups.count()
+    moved = save_table(
+        join_to_unique(groups.select("id", "rep"), joined, ["rep"], "left", n_rows=n_rows).select(
+            "id", F.coalesce("twin", "rep").alias("rep")
+        ),
+        "groups",
+    )
+    copies = save_table(moved.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    merged = save_table(join_to_unique(moved, copies, ["rep"], weight="copies"), "groups")
+    return merged, edges.withColumn("similarity", F.lit(0.0))
+
+
 def greedy_similar_pairs(
-    df: DataFrame, id_col: str, vec_col: str, threshold: float, task_rows: int = TASK_ROWS, **sizes: int
+    df: DataFrame,
+    id_col: str,
+    vec_col: str,
+    threshold: float,
+    task_rows: int = TASK_ROWS,
+    merge_above: int = MERGE_ABOVE,
+    **sizes: int,
 ) -> DataFrame:
-    """Stored (moved, kept, similarity): each image is in at most one pair."""
-    groups, edges = similar_groups(df, id_col, vec_col, threshold, **sizes)
-    return save_table(match_groups(groups, edges, task_rows), "pairs")
+    """Stored (moved, kept, similarity): each image is in at most one pair.
+
+    Up to ``merge_above`` distinct vectors all similar pairs are listed; beyond, twins are
+    merged first, so that a large group of near copies has no quadratic number of edges.
+    """
+    threshold = check_threshold(threshold)
+    vectors, groups, distinct, n_distinct = equal_groups(df, id_col, vec_col)
+    if n_distinct <= merge_above:
+        edges = save_table(distinct_pairs(distinct, threshold, n_distinct, **sizes), "edges")
+        return save_table(match_groups(groups, edges, task_rows), "pairs")
+    groups, edges = _merged_groups(groups, distinct, threshold, sizes)
+    pairs = save_table(match_groups(groups, edges, task_rows).select("moved", "kept"), "pairs")
+    left = vectors.select(F.col("id").alias("moved"), F.col("vec").alias("mv"))
+    right = vectors.select(F.col("id").alias("kept"), F.col("vec").alias("kv"))
+    return save_table(
+        pairs.join(left, "moved").join(right, "kept").select(
+            "moved", "kept", cosine(F.col("mv"), F.col("kv")).alias("similarity")
+        ),
+        "pairs",
+    )
 
 
 def number_pairs(pairs: DataFrame) -> DataFrame:

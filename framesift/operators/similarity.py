@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from framesift.operators.skew import join_to_unique
 from framesift.session import save_table
 
-BLOCK_ROWS = 8192  # rows per block of a cell; a task holds two blocks
+BLOCK_ROWS = 4096  # rows per block of a cell; a task holds two blocks
 CELL_ROWS = 50_000  # aimed at vectors per cell
 PIVOT_BYTES = 64 << 20  # bound on the pivot matrix shipped with the tasks
 MAX_PIVOTS = 1024
@@ -45,16 +45,21 @@ def vector_groups(vectors: DataFrame) -> DataFrame:
     """(id, rep, copies): rep is the first id among equal vectors.
 
     Vectors are compared by two independent hashes, 96 bits together, so only the narrow
-    keys are shuffled.
+    keys are shuffled; only keys that occur twice or more are joined back.
     """
-    keyed = vectors.select(
-        "id", F.xxhash64("vec").alias("k1"), F.hash("vec").alias("k2")
+    keyed = save_table(vectors.select("id", F.xxhash64("vec").alias("k1"), F.hash("vec").alias("k2")), "keys")
+    equal = save_table(
+        keyed.groupBy("k1", "k2")
+        .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+        .filter(F.col("copies") > 1),
+        "equal",
+    )
+    return join_to_unique(keyed, equal, ["k1", "k2"], "left", weight="copies").select(
+        "id", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")
     )
-    groups = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    return join_to_unique(keyed, groups, ["k1", "k2"], weight="copies").select("id", "rep", "copies")
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
+def unit_rows(rows: np.ndarray) -> np.ndarray:
     rows = rows.astype(np.float64)
     return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
 
@@ -75,7 +80,7 @@ def choose_pivots(vectors: DataFrame, n_rows: int, cell_rows: int = CELL_ROWS) -
     rows = sample.select("vec").toPandas()["vec"]  # at most 4 * MAX_PIVOTS rows
     if len(rows) < 2:
         return None
-    units = _unit(np.stack(rows.to_numpy()))
+    units = unit_rows(np.stack(rows.to_numpy()))
     # farthest-first: each next pivot is the sample vector least similar to those chosen
     chosen = [0]
     nearest = units @ units[0]
@@ -94,7 +99,7 @@ def _cells_udf(pivots: np.ndarray, threshold: float):
 
     @F.pandas_udf("struct<home int, visits array<int>>")
     def cells(vec: pd.Series) -> pd.DataFrame:
-        scores = _unit(np.stack(vec.to_numpy())) @ pivots.T
+        scores = unit_rows(np.stack(vec.to_numpy())) @ pivots.T
         home = scores.argmax(axis=1)
         lead = scores[np.arange(len(home)), home][:, None] - scores
         visit = lead <= radius * apart[home]
@@ -114,7 +119,7 @@ def _pair_kernel(threshold: float, id_type: pa.DataType):
         n = table.num_rows
         ids = table.column("id").combine_chunks()
         flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        unit = _unit(flat.reshape(n, -1))
+        unit = unit_rows(flat.reshape(n, -1))
         home = table.column("is_home").to_numpy().astype(bool)
         block = table.column("block").to_numpy()
         key = ids.to_numpy(zero_copy_only=False)
@@ -191,20 +196,14 @@ def distinct_pairs(
     )
 
 
-def similar_groups(
-    df: DataFrame, id_col: str, vec_col: str, threshold: float, **sizes: int
-) -> tuple[DataFrame, DataFrame]:
-    """Stored (groups, edges): groups of equal vectors, and pairs of their first members.
-
-    Together they hold every similar pair: two members of one group, or one member of
-    each end of an edge.
-    """
+def equal_groups(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Vectors (id, vec), stored groups of equal ones (id, rep, copies), stored distinct
+    vectors (the first of each group), and their number."""
     vectors = usable_vectors(df, id_col, vec_col)
     groups = save_table(vector_groups(vectors), "groups")
     firsts = groups.filter(F.col("id") == F.col("rep")).select("id")
     distinct = save_table(vectors.join(firsts, "id", "left_semi"), "vectors")
-    edges = distinct_pairs(distinct, threshold, distinct.count(), **sizes)
-    return groups, save_table(edges, "edges")
+    return vectors, groups, distinct, distinct.count()
 
 
 def cosine_pairs(df: DataFrame, id_col: str, vec_col: str, threshold: float, **sizes: int) -> DataFrame:
@@ -213,7 +212,8 @@ def cosine_pairs(df: DataFrame, id_col: str, vec_col: str, threshold: float, **s
     ``n_pairs`` counts the pairs of copies a row stands for; a group of equal vectors gives
     one row with both ends equal. Copies are thus never written out pair by pair.
     """
-    groups, edges = similar_groups(df, id_col, vec_col, threshold, **sizes)
+    _, groups, distinct, n_distinct = equal_groups(df, id_col, vec_col)
+    edges = save_table(distinct_pairs(distinct, threshold, n_distinct, **sizes), "edges")
     firsts = groups.filter(F.col("id") == F.col("rep")).select("rep", "copies")
     left = firsts.select(F.col("rep").alias("earlier"), F.col("copies").alias("_a"))
     right = firsts.select(F.col("rep").alias("later"), F.col("copies").alias("_b"))

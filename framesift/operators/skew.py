@@ -28,26 +28,27 @@ def join_to_unique(
     """Equi join of ``rows`` (any number per key) with ``lookup`` (one row per key).
 
     Rows of hot keys are spread over ``salts`` sub-keys and the lookup row of a hot key is
-    repeated once per sub-key, so no single task receives a whole hot key. Cold keys are
-    joined as usual. ``weight`` names a lookup column with the number of rows per key, if
-    an earlier aggregation has it already; otherwise it is counted here with map-side
-    combine. When the caller knows ``n_rows`` and it is below ``hot_rows`` no key can be
-    hot and the plain join is returned. ``weight`` stays in the result.
+    repeated once per sub-key, so no single task receives a whole hot key. Without hot keys
+    this is the plain join.
+
+    ``weight`` names a column of a stored ``lookup`` with the number of rows per key; else
+    the keys of ``rows`` are counted with map-side combine, unless ``n_rows``, the size of
+    ``rows``, is known to be below ``hot_rows``. ``weight`` stays in the result.
     """
     on = list(on)
     if n_rows is not None and n_rows < hot_rows:
         return rows.join(lookup, on, how)
-    counts = (
-        lookup.select(*on, F.col(weight).alias("_n"))
-        if weight
-        else rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    hot = F.broadcast(counts.filter(F.col("_n") >= hot_rows).select(*on, F.lit(True).alias("_hot")))
+    if weight:
+        hot = lookup.filter(F.col(weight) >= hot_rows).select(*on)
+    else:
+        counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+        hot = save_table(counts.filter(F.col("_n") >= hot_rows).select(*on), "hot")
+    if not hot.head(1):
+        return rows.join(lookup, on, how)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     # a hash of the row, not rand(): a re-run of a lost task must give the same salts
     spread = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
-    salted = rows.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))
-    )
+    salted = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
     repeat = F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0)))
     repeated = lookup.join(hot, on, "left").withColumn("_salt", F.explode(repeat)).drop("_hot")
     return salted.drop("_hot").join(repeated, [*on, "_salt"], how).drop("_salt")

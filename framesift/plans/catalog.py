@@ -21,7 +21,7 @@ from framesift.operators.similarity import cosine_pairs as all_pairs
 from framesift.operators.skew import ordered_rank
 from framesift.plans import stages
 from framesift.plans import tables as tb
-from framesift.session import save_table, scratch_root
+from framesift.session import save_table, scratch_root, ship_package
 from framesift.sinks import write_routes
 from framesift.sources.images import file_parts
 
@@ -32,7 +32,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[fn.__name__] = fn
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, folder)
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -123,9 +127,14 @@ def request_key(spark, folder):
 # duplicates
 
 
+def stored_hashes(spark, folder) -> DataFrame:
+    """Hashing reads the wide vectors once; everything after it reads (id, hash)."""
+    return save_table(tb.coarse_hashes(spark, folder), "hashes")
+
+
 @query
 def hash_duplicates(spark, folder):
-    return dup.hash_duplicates(tb.coarse_hashes(spark, folder), "vec_id")
+    return dup.hash_duplicates(stored_hashes(spark, folder), "vec_id")
 
 
 @query
@@ -135,7 +144,7 @@ def hash_stats(spark, folder):
 
 @query
 def remaining_after_hash(spark, folder):
-    hashes = tb.coarse_hashes(spark, folder)
+    hashes = stored_hashes(spark, folder)
     return rt.remaining(hashes, dup.hash_duplicates(hashes, "vec_id"), "vec_id")
 
 
@@ -162,7 +171,7 @@ def pair_report(spark, folder):
 
 def two_step(spark, folder, methods=BOTH) -> stages.Similarity:
     return stages.similarity_stage(
-        tb.coarse_hashes(spark, folder), tb.vectors(spark, folder), "vec_id", "embedding", tb.THRESHOLD, methods
+        stored_hashes(spark, folder), tb.vectors(spark, folder), "vec_id", "embedding", tb.THRESHOLD, methods
     )
 
 

@@ -180,18 +180,22 @@ CACHE_SCHEMA = "request_key string, version long, pos int, filename string, capt
 
 
 def read_cache(spark, path: str) -> DataFrame:
-    """Latest stored captions per request key: (request_key, pos, filename, caption)."""
+    """Rows of the caption cache; empty before the first write."""
     try:
-        rows = spark.read.schema(CACHE_SCHEMA).parquet(path)
+        return spark.read.schema(CACHE_SCHEMA).parquet(path)
     except AnalysisException:
-        rows = spark.createDataFrame([], CACHE_SCHEMA)
-    latest = rows.groupBy("request_key").agg(F.max("version").alias("version"), F.count(F.lit(1)).alias("_n"))
-    newest = latest.withColumnRenamed("version", "_latest")
-    return (
-        join_to_unique(rows, newest, ["request_key"], weight="_n")
-        .filter(F.col("version") == F.col("_latest"))
-        .select("request_key", "pos", "filename", "caption")
-    )
+        return spark.createDataFrame([], CACHE_SCHEMA)
+
+
+def known_requests(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    """Stored (request_key, version, n): the latest version of each wanted key in the cache.
+
+    Only two narrow columns are read, and only wanted keys reach the aggregation.
+    """
+    versions = cache.select("request_key", "version").join(keys.select("request_key"), "request_key", "left_semi")
+    per_version = versions.groupBy("request_key", "version").agg(F.count(F.lit(1)).alias("n"))
+    newest = per_version.groupBy("request_key").agg(F.max(F.struct("version", "n")).alias("v"))
+    return save_table(newest.select("request_key", "v.version", "v.n"), "known")
 
 
 def caption_stage(
@@ -220,11 +224,11 @@ def caption_stage(
         keyed.groupBy("request_key", "identifier", "use_hash", "n_files").agg(F.min("request").alias("request")),
         "keys",
     )
-    cached = read_cache(files.sparkSession, cache_path)
-    stored = cached.select("request_key").distinct()
+    cache = read_cache(files.sparkSession, cache_path)
+    known = known_requests(cache, keys)
     switches = {"use_cache": use_cache, "force_refresh": force_refresh}
-    hits = cap.cache_hits(keys, stored, "request_key", **switches)
-    misses = cap.cache_misses(keys, stored, "request_key", **switches)
+    hits = cap.cache_hits(known, keys, "request_key", **switches)
+    misses = cap.cache_misses(keys, known, "request_key", **switches)
     todo = join_to_unique(
         files, misses.select("request", "request_key", "n_files"), ["request"], weight="n_files"
     )
@@ -237,11 +241,11 @@ def caption_stage(
         ),
         "captions",
     )
-    old = cached.join(hits.select("request_key"), "request_key", "left_semi")
+    old = join_to_unique(cache, hits, ["request_key", "version"], weight="n").select(*done.columns)
     result = save_table(old.unionByName(done), "captions")
     done.withColumn("version", F.lit(time.time_ns())).select(
         "request_key", "version", "pos", "filename", "caption"
-    ).write.mode("append").parquet(cache_path)
+    ).sortWithinPartitions("request_key").write.mode("append").parquet(cache_path)
     return join_to_unique(result, keys, ["request_key"], weight="n_files").select(
         "request_key", "request", "identifier", "use_hash", "pos", "filename", "caption"
     )

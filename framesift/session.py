@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,9 +27,26 @@ def build_session(app: str = "framesift", master: str | None = None, **conf: str
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers of this application the package, once; it runs inside UDFs."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    bundle = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="framesift-ship-"), "framesift"), "zip", os.path.dirname(home), "framesift"
+    )
+    spark.sparkContext.addPyFile(bundle)  # Spark hands the file to every executor
+    _shipped.add(app)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 

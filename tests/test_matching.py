@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framesift.operators.matching import connected_components, greedy_similar_pairs, number_pairs
+from framesift.operators.near_copies import twin_groups
 from framesift.operators.similarity import choose_pivots, cosine_pairs, distinct_pairs
 
 
@@ -68,6 +69,48 @@ CASES = {
 }
 
 
+def near(n=200, seed=3):
+    """Half of the set are near copies; others lie around the threshold angle from them."""
+    rng = np.random.default_rng(seed)
+    c = np.array([1.0, 0, 0, 0, 0, 0])
+    rows = []
+    for i in range(n):
+        kind = rng.random()
+        if kind < 0.5:
+            v = c + rng.normal(size=6) * 0.004
+        elif kind < 0.6:
+            v = c
+        elif kind < 0.8:  # near the border of being similar to the copies
+            side = np.r_[0, rng.normal(size=5)]
+            at = np.arccos(0.85) + rng.normal() * 0.004
+            v = np.cos(at) * c + np.sin(at) * side / np.linalg.norm(side)
+        else:
+            v = rng.normal(size=6)
+        rows.append((i, v))
+    return single(rows)
+
+
+CASES["near"] = (near(), 0.85)
+CASES["near2"] = (near(150, 8), 0.85)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_rows": 16}, {"task_rows": 50}])
+@pytest.mark.parametrize("case", ["near", "near2", "hot", "mixed"])
+def test_merging_near_copies_changes_nothing(spark, case, sizes):
+    rows, t = CASES[case]
+    got = greedy_similar_pairs(frame(spark, rows), "id", "v", t, merge_above=0, **sizes).collect()
+    assert sorted((r.moved, r.kept) for r in got) == walk(rows, t)
+    at = dict(rows)
+    assert all(r.similarity == pytest.approx(cosine(at[r.moved], at[r.kept])) for r in got)
+
+
+def test_near_copies_need_few_edges(spark):
+    rng = np.random.default_rng(1)
+    rows = single((i, np.eye(6)[0] + rng.normal(size=6) * 0.002) for i in range(300))
+    groups, edges = twin_groups(frame(spark, rows).select("id", F.col("v").alias("vec")), 0.85)
+    assert groups.select("rep").distinct().count() < 40 and edges.count() < 800
+
+
 @pytest.mark.parametrize("task_rows", [100_000, 40])
 @pytest.mark.parametrize("case", sorted(CASES))
 def test_greedy_is_the_walk(spark, case, task_rows):
