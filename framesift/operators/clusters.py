@@ -224,12 +224,11 @@ def select_images(df: DataFrame, id_col: str, vec_col: str, centers: np.ndarray,
 
 def cluster_stats(assigned: DataFrame, selected: DataFrame, k: int) -> DataFrame:
     """One row: groups_formed, images_clustered, images_selected."""
-    n = assigned.agg(F.count(F.lit(1)).alias("images_clustered"))
-    picked = selected.agg(F.count(F.lit(1)).alias("images_selected"))
-    # both sides are single rows
-    return n.join(picked, F.lit(True)).select(
-        F.least(F.lit(k).cast("long"), F.col("images_clustered")).alias("groups_formed"),
-        "images_clustered", "images_selected",
+    rows = assigned.select(F.lit(0).alias("picked")).unionByName(selected.select(F.lit(1).alias("picked")))
+    return rows.agg(
+        F.least(F.lit(k).cast("long"), F.count_if(F.col("picked") == 0)).alias("groups_formed"),
+        F.count_if(F.col("picked") == 0).alias("images_clustered"),
+        F.count_if(F.col("picked") == 1).alias("images_selected"),
     )
 
 

@@ -318,5 +318,5 @@ def greedy_similar_pairs(
 
 
 def number_pairs(pairs: DataFrame) -> DataFrame:
-    """Add pair_no 1..n in the order of the moved image."""
-    return ordered_rank(pairs, ["moved"], name="pair_no")
+    """Add pair_no 1..n in the order of the moved image, to stored pairs."""
+    return ordered_rank(pairs, ["moved"], name="pair_no", n_slices=max(1, -(-pairs.count() // TASK_ROWS)))

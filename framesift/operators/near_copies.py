@@ -129,7 +129,7 @@ def _partner_checksums(
     all members of its partner clumps, block against block.
     """
     size = wide.select("clump", "size")
-    n_unsure = unsure.count()
+    n_unsure, n_members = unsure.count(), members.count()
     sized = join_to_unique(unsure, size.withColumnsRenamed({"clump": "a", "size": "na"}), ["a"], "left", n_rows=n_unsure)
     sized = join_to_unique(sized, size.withColumnsRenamed({"clump": "b", "size": "nb"}), ["b"], "left", n_rows=n_unsure)
     a_owns = F.coalesce("na", F.lit(1)) >= F.coalesce("nb", F.lit(1))
@@ -142,9 +142,10 @@ def _partner_checksums(
     )
     owners = owned.select("owner").distinct().select("owner", F.col("owner").alias("clump"), F.lit(True).alias("is_owner"))
     roles = save_table(owned.withColumn("is_owner", F.lit(False)).unionByName(owners), "roles")
-    # several roles per clump and several members per clump: a member takes part in each role
+    # a member takes part in each role of its clump; a clump may be hot
     cast = save_table(
-        roles.join(members.select("id", "clump"), "clump").select("owner", "is_owner", "id"), "cast"
+        join_to_unique(members.select("id", "clump"), roles, ["clump"], n_rows=n_members).select("owner", "is_owner", "id"),
+        "cast",
     )
     counts = cast.groupBy("owner").agg(
         F.ceil(F.count_if("is_owner") / F.lit(block_rows)).cast("int").alias("_own"),
@@ -204,7 +205,8 @@ def twin_groups(
     groups, reps = save_table(groups, "groups"), save_table(reps, "reps")
     left = reps.select(F.col("clump").alias("a"), F.col("rep").alias("p"))
     right = reps.select(F.col("clump").alias("b"), F.col("rep").alias("q"))
-    between = verdicts.join(left, "a").join(right, "b").select("p", "q", "sure")
+    between = save_table(join_to_unique(verdicts, left, ["a"], n_rows=verdicts.count()), "between")
+    between = join_to_unique(between, right, ["b"], n_rows=between.count()).select("p", "q", "sure")
     inside = left.join(right, (F.col("a") == F.col("b")) & (F.col("p") < F.col("q"))).select("p", "q")
     open_pairs = between.filter(~F.col("sure")).select("p", "q")
     pv = vectors.select(F.col("id").alias("p"), F.col("vec").alias("pv"))

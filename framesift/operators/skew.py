@@ -25,13 +25,13 @@ def join_to_unique(
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Equi join of ``rows`` (any number per key) with ``lookup`` (one row per key).
+    """Equi join of ``rows`` (any number per key) with ``lookup`` (one or a few rows per key).
 
     Rows of hot keys are spread over ``salts`` sub-keys and the lookup row of a hot key is
     repeated once per sub-key, so no single task receives a whole hot key. Without hot keys
     this is the plain join.
 
-    ``weight`` names a column of a stored ``lookup`` with the number of rows per key; else
+    ``weight`` names a column of a stored one-row-per-key ``lookup`` with the number of rows; else
     the keys of ``rows`` are counted with map-side combine, unless ``n_rows``, the size of
     ``rows``, is known to be below ``hot_rows``. ``weight`` stays in the result.
     """

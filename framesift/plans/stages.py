@@ -40,6 +40,9 @@ DEFAULT_THRESHOLD = 0.85
 THRESHOLD_RANGE = (0.5, 0.99)
 
 
+UNREADABLE = "cannot decode "
+
+
 class Similarity(NamedTuple):
     routes: DataFrame  # (id, route) of every image
     duplicates: DataFrame | None  # (id, hash, kept)
@@ -161,12 +164,22 @@ def refine_images(
     ``on_error='skip'``."""
     if on_error not in ("fail", "skip"):
         raise ValueError("on_error is 'fail' or 'skip'")
-    if on_error == "fail" and images.filter("error").select("path").head(1):
-        raise ValueError("the set holds files that cannot be decoded")
-    embedded = images.filter(~F.col("error")).select(
-        "image_id", "filename", "path", face_embedding_udf(make_embedder, batch_size)("image").alias("embedding")
-    )
-    return refine_stage(save_table(embedded, "embeddings"), "image_id", "embedding", method=method, **options)
+    embedding = face_embedding_udf(make_embedder, batch_size)("image")
+    if on_error == "fail":
+        # the check rides on the pass that runs the model, so pictures are decoded once; it
+        # is not a filter, which could be moved below the join that drops earlier stages' images
+        stop = F.raise_error(F.concat(F.lit(UNREADABLE), F.col("path")))
+        embedding = F.when(F.col("error"), stop.cast("array<float>")).otherwise(embedding)
+    else:
+        images = images.filter(~F.col("error"))
+    embedded = images.select("image_id", "filename", "path", embedding.alias("embedding"))
+    try:
+        embedded = save_table(embedded, "embeddings")
+    except Exception as e:
+        if UNREADABLE in str(e):
+            raise ValueError("the set holds files that cannot be decoded") from e
+        raise
+    return refine_stage(embedded, "image_id", "embedding", method=method, **options)
 
 
 def export_plan(selected: DataFrame, images: DataFrame, id_col: str, method: str | None) -> DataFrame:

@@ -27,6 +27,10 @@ def build_session(app: str = "framesift", master: str | None = None, **conf: str
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if "spark.sql.shuffle.partitions" not in conf and not spark.sparkContext.master.startswith("local"):
+        # adaptive execution merges what is too small; it cannot split what is too large
+        wanted = max(200, 3 * spark.sparkContext.defaultParallelism)
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
     ship_package(spark)
     return spark
 

@@ -11,8 +11,6 @@ from framesift.functions.names import basename, extension, stem
 
 # Fixed value: the accepted suffixes in any case, as a file name glob.
 IMAGE_GLOB = "*.{[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG]}"
-# Decoded pictures are large: keep the Arrow batches that carry them short.
-IMAGE_BATCH_ROWS = 64
 
 
 def with_identity(df: DataFrame, path: str = "path") -> DataFrame:
@@ -29,7 +27,6 @@ def read_images(spark: SparkSession, folder: str | Sequence[str]) -> DataFrame:
     Subfolders are not entered. A file that cannot be decoded keeps its row with
     ``error`` set, so every later stage can apply its own rule to it.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(IMAGE_BATCH_ROWS))
     folders = [folder] if isinstance(folder, str) else list(folder)
     pictures = (
         spark.read.format("image")
@@ -58,16 +55,22 @@ def read_file_meta(spark: SparkSession, folder: str | Sequence[str], glob: str =
     )
 
 
-def read_uploads(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def read_uploads(
+    spark: SparkSession, paths: Sequence[str] | DataFrame, folder: str | Sequence[str] | None = None
+) -> DataFrame:
     """Files of an ordered upload, any suffix, any folders: pos, path, filename, mtime, content.
 
-    ``pos`` is the place in the list; a file listed twice gives two rows.
+    ``pos`` is the place in the list; a file listed twice gives two rows. A long list comes
+    as a table (pos, path) with the folders to scan, so it does not pass through the driver.
     """
-    paths = list(paths)
-    files = spark.read.format("binaryFile").load(sorted(set(paths)))
-    wanted = spark.createDataFrame(
-        [(pos, path) for pos, path in enumerate(paths)], "pos int, listed string"
-    )
+    if isinstance(paths, DataFrame):
+        if folder is None:
+            raise ValueError("a table of paths needs the folders to scan")
+        wanted, source = paths.select("pos", F.col("path").alias("listed")), folder
+    else:
+        wanted = spark.createDataFrame([(pos, path) for pos, path in enumerate(paths)], "pos int, listed string")
+        source = sorted(set(paths))
+    files = spark.read.format("binaryFile").load(source)
     return (
         files.withColumn("_key", _plain(F.col("path")))
         .join(wanted.withColumn("_key", _plain(F.col("listed"))), "_key")

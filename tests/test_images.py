@@ -45,6 +45,9 @@ def test_uploads_keep_order(spark, picture_dir):
     rows = read_uploads(spark, listed).orderBy("pos").collect()
     assert [r.filename for r in rows] == ["note.txt", "b.PNG", "a.png", "b.PNG"]
     assert [r.pos for r in rows] == [0, 1, 2, 3]
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(listed)], "pos int, path string")
+    same = read_uploads(spark, table, str(picture_dir)).orderBy("pos").collect()
+    assert [(r.pos, r.path) for r in same] == [(r.pos, r.path) for r in rows]
 
 
 def test_decode_and_resize(images, picture_dir):
