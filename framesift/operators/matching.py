@@ -5,13 +5,18 @@ is paired with the first similar one. Both leave the game; j is moved, the other
 
 Facts the distributed form rests on:
 
-* Free images are never similar to each other, so of a group of equal vectors at most one
-  member is free at any time. The state is therefore one optional id per group, and edges
-  between groups (first members) are all the graph that is needed.
-* Connected components of groups do not influence each other.
-* In a component, take a run of arrivals of one group with no other arrival in between. Its
+* Free images are never similar to each other. In a clump, a set of images that are all
+  similar to each other, at most one is free at any time, so the state is one optional
+  image per clump and pairs inside a clump need not be listed. Equal vectors are a clump.
+* Links join twins, images of a clump with the same partners, and not single images.
+* Connected components of clumps do not influence each other.
+* In a component, take a run of arrivals of twins with no other arrival in between. Its
   first ``degree + 1`` arrivals use up every free neighbour; from then on the run pairs
   with itself. The middle of a long run can be cut out and filled in afterwards.
+
+Tables here: ``groups`` (id, rep, clump, copies), with the twins' first id, the clump and
+the number of images in it; ``links`` (clump, rep, other_clump, other, whole, similarity)
+in both directions, between twins or, if ``whole``, between all images of two clumps.
 """
 
 from __future__ import annotations
@@ -72,44 +77,60 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _sweep(
-    arrivals: Iterator[tuple], links: dict, free: dict
-) -> Iterator[tuple]:
-    """Visit (id, rep) in order; yields (moved, kept, kept_rep, similarity); updates ``free``."""
-    for image, rep in arrivals:
-        best, best_rep, best_sim = free.get(rep), rep, 1.0
-        for other, sim in links.get(rep, ()):
-            candidate = free.get(other)
-            if candidate is not None and (best is None or candidate < best):
-                best, best_rep, best_sim = candidate, other, sim
+def _sweep(arrivals: Iterator[tuple], links: tuple[dict, dict], free: dict) -> Iterator[tuple]:
+    """Visit (id, rep, clump) in order; yields (moved, kept, similarity).
+
+    ``free`` maps a clump to its free (id, rep) and is updated.
+    """
+    of_twins, of_clump = links
+    for image, rep, clump in arrivals:
+        own = free.get(clump)
+        best = (own[0], clump, 1.0) if own else None
+        for other_clump, other, sim in of_twins.get(rep, ()):
+            seen = free.get(other_clump)
+            if seen and seen[1] == other and (best is None or seen[0] < best[0]):
+                best = seen[0], other_clump, sim
+        for other_clump, sim in of_clump.get(clump, ()):
+            seen = free.get(other_clump)
+            if seen and (best is None or seen[0] < best[0]):
+                best = seen[0], other_clump, sim
         if best is None:
-            free[rep] = image
+            free[clump] = image, rep
         else:
-            del free[best_rep]
-            yield image, best, best_rep, best_sim
+            del free[best[1]]
+            yield image, best[0], best[2]
+
+
+def _link_tables(links: pd.DataFrame) -> tuple[dict, dict]:
+    of_twins: dict = {}
+    of_clump: dict = {}
+    for clump, rep, other_clump, other, whole, sim in zip(
+        *(links[c] for c in ("clump", "rep", "other_clump", "other", "whole", "similarity"))
+    ):
+        if whole:
+            of_clump.setdefault(clump, []).append((other_clump, sim))
+        else:
+            of_twins.setdefault(rep, []).append((other_clump, other, sim))
+    return of_twins, of_clump
 
 
-def _links(edges: pd.DataFrame) -> dict:
-    table: dict = {}
-    for a, b, sim in zip(edges["rep"], edges["other"], edges["similarity"]):
-        table.setdefault(a, []).append((b, sim))
-    return table
+SWEPT = ["moved", "kept", "rep", "clump", "similarity"]
 
 
-def _sweep_group(arrivals: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """Sweep of one component: rows of kind 'was' carry ids still free from earlier blocks.
+def _sweep_group(arrivals: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """Sweep of one component: rows marked 'was' carry images still free from earlier blocks.
 
-    Gives one row per pair (kept not null) and one per id newly left free (kept null).
+    Gives one row per pair (kept not null) and one per image newly left free (kept null).
     """
     arrivals = arrivals.sort_values("id", kind="stable")
     old = arrivals["was"].to_numpy(dtype=bool)
-    before = arrivals[old]
-    free = dict(zip(before["rep"], before["id"]))
-    now = arrivals[~old]
-    found = list(_sweep(zip(now["id"], now["rep"]), _links(edges), free))
+    before, now = arrivals[old], arrivals[~old]
+    free = {c: (i, r) for i, r, c in zip(before["id"], before["rep"], before["clump"])}
+    pairs = _sweep(zip(now["id"], now["rep"], now["clump"]), _link_tables(links), free)
+    found = [(moved, kept, None, None, sim) for moved, kept, sim in pairs]
     carried = set(before["id"])
-    left = [(i, None, rep, None) for rep, i in free.items() if i not in carried]
-    return pd.DataFrame(found + left, columns=["moved", "kept", "kept_rep", "similarity"])
+    left = [(i, None, r, c, None) for c, (i, r) in free.items() if i not in carried]
+    return pd.DataFrame(found + left, columns=SWEPT)
 
 
 def _runs(chunk: pd.DataFrame) -> Iterator[tuple[int, int, int]]:
@@ -129,7 +150,7 @@ def _cut_runs(chunk: pd.DataFrame) -> pd.DataFrame:
     keep = np.ones(len(chunk), dtype=bool)
     for start, prefix, length in _runs(chunk):
         keep[start + prefix + 1 : start + length - 1] = False
-    return chunk[keep][["comp", "id", "rep"]]
+    return chunk[keep][["comp", "id", "rep", "clump", "degree"]]
 
 
 def _fill_runs(chunk: pd.DataFrame, outcome: pd.DataFrame) -> pd.DataFrame:
@@ -158,46 +179,53 @@ def _fill_runs(chunk: pd.DataFrame, outcome: pd.DataFrame) -> pd.DataFrame:
 def _sweep_large(arrivals: DataFrame, links: DataFrame, kind: str, task_rows: int) -> DataFrame:
     """Components beyond one task: cut runs chunk by chunk, then sweep in bounded blocks.
 
-    ``arrivals`` (comp, id, rep, degree), ``links`` (comp, rep, other, similarity).
+    ``arrivals`` (comp, id, rep, clump, degree), ``links`` with comp.
     """
     n_slices = max(1, -(-arrivals.count() // task_rows))
     chunks = ordered_slices(arrivals, ["comp", "id"], n_slices)
-    cut = chunks.groupBy("comp", "_slice").applyInPandas(_cut_runs, f"comp {kind}, id {kind}, rep {kind}")
-    degrees = links.groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-    cut = save_table(cut, "cut")
-    weighed = join_to_unique(cut, degrees, ["rep"], "left")
-    ranked = ordered_rank(
-        weighed, ["id"], ["comp"], "load", 1 + F.coalesce("degree", F.lit(0)), n_slices
-    )
-    blocks = save_table(
-        ranked.select("comp", "id", "rep", F.floor((F.col("load") - 1) / F.lit(task_rows)).alias("block")), "blocks"
+    cut = chunks.groupBy("comp", "_slice").applyInPandas(
+        _cut_runs, f"comp {kind}, id {kind}, rep {kind}, clump {kind}, degree long"
     )
-    state = blocks.limit(0).select("comp", "id", "rep")
+    ranked = ordered_rank(save_table(cut, "cut"), ["id"], ["comp"], "load", 1 + F.col("degree"), n_slices)
+    block = F.floor((F.col("load") - 1) / F.lit(task_rows)).alias("block")
+    blocks = save_table(ranked.select("comp", "id", "rep", "clump", block), "blocks")
+    state = blocks.limit(0).select("comp", "id", "rep", "clump")
     found = None
+
+    def sweep_block(a: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if not len(a):
+            return pd.DataFrame(columns=[*SWEPT, "comp"])
+        return _sweep_group(a, e).assign(comp=a["comp"].iloc[0])
+
     # every pass sweeps one block of every large component side by side
     for number in range(blocks.agg(F.max("block")).first()[0] + 1):
-        now = blocks.filter(F.col("block") == number).select("comp", "id", "rep")
-        near = links.join(now.select("rep").distinct(), "rep", "left_semi")
-        reach = near.select(F.col("other").alias("rep")).unionByName(now.select("rep")).distinct()
-        before = state.join(reach, "rep", "left_semi").select("comp", "id", "rep")
-        seen = before.select(F.col("rep").alias("other")).unionByName(now.select(F.col("rep").alias("other")))
-        near = near.join(seen.distinct(), "other", "left_semi").select("comp", "rep", "other", "similarity")
+        now = save_table(blocks.filter(F.col("block") == number).select("comp", "id", "rep", "clump"), "now")
+        here = now.select("clump").distinct()
+        near = (
+            links.filter(~F.col("whole")).join(now.select("rep").distinct(), "rep", "left_semi")
+            .unionByName(links.filter("whole").join(here, "clump", "left_semi"))
+        )
+        near = save_table(near, "near")
+        reach = near.select(F.col("other_clump").alias("clump")).unionByName(here).distinct()
+        before = state.join(reach, "clump", "left_semi").select("comp", "id", "rep", "clump")
+        seen = before.select("clump").unionByName(here).distinct().withColumnRenamed("clump", "other_clump")
+        near = near.join(seen, "other_clump", "left_semi")
         rows = now.withColumn("was", F.lit(False)).unionByName(before.withColumn("was", F.lit(True)))
         swept = save_table(
             rows.groupBy("comp").cogroup(near.groupBy("comp")).applyInPandas(
-                lambda a, e: _sweep_group(a, e).assign(comp=a["comp"].iloc[0]) if len(a) else _no_result(),
-                f"moved {kind}, kept {kind}, kept_rep {kind}, similarity double, comp {kind}",
+                sweep_block,
+                f"moved {kind}, kept {kind}, rep {kind}, clump {kind}, similarity double, comp {kind}",
             ),
             "swept",
         )
-        pairs = swept.filter("kept is not null")
+        pairs = swept.filter("kept is not null").select("moved", "kept", "similarity")
         used = pairs.select(F.col("kept").alias("id"))
-        fresh = swept.filter("kept is null").select("comp", F.col("moved").alias("id"), F.col("kept_rep").alias("rep"))
+        fresh = swept.filter("kept is null").select("comp", F.col("moved").alias("id"), "rep", "clump")
         state = save_table(state.join(used, "id", "left_anti").unionByName(fresh), "state")
         found = pairs if found is None else found.unionByName(pairs)
     # a marker pair lies inside one chunk: hand every pair to the chunk of its moved image
     place = chunks.select(F.col("id").alias("moved"), "comp", "_slice")
-    outcome = save_table(found.select("moved", "kept", "similarity").join(place, "moved"), "outcome")
+    outcome = save_table(found.join(place, "moved"), "outcome")
     return (
         chunks.groupBy("comp", "_slice")
         .cogroup(outcome.groupBy("comp", "_slice"))
@@ -205,85 +233,91 @@ def _sweep_large(arrivals: DataFrame, links: DataFrame, kind: str, task_rows: in
     )
 
 
-def _no_result() -> pd.DataFrame:
-    return pd.DataFrame({"moved": [], "kept": [], "kept_rep": [], "similarity": [], "comp": []})
-
-
-def match_groups(groups: DataFrame, edges: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
-    """(moved, kept, similarity) from stored groups (id, rep, copies) and edges between reps."""
+def match_groups(groups: DataFrame, links: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(moved, kept, similarity) from stored groups and links."""
     kind = groups.schema["id"].dataType.simpleString()
-    links = edges.select(F.col("earlier").alias("rep"), F.col("later").alias("other"), "similarity").unionByName(
-        edges.select(F.col("later").alias("rep"), F.col("earlier").alias("other"), "similarity")
-    )
-    degrees = links.groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-    # images alone in their group and without an edge are never paired
+    one = F.count(F.lit(1))
+    of_twins = links.filter(~F.col("whole")).groupBy("rep").agg(one.alias("dt"))
+    of_clump = links.filter("whole").groupBy("clump").agg(one.alias("dc"))
+    n_groups = groups.count()
+    known = join_to_unique(groups, of_twins, ["rep"], "left", n_rows=n_groups)
+    known = join_to_unique(known, of_clump, ["clump"], "left", n_rows=n_groups)
+    degree = F.coalesce("dt", F.lit(0)) + F.coalesce("dc", F.lit(0))
+    # images alone in their clump and without a link are never paired
     active = save_table(
-        join_to_unique(groups, degrees, ["rep"], "left", n_rows=groups.count())
-        .filter((F.col("copies") > 1) | F.col("degree").isNotNull())
-        .select("id", "rep", F.coalesce("degree", F.lit(0)).alias("degree")),
+        known.withColumn("degree", degree).filter((F.col("copies") > 1) | (F.col("degree") > 0))
+        .select("id", "rep", "clump", "degree"),
         "active",
     )
-    n_edges, n_active = links.count(), active.count()
+    n_links, n_active = links.count(), active.count()
     out = f"moved {kind}, kept {kind}, similarity double"
 
     def sweep_whole(a: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(a):
-            return pd.DataFrame({"moved": [], "kept": [], "similarity": []})
-        pairs = _sweep_group(a.assign(was=False), e)
-        return pairs[pairs["kept"].notna()][["moved", "kept", "similarity"]]
+            return pd.DataFrame(columns=["moved", "kept", "similarity"])
+        swept = _sweep_group(a.assign(was=False), e)
+        return swept[swept["kept"].notna()][["moved", "kept", "similarity"]]
 
-    if n_edges + n_active <= task_rows:  # the whole graph is within the bound of one task
-        one = F.lit(0).alias("comp")
+    if n_links + n_active <= task_rows:  # the whole graph is within the bound of one task
+        whole = F.lit(0).alias("comp")
         return (
-            active.select("id", "rep", one).groupBy("comp")
-            .cogroup(links.select("*", one).groupBy("comp"))
+            active.select("*", whole).groupBy("comp")
+            .cogroup(links.select("*", whole).groupBy("comp"))
             .applyInPandas(sweep_whole, out)
         )
-    comps = save_table(connected_components(edges), "components")
-    of_rep = comps.select(F.col("node").alias("rep"), "comp")
+    between = links.filter(F.col("clump") < F.col("other_clump")).select(
+        F.col("clump").alias("earlier"), F.col("other_clump").alias("later")
+    ).distinct()
+    comps = save_table(
+        connected_components(between).select(F.col("node").alias("clump"), "comp"), "components"
+    )
     active = save_table(
-        join_to_unique(active, of_rep, ["rep"], "left", n_rows=n_active)
-        .withColumn("comp", F.coalesce("comp", "rep")),
+        join_to_unique(active, comps, ["clump"], "left", n_rows=n_active)
+        .withColumn("comp", F.coalesce("comp", "clump")),
         "active",
     )
-    links = save_table(join_to_unique(links, of_rep, ["rep"], n_rows=n_edges), "links")
+    links = save_table(join_to_unique(links, comps, ["clump"], n_rows=n_links), "links")
     load = (
-        active.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-        .unionByName(links.groupBy("comp").agg(F.count(F.lit(1)).alias("n")))
+        active.groupBy("comp").agg(one.alias("n"))
+        .unionByName(links.groupBy("comp").agg(one.alias("n")))
         .groupBy("comp").agg(F.sum("n").alias("n"))
     )
     large = save_table(load.filter(F.col("n") > task_rows).select("comp"), "large")
-    # at most (arrivals + edges) / task_rows components are large
+    # at most (arrivals + links) / task_rows components are large
     small_rows = active.join(F.broadcast(large), "comp", "left_anti")
     small_links = links.join(F.broadcast(large), "comp", "left_anti")
     small = small_rows.groupBy("comp").cogroup(small_links.groupBy("comp")).applyInPandas(sweep_whole, out)
     if not large.head(1):
         return small
     rest = _sweep_large(
-        save_table(active.join(F.broadcast(large), "comp", "left_semi").select("comp", "id", "rep", "degree"), "large"),
-        save_table(links.join(F.broadcast(large), "comp", "left_semi").select("comp", "rep", "other", "similarity"), "large"),
+        save_table(active.join(F.broadcast(large), "comp", "left_semi"), "large"),
+        save_table(links.join(F.broadcast(large), "comp", "left_semi"), "large"),
         kind,
         task_rows,
     )
     return small.unionByName(rest)
 
 
+def exact_links(edges: DataFrame) -> DataFrame:
+    """Links between groups of equal vectors; each group is its own clump."""
+    a, b = F.col("earlier"), F.col("later")
+    whole = F.lit(False).alias("whole")
+    one = edges.select(a.alias("clump"), a.alias("rep"), b.alias("other_clump"), b.alias("other"), whole, "similarity")
+    back = edges.select(b.alias("clump"), b.alias("rep"), a.alias("other_clump"), a.alias("other"), whole, "similarity")
+    return one.unionByName(back)
+
+
 def _merged_groups(
     groups: DataFrame, distinct: DataFrame, threshold: float, sizes: dict
 ) -> tuple[DataFrame, DataFrame]:
-    """Equal vectors and twins joined into one group table, with the edges between groups."""
-    twins, edges = twin_groups(distinct, threshold, **sizes)
-    joined = twins.filter(F.col("id") != F.col("rep")).select(F.col("id").alias("rep"), F.col("rep").alias("twin"))
-    n_rows = groups.count()
-    moved = save_table(
-        join_to_unique(groups.select("id", "rep"), joined, ["rep"], "left", n_rows=n_rows).select(
-            "id", F.coalesce("twin", "rep").alias("rep")
-        ),
-        "groups",
-    )
-    copies = save_table(moved.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")), "copies")
-    merged = save_table(join_to_unique(moved, copies, ["rep"], weight="copies"), "groups")
-    return merged, edges.withColumn("similarity", F.lit(0.0))
+    """Groups and links after merging twins; ``groups`` (id, rep) of equal vectors come in."""
+    twins, links = twin_groups(distinct, threshold, **sizes)
+    of_first = twins.select(F.col("id").alias("rep"), F.col("rep").alias("twin"), "clump")
+    joined = join_to_unique(groups.select("id", "rep"), of_first, ["rep"], n_rows=groups.count())
+    moved = save_table(joined.select("id", F.col("twin").alias("rep"), "clump"), "groups")
+    copies = save_table(moved.groupBy("clump").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    merged = save_table(join_to_unique(moved, copies, ["clump"], weight="copies"), "groups")
+    return merged, links.withColumn("similarity", F.lit(0.0))
 
 
 def greedy_similar_pairs(
@@ -304,9 +338,10 @@ def greedy_similar_pairs(
     vectors, groups, distinct, n_distinct = equal_groups(df, id_col, vec_col)
     if n_distinct <= merge_above:
         edges = save_table(distinct_pairs(distinct, threshold, n_distinct, **sizes), "edges")
-        return save_table(match_groups(groups, edges, task_rows), "pairs")
-    groups, edges = _merged_groups(groups, distinct, threshold, sizes)
-    pairs = save_table(match_groups(groups, edges, task_rows).select("moved", "kept"), "pairs")
+        own = groups.withColumn("clump", F.col("rep"))
+        return save_table(match_groups(own, exact_links(edges), task_rows), "pairs")
+    groups, links = _merged_groups(groups, distinct, threshold, sizes)
+    pairs = save_table(match_groups(groups, links, task_rows).select("moved", "kept"), "pairs")
     left = vectors.select(F.col("id").alias("moved"), F.col("vec").alias("mv"))
     right = vectors.select(F.col("id").alias("kept"), F.col("vec").alias("kv"))
     return save_table(

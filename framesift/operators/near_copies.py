@@ -174,9 +174,9 @@ def _partner_checksums(
 def twin_groups(
     vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, **sizes: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Stored (twins, edges) over stored distinct ``vectors`` (id, vec).
+    """Stored (twins, links) over stored distinct ``vectors`` (id, vec).
 
-    twins: (id, rep, clump). edges: (earlier, later) between the reps of different groups.
+    twins: (id, rep, clump); rep is the first of the twins. links: see ``links_between``.
     """
     radius = math.acos(threshold) * RADIUS_SHARE
     width = len(vectors.first()["vec"])
@@ -205,16 +205,34 @@ def twin_groups(
     groups, reps = save_table(groups, "groups"), save_table(reps, "reps")
     left = reps.select(F.col("clump").alias("a"), F.col("rep").alias("p"))
     right = reps.select(F.col("clump").alias("b"), F.col("rep").alias("q"))
-    between = save_table(join_to_unique(verdicts, left, ["a"], n_rows=verdicts.count()), "between")
-    between = join_to_unique(between, right, ["b"], n_rows=between.count()).select("p", "q", "sure")
-    inside = left.join(right, (F.col("a") == F.col("b")) & (F.col("p") < F.col("q"))).select("p", "q")
-    open_pairs = between.filter(~F.col("sure")).select("p", "q")
+    half = save_table(join_to_unique(unsure, left, ["a"], n_rows=unsure.count()), "open")
+    both = join_to_unique(half, right, ["b"], n_rows=half.count())
     pv = vectors.select(F.col("id").alias("p"), F.col("vec").alias("pv"))
     qv = vectors.select(F.col("id").alias("q"), F.col("vec").alias("qv"))
     checked = (
-        open_pairs.join(pv, "p").join(qv, "q").filter(cosine(F.col("pv"), F.col("qv")) > threshold).select("p", "q")
+        both.join(pv, "p").join(qv, "q").filter(cosine(F.col("pv"), F.col("qv")) > threshold).select("a", "b", "p", "q")
     )
-    edges = between.filter("sure").select("p", "q").unionByName(inside).unionByName(checked)
-    return groups, save_table(
-        edges.select(F.least("p", "q").alias("earlier"), F.greatest("p", "q").alias("later")), "edges"
+    sure = verdicts.filter("sure").select("a", "b")
+    return groups, links_between(sure, save_table(checked, "checked"))
+
+
+def links_between(sure: DataFrame, checked: DataFrame) -> DataFrame:
+    """Stored links in both directions: (clump, rep, other_clump, other, whole).
+
+    ``whole`` links hold for every member of both clumps and name the clumps only; the
+    others hold between two groups of twins. Members of one clump need no link.
+    """
+    w = sure.select(
+        F.col("a").alias("clump"), F.col("a").alias("rep"), F.col("b").alias("other_clump"),
+        F.col("b").alias("other"), F.lit(True).alias("whole"),
+    )
+    c = checked.select(
+        F.col("a").alias("clump"), F.col("p").alias("rep"), F.col("b").alias("other_clump"),
+        F.col("q").alias("other"), F.lit(False).alias("whole"),
+    )
+    one = w.unionByName(c)
+    back = one.select(
+        F.col("other_clump").alias("clump"), F.col("other").alias("rep"),
+        F.col("clump").alias("other_clump"), F.col("rep").alias("other"), "whole",
     )
+    return save_table(one.unionByName(back), "links")

@@ -107,12 +107,12 @@ def test_merging_near_copies_changes_nothing(spark, case, sizes):
 def test_near_copies_need_few_edges(spark):
     rng = np.random.default_rng(1)
     rows = single((i, np.eye(6)[0] + rng.normal(size=6) * 0.002) for i in range(300))
-    groups, edges = twin_groups(frame(spark, rows).select("id", F.col("v").alias("vec")), 0.85)
-    assert groups.select("rep").distinct().count() < 40 and edges.count() < 800
+    groups, links = twin_groups(frame(spark, rows).select("id", F.col("v").alias("vec")), 0.85)
+    assert groups.select("clump").distinct().count() < 40 and links.count() < 800
 
 
 @pytest.mark.parametrize(
-    "case,task_rows", [(c, 100_000) for c in sorted(CASES)] + [("hot", 40), ("burst", 20), ("mixed", 60)]
+    "case,task_rows", [(c, 100_000) for c in sorted(CASES)] + [("hot", 90), ("burst", 30), ("mixed", 150)]
 )
 def test_greedy_is_the_walk(spark, case, task_rows):
     rows, t = CASES[case]
