@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from framesift.functions.pixels import decode, grey, resize
+from framesift.functions.pixels import decode, grey, resize, resize_nearest
 
 # Detector names, caption models, input sizes and batch limits.
 DETECTORS = (
@@ -54,7 +54,7 @@ def vector_udf(make_model: Callable, batch_size: int = FACE_BATCH, side: int | N
                 pixels = _rgb_rows(images.iloc[part])
                 ready = [p for p in pixels if p is not None]
                 if side:
-                    ready = [resize(p, side, side) for p in ready]
+                    ready = [resize_nearest(p, side, side) for p in ready]
                 vectors = iter(model(ready) if ready else [])
                 for p in pixels:
                     v = next(vectors) if p is not None else None

@@ -78,7 +78,7 @@ def export_name(identifier: Column, suffix: str = ".zip") -> Column:
 def result_label(route: Column, name: Column) -> Column:
     """Gallery text of a moved image; null for images that stay."""
     prefix = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
-    return F.concat(F.get(F.array(prefix[route]), 0), name)
+    return F.concat(prefix[route], name)
 
 
 def cluster_label(cluster: Column, name: Column) -> Column:

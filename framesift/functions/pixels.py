@@ -64,6 +64,13 @@ def resize(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
     return cube[:, :, 0] if flat else np.ascontiguousarray(cube)
 
 
+def resize_nearest(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Plain nearest-pixel resize, as fixed-size model inputs are loaded."""
+    rows = ((np.arange(height) + 0.5) * pixels.shape[0] / height).astype(int)
+    cols = ((np.arange(width) + 0.5) * pixels.shape[1] / width).astype(int)
+    return np.ascontiguousarray(pixels[rows][:, cols])
+
+
 def average_hash_hex(rgb: np.ndarray, side: int = HASH_SIDE) -> str:
     small = resize(grey(rgb), side, side).astype(np.float64)
     bits = (small > small.mean()).ravel()

@@ -37,12 +37,24 @@ def moved_images(*parts: DataFrame) -> DataFrame:
 
 
 def result_labels(routes: DataFrame, name: Column) -> DataFrame:
-    """(route, label) of the moved images of all stages."""
-    return routes.filter(F.col("route") != "keep").select(
+    """(route, label) of moved images; similar pairs have labels of their own."""
+    return routes.filter(~F.col("route").isin("keep", "similar_images")).select(
         "route", result_label(F.col("route"), name).alias("label")
     )
 
 
+def picture_name(pair_no: Column) -> Column:
+    return F.concat(F.lit("similar_"), pair_no.cast("string"), F.lit(".jpg"))
+
+
+def pair_labels(numbered: DataFrame) -> DataFrame:
+    """(route, label) per similar pair; the label names the comparison picture."""
+    return numbered.select(
+        F.lit("similar_images").alias("route"),
+        result_label(F.lit("similar_images"), picture_name(F.col("pair_no"))).alias("label"),
+    )
+
+
 def pair_report(numbered: DataFrame, sizes: DataFrame, id_col: str) -> DataFrame:
     """One row per pair: picture name, texts and geometry of the side-by-side picture."""
     def side(prefix: str) -> DataFrame:
@@ -55,7 +67,7 @@ def pair_report(numbered: DataFrame, sizes: DataFrame, id_col: str) -> DataFrame
         numbered.join(side("moved"), "moved").join(side("kept"), "kept").select(
             "pair_no", "moved", "kept", F.round("similarity", 6).alias("similarity"),
             F.format_string("Similarity: %.2f", "similarity").alias("text"),
-            F.concat(F.lit("similar_"), F.col("pair_no").cast("string"), F.lit(".jpg")).alias("picture"),
+            picture_name(F.col("pair_no")).alias("picture"),
             F.lit(PAIR_HEIGHT).alias("height"), "moved_width", "kept_width",
             (F.col("moved_width") + F.col("kept_width")).alias("total_width"),
         )

@@ -197,7 +197,8 @@ def moved_images(spark, folder):
 def result_labels(spark, folder):
     images, faces = tb.images_with_faces(spark, folder)
     by_face = stages.face_stage(fc.faces_per_image(images, faces, "image_id"), "image_id").routes
-    first = rt.result_labels(two_step(spark, folder).routes, vec_name())
+    done = two_step(spark, folder)
+    first = rt.result_labels(done.routes, vec_name()).unionByName(rt.pair_labels(number_pairs(done.pairs)))
     return first.unionByName(rt.result_labels(by_face, vec_name("image_id")))
 
 

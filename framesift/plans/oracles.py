@@ -191,8 +191,8 @@ ORACLES: dict[str, str] = {
     "route_manifest": f"WITH RECURSIVE {TWO_STEP} SELECT vec_id, route FROM routes",
     "moved_images": f"WITH RECURSIVE {TWO_STEP} SELECT vec_id FROM routes WHERE route <> 'keep'",
     "result_labels": f"""WITH RECURSIVE {TWO_STEP}, {FACES}
-  SELECT route, CASE route WHEN 'duplicate_images' THEN 'Duplicate: ' ELSE 'Similar pair: ' END || {VEC_NAME} AS label
-  FROM routes WHERE route <> 'keep'
+  SELECT route, 'Duplicate: ' || {VEC_NAME} AS label FROM routes WHERE route = 'duplicate_images'
+  UNION ALL SELECT 'similar_images', 'Similar pair: similar_' || row_number() OVER (ORDER BY moved) || '.jpg' FROM matched
   UNION ALL SELECT {FACE_ROUTE}, CASE WHEN n_faces = 0 THEN 'No face: ' ELSE 'Multiple faces: ' END
     || 'IMG_' || image_id || '.png' FROM faces WHERE n_faces <> 1""",
     "stage_status": f"""WITH RECURSIVE {TWO_STEP}, {FACES}, fs AS ({FACE_STATS}),

@@ -196,7 +196,9 @@ def read_cache(spark, path: str) -> DataFrame:
     """Rows of the caption cache; empty before the first write."""
     try:
         return spark.read.schema(CACHE_SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CACHE_SCHEMA)
 
 

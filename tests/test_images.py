@@ -196,6 +196,20 @@ def test_manifest(spark, images, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).count() == 9
 
 
+def test_every_prompt_on_every_image(images):
+    asked = cap.with_prompts(images.select("image_id", "image"), ["colours", "mood"])
+    rows = asked.select("image_id", "prompt", models.caption_udf()("image", "prompt").alias("c")).collect()
+    assert len(rows) == 18
+    assert all(r.c.startswith(r.prompt + ": ") for r in rows if "bad.jpg" not in r.image_id)
+
+
+def test_nearest_resize():
+    small = np.arange(12, dtype=np.uint8).reshape(2, 2, 3)
+    big = pixels.resize_nearest(small, 4, 6)
+    assert big.shape == (6, 4, 3) and (big[:3, :2] == small[0, 0]).all() and (big[3:, 2:] == small[1, 1]).all()
+    assert np.array_equal(pixels.resize_nearest(big, 2, 2), small)
+
+
 def test_unknown_caption_model():
     with pytest.raises(ValueError):
         models.caption_udf(model_key="other")
