@@ -144,6 +144,27 @@ def resize_udf(limit: int):
     return run
 
 
+def model_input_udf(side: int = FEATURE_SIDE):
+    """UDF image -> image of ``side`` x ``side`` pixels, the size the feature model reads.
+
+    Far smaller than the decoded picture, so it is what should travel through a join. An
+    image that cannot be decoded is passed on as it is.
+    """
+
+    @F.pandas_udf("struct<origin string, height int, width int, nChannels int, mode int, data binary>")
+    def run(images: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for row in images.itertuples(index=False):
+            if row.height > 0:
+                small = resize_nearest(decode(row), side, side)[:, :, ::-1].tobytes()
+                rows.append((row.origin, side, side, 3, 16, small))
+            else:
+                rows.append(tuple(row))
+        return pd.DataFrame(rows, columns=images.columns)
+
+    return run
+
+
 # Stand-ins without weights.
 
 def pooled_pixels():

@@ -19,6 +19,7 @@ from framesift.functions.models import (
     count_faces_udf,
     face_embedding_udf,
     feature_udf,
+    model_input_udf,
     resize_udf,
 )
 from framesift.functions.geometry import MAX_DIMENSION
@@ -103,8 +104,9 @@ def similarity_of_images(
     def features(duplicates: DataFrame | None) -> DataFrame:
         rest = images.filter(~F.col("error"))
         if duplicates is not None:
-            # the anti join comes before the model; it is written to storage between so
-            # that the optimizer cannot run the model on rows the join would drop
+            # the anti join comes before the model, which thus sees no duplicate; if the
+            # join has to shuffle, it moves model inputs and not whole decoded pictures
+            rest = rest.select("image_id", model_input_udf()("image").alias("image"))
             rest = rt.remaining(rest, duplicates, "image_id")
         return save_table(rest.select("image_id", feature_udf(make_features)("image").alias("feature")), "features")
 
