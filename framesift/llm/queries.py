@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framesift.llm import langid, mixing, packing, preference, urlfilter, warc
+from framesift.llm import itq, langid, minhash, mixing, packing, preference, privacy, rabitq, urlfilter, warc
 from framesift.llm.common import table
 from framesift.session import scratch_root
 
@@ -24,11 +24,27 @@ def op2_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return preference.preference_segments(chosen, rejected)
 
 
+def op3_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    return privacy.privacy_report(table(spark, folder, "documents"))
+
+
+def op4_vector_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return itq.near_vectors(table(spark, folder, "embeddings"))
+
+
+def op5_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return rabitq.nearest_vectors(table(spark, folder, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op6_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     pages, labels = table(spark, folder, "pages"), table(spark, folder, "labels")
     return urlfilter.url_verdicts(pages, urlfilter.toxic_page_keys(pages, labels))
 
 
+def op7_text_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.duplicate_groups(table(spark, folder, "documents"), words=2)
+
+
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.language_report(table(spark, folder, "documents"))
 
@@ -42,7 +58,8 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_warc_archive, op2_preference_pairs, op6_url_verdicts, op8_language, op9_mixture, op10_packing,
+    op1_warc_archive, op2_preference_pairs, op3_private_data, op4_vector_duplicates, op5_nearest_vectors,
+    op6_url_verdicts, op7_text_duplicates, op8_language, op9_mixture, op10_packing,
 )}
 
 ORACLES = {"op2_preference_pairs": preference.PREFERENCE_SQL, "op6_url_verdicts": urlfilter.VERDICT_SQL}
