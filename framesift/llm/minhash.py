@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.common import group_starts, in_blocks, pairs_in_runs, runs
@@ -22,6 +20,8 @@ MAX_DISTANCE = 27
 SHINGLE_WORDS = 5
 PERCENT = 80
 BLOCK_ROWS = 1024
+STAR_ROUNDS = 3
+SLOTS = 127  # lowest bits of a key: the place left out
 SEED = 7
 
 _words: dict[bytes, int] = {}
@@ -100,23 +100,18 @@ def chunk_keys(sigs: DataFrame) -> DataFrame:
     """rep, key: for each chunk the keys it shares with every chunk that differs in one component.
 
     Two chunks differ in at most one component exactly if they agree after one and the same place
-    has been left out, so each place left out gives one key.
+    has been left out, so each place left out gives one key. Its lowest bits name that place.
     """
     width = VALUES // CHUNKS
     keys = []
     for c in range(CHUNKS):
         for gone in range(width):
             parts = [F.substring("sig", 2 * (c * width + i) + 1, 2) for i in range(width) if i != gone]
-            keys.append(F.xxhash64(F.lit(c * width + gone), F.concat(*parts)))
+            slot = c * width + gone
+            keys.append(F.xxhash64(F.concat(*parts)).bitwiseAND(F.lit(~SLOTS)).bitwiseOR(F.lit(slot)))
     return sigs.select("rep", F.explode(F.array(*keys)).alias("key"))
 
 
-def distance(a: str, b: str) -> Column:
-    """Number of components in which two signatures differ."""
-    differ = [(F.substring(a, 2 * i + 1, 2) != F.substring(b, 2 * i + 1, 2)).cast("int") for i in range(VALUES)]
-    return reduce(add, differ)
-
-
 ORDER = ["key", "_diag", "_i", "_j"]
 
 
@@ -153,8 +148,22 @@ def apart_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
     return cross.unionByName(few)
 
 
+def first_slots(differ: np.ndarray) -> np.ndarray:
+    """The first key two signatures share, as its place left out; -1 if they share none."""
+    width = VALUES // CHUNKS
+    per_chunk = differ.reshape(len(differ), CHUNKS, width)
+    n = per_chunk.sum(axis=2)
+    chunk = (n <= ERRORS).argmax(axis=1)
+    at = np.arange(len(differ))
+    slot = chunk * width + per_chunk[at, chunk].argmax(axis=1)
+    return np.where(n[at, chunk] <= ERRORS, slot, -1)
+
+
 def block_candidates(rows: DataFrame, max_distance: int) -> DataFrame:
-    """a, b: rows of different components that meet in a block and whose signatures are close."""
+    """a, b: rows of different components whose signatures are close, once per pair.
+
+    Of the keys a pair shares only the first one reports it.
+    """
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -162,11 +171,14 @@ def block_candidates(rows: DataFrame, max_distance: int) -> DataFrame:
         for part in runs(batches, ORDER):
             sig = np.stack([np.frombuffer(x, "<u2") for x in part.column("sig").to_pylist()])
             rep, comp = part.column("rep").to_numpy(), part.column("component").to_numpy()
+            slot = part.column("key").to_numpy() & SLOTS
             own, diag = part.column("_at").to_numpy(), part.column("_diag").to_numpy()
             for i, j in pairs_in_runs(group_starts(part, ORDER), len(rep), 200_000):
                 meet = (comp[i] != comp[j]) & (diag[i] | (own[i] != own[j]))
                 i, j = i[meet], j[meet]
-                good = (sig[i] != sig[j]).sum(axis=1) <= max_distance
+                differ = sig[i] != sig[j]
+                good = np.flatnonzero(differ.sum(axis=1) <= max_distance)
+                good = good[first_slots(differ[good]) == slot[i[good]]]
                 a, b = rep[i[good]], rep[j[good]]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
@@ -175,13 +187,8 @@ def block_candidates(rows: DataFrame, max_distance: int) -> DataFrame:
     return wanted.repartition(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(compare, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
-
-    ``docs`` (rep, text) are the texts of the classes; sets are made once per class and stored.
-    """
-    used = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = docs.join(save_table(used, "minhash-used"), "rep")
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """rep, set: the sorted shingle hashes of the texts of ``ids`` (rep), stored."""
 
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -190,7 +197,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
             found = [shingle_hashes(t, words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "set"])
 
-    stored = save_table(texts.select("rep", "text").mapInArrow(sets, "rep long, set binary"), "minhash-sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("text IS NOT NULL")
+    texts = texts.join(save_table(ids, "minhash-used"), "rep", "left_semi")
+    return save_table(texts.mapInArrow(sets, "rep long, set binary"), "minhash-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union, stored."""
 
     def check(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -201,12 +214,37 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(stored.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(
-        stored.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b"
+    joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(
+        sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b"
     )
-    return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return save_table(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "minhash-links")
+
+
+def labelled(shared: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``shared`` (key, rep) with the component of each class."""
+    if links is None:
+        return shared.withColumn("component", F.col("rep"))
+    found = save_table(connected_components(links).withColumnRenamed("node", "rep"), "minhash-components")
+    return shared.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def star_pairs(rows: DataFrame, number: int) -> DataFrame:
+    """a, b: each class with the hub of another component that it shares most keys with.
+
+    The hub of a key is its class with the lowest hash, another one in each round; the classes
+    of a group of copies mostly agree on it, so one pair per class joins most of the group.
+    """
+    rank = F.struct(F.xxhash64("rep", F.lit(number)).alias("h"), "rep", "component")
+    hubs = rows.groupBy("key").agg(
+        F.min(rank).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).filter("low < high")
+    met = rows.join(hubs.select("key", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("of")), "key")
+    met = met.filter("component <> of").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n"))
+    chosen = met.groupBy("rep").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub")))["hub"].alias("hub"))
+    hub = -F.col("hub")
+    return chosen.select(F.greatest("rep", hub).alias("a"), F.least("rep", hub).alias("b")).distinct()
 
 
 def duplicate_groups(
@@ -219,11 +257,10 @@ def duplicate_groups(
     shingles is shared; component_id is the smallest doc_id reachable. Rows with equal sets are
     one class. Signatures of the classes are joined by chunk keys, which finds every pair of
     signatures within ``max_distance`` (at most CHUNKS * (ERRORS + 1) - 1 by pigeonhole; 27 of 70
-    misses a pair at 80 % once in 15,000, more similar ones far more seldom). In a first round
-    each class is compared with the smallest class of each of its keys, which joins groups of
-    copies of any size without listing their pairs. A second round compares, within each key,
-    all classes that are still in different components, in blocks of ``block_rows``. All links
-    are confirmed on full sets.
+    misses a pair at 80 % once in 15,000, more similar ones far more seldom). STAR_ROUNDS rounds
+    compare each class with one hub, which joins groups of copies of any size without listing
+    their pairs. After them all classes that share a key and are still in different
+    components are compared, in blocks of ``block_rows``. All links are confirmed on full sets.
 
     Texts that are null or without words have an empty set and are linked with nothing; their
     component is their own id. Rows repeated under one doc_id are one class if equal; a null
@@ -235,32 +272,23 @@ def duplicate_groups(
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
     classes = save_table(classes, "minhash-classes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("text IS NOT NULL")
     keys = chunk_keys(classes)
     low = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    shared = save_table(keys.join(low.drop("high"), "key"), "minhash-shared")  # keys of two classes or more
-
-    # first round: stars
-    stars = shared.filter("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    sa = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
-    sb = classes.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    stars = stars.join(sa, "a").join(sb, "b").filter(distance("sig_a", "sig_b") <= max_distance)
-    stars = save_table(stars.select("a", "b").distinct(), "minhash-stars")
-    links = save_table(confirmed(stars, texts, words, percent), "minhash-links")
+    shared = save_table(keys.join(low.select("key"), "key"), "minhash-shared")  # keys of two classes or more
+    sets = shingle_sets(docs, shared.select("rep").distinct(), words)
+
+    links = checked = None
+    for number in range(STAR_ROUNDS):
+        pairs = save_table(star_pairs(labelled(shared, links), number), "minhash-stars")
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        found = confirmed(pairs, sets, percent)
+        links = found if links is None else links.unionByName(found)
+    # what meets in a key and is still apart
+    blocks = apart_blocks(labelled(shared, links), block_rows).join(classes.select("rep", "sig"), "rep")
+    more = block_candidates(blocks, max_distance).join(checked.distinct(), ["a", "b"], "left_anti")
+    links = links.unionByName(confirmed(save_table(more, "minhash-more"), sets, percent))
     found = connected_components(links)
 
-    # second round: what meets in a key and is still apart
-    labels = found.select(F.col("node").alias("rep"), "component")
-    labelled = shared.select("key", "rep").join(labels, "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep")
-    )
-    blocks = apart_blocks(labelled, block_rows).join(classes.select("rep", "sig"), "rep")
-    more = block_candidates(blocks, max_distance).distinct().join(stars, ["a", "b"], "left_anti")
-    more = save_table(more, "minhash-more")
-    if more.head(1):
-        links = links.unionByName(confirmed(more, texts, words, percent))
-        found = connected_components(links)
-
     reps = classes.select("set_hash", "n_shingles", "rep")
     out = signed.join(reps, ["set_hash", "n_shingles"], "left").join(
         found.select(F.col("node").alias("rep"), "component"), "rep", "left"
