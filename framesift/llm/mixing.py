@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import WORDS
+from framesift.llm.common import WORDS, n_partitions
 from framesift.operators.skew import ordered_rank
 from framesift.session import save_table
 
@@ -162,6 +162,8 @@ def block_draws(sources: DataFrame, shard_blocks: int) -> DataFrame:
     cuts = F.sequence(F.col("start"), F.col("stop") - 1, F.lit(shard_blocks).cast("long"))
     ranges = ranges.select("rank", *grid, "stop", F.explode(cuts).alias("start"))
     ranges = ranges.withColumn("stop", F.least("stop", F.col("start") + shard_blocks))
+    # a range is a small row but much work: dealt to a fixed number of tasks before it is spread out
+    ranges = ranges.repartition(max(n_partitions(spark), spark.sparkContext.defaultParallelism), "rank", "start")
     draws = ranges.select("rank", *grid, F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("draw"))
     draws = draws.withColumn("epoch", F.floor(F.col("draw") / F.col("blocks")).cast("long"))
     at = F.col("draw") - F.col("epoch") * F.col("blocks")
