@@ -117,7 +117,9 @@ def mixture(
     )
     sources = source_targets(narrow, weights, share, most).withColumn("line", key)
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
-    quota = F.least(F.round(F.col("target") / block_words).cast("long"), blocks * most)
+    # in blocks of the source's mean length: the last block of a source is shorter
+    mean = F.col("source_size") / blocks
+    quota = F.when(blocks > 0, F.least(F.round(F.col("target") / mean).cast("long"), blocks * most)).otherwise(0)
     width = F.ceil(F.sqrt(blocks.cast("double"))).cast("long")
     sources = sources.select("*", blocks.alias("blocks"), quota.alias("quota"), width.alias("grid_a"))
     sources = sources.withColumn("grid_b", F.ceil(F.col("blocks") / F.col("grid_a")).cast("long"))

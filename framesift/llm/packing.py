@@ -15,6 +15,7 @@ from framesift.session import save_table
 MAX_TOKENS = 1024
 END_ID = 2
 ITEMS_PER_TASK = 50_000  # pieces packed by one task; open bins left by the tasks are packed again
+FULL_SHARE = 0.97
 TOKENIZER_FILE = "byte_bpe_50k.json"
 # Fixed value: the published split pattern of byte-level BPE vocabularies of this family.
 SPLIT_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -128,6 +129,39 @@ class OpenBins:
         return number, offset
 
 
+def pack_sizes(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset, fill of the bin) of each size, placed in the order given.
+
+    Pieces of bins that are less than FULL_SHARE filled are placed once more among themselves, as long as
+    that saves bins.
+    """
+
+    def place(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bins = OpenBins(room)
+        number = np.array([bins.place(int(s))[0] for s in sizes[which]], np.int64)
+        return number, np.array(bins.fill, np.int64)
+
+    number, fill = place(np.arange(len(sizes)))
+    while True:
+        loose = fill < FULL_SHARE * room
+        again = np.flatnonzero(loose[number])
+        if not len(again):
+            break
+        fresh, filled = place(again)
+        if len(filled) >= loose.sum():
+            break
+        renamed = np.cumsum(~loose) - 1
+        number = renamed[number]
+        number[again] = fresh + (~loose).sum()
+        fill = np.concatenate([fill[~loose], filled])
+    order = np.argsort(number, kind="stable")
+    ends = np.cumsum(sizes[order])
+    first = np.cumsum(fill) - fill
+    offset = np.empty(len(sizes), np.int64)
+    offset[order] = ends - sizes[order] - first[number[order]]
+    return number, offset, fill[number]
+
+
 PLACED = "item long, bin long, at int, fill int"
 
 
@@ -145,13 +179,10 @@ def pack_round(items: DataFrame, n_tasks: int, room: int) -> DataFrame:
         item, size = (np.concatenate(c) for c in zip(*rows))
         order = np.lexsort((item, -size))
         item, size = item[order], size[order]
-        bins = OpenBins(room)
-        spots = [bins.place(int(s)) for s in size]
-        number = np.array([s[0] for s in spots], np.int64)
+        number, offset, fill = pack_sizes(size.astype(np.int64), room)
         base = TaskContext.get().partitionId() << 36
         yield pa.RecordBatch.from_arrays(
-            [pa.array(item), pa.array(number + base), pa.array([s[1] for s in spots], pa.int32()),
-             pa.array(np.array(bins.fill, np.int32)[number])],
+            [pa.array(item), pa.array(number + base), pa.array(offset.astype(np.int32)), pa.array(fill.astype(np.int32))],
             names=["item", "bin", "at", "fill"],
         )
 
