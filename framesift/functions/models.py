@@ -84,7 +84,9 @@ def count_faces_udf(
     """
     if backend not in DETECTORS:
         raise ValueError(f"unknown detector {backend!r}; use one of {', '.join(DETECTORS)}")
-    make_detector = (detectors or {}).get(backend, bright_blobs)
+    if backend not in (detectors or {}):
+        raise ValueError(f"no detector given for {backend!r}: pass detectors={{{backend!r}: factory}}")
+    make_detector = detectors[backend]
 
     @F.pandas_udf("int")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:

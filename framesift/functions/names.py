@@ -28,8 +28,8 @@ def is_image_name(name: Column) -> Column:
 
 
 def stem(name: Column) -> Column:
-    """Name without its last suffix; a leading dot starts no suffix."""
-    return F.regexp_replace(name, r"(?s)^(.+)\.[^.]+$", "$1")
+    """Name without its ``extension``."""
+    return F.substring(name, F.lit(1), F.length(name) - F.length(extension(name)))
 
 
 def extension(name: Column) -> Column:
@@ -86,5 +86,5 @@ def cluster_label(cluster: Column, name: Column) -> Column:
 
 
 def mtime_text(mtime: Column) -> Column:
-    """Modification time as the fixed text that goes into request keys."""
-    return F.date_format(mtime, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    """Modification time in microseconds: the text in request keys, the same in every time zone."""
+    return F.unix_micros(mtime.cast("timestamp")).cast("string")

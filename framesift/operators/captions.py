@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from framesift.functions.names import text_name
 
 KEY_CHUNK = 10_000  # files per digest of a request key
-PAGE = 1_000  # captions per page of a caption list
-MAX_PROMPTS = 1_000  # prompts are typed by people; each one repeats the whole image set
 
 
 def truth_text(flag: Column) -> Column:
@@ -21,41 +19,34 @@ def truth_text(flag: Column) -> Column:
 def request_keys(files: DataFrame, request: Sequence[str], params: Sequence[Column]) -> DataFrame:
     """(request..., n_files, request_key) from (request..., pos, name, mtime text).
 
-    The key is the MD5 of ``name:mtime`` of all files in order and the parameters, joined
-    by ``|``. Files are joined in chunks of consecutive positions, so that no task gathers
-    a whole huge request; when there is more than one chunk the chunk digests stand for
-    the files. ``pos`` counts from 0 within a request.
+    Files are taken in chunks of consecutive positions, so that no task gathers a whole huge
+    request: a chunk's digest is the MD5 of its ``name:mtime`` in order, joined by ``|``. The key
+    is the MD5 of the chunk digests and the parameters, joined by ``|``; nulls count as empty
+    texts. ``pos`` counts from 0 within a request.
     """
     request = list(request)
     chunk = F.floor(F.col("pos") / KEY_CHUNK).alias("_chunk")
-    entry = F.struct("pos", F.concat_ws(":", "name", "mtime").alias("text"))
+    entry = F.struct("pos", F.concat_ws(":", *[F.coalesce(c, F.lit("")) for c in ("name", "mtime")]).alias("text"))
     joined = files.groupBy(*request, chunk).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"]), "|").alias("text"),
         F.count(F.lit(1)).alias("_n"),
     )
     parts = joined.select(
         *request, "_chunk", "_n", F.md5(F.encode("text", "UTF-8")).alias("_digest"),
-        F.when(F.col("_chunk") == 0, F.col("text")).alias("_text"),
     )
     digests = F.array_sort(F.collect_list(F.struct("_chunk", "_digest")))
     whole = parts.groupBy(*request).agg(
-        F.when(F.count(F.lit(1)) == 1, F.max("_text"))
-        .otherwise(F.array_join(F.transform(digests, lambda e: e["_digest"]), "|"))
-        .alias("_files"),
+        F.array_join(F.transform(digests, lambda e: e["_digest"]), "|").alias("_files"),
         F.sum("_n").alias("n_files"),
     )
-    text = F.concat_ws("|", "_files", *params)
+    given = [F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in params]
+    text = F.concat_ws("|", "_files", *given)
     return whole.select(*request, "n_files", F.md5(F.encode(text, "UTF-8")).alias("request_key"))
 
 
-def with_prompts(images: DataFrame, prompts: Sequence[str]) -> DataFrame:
-    """Every prompt on every image. The prompts are the caller's short list, held in the plan."""
-    if not 0 < len(prompts) <= MAX_PROMPTS:
-        raise ValueError(f"give 1 to {MAX_PROMPTS} prompts")
-    table = F.array(*[F.struct(F.lit(i).alias("prompt_no"), F.lit(p).alias("prompt")) for i, p in enumerate(prompts)])
-    return images.withColumn("_p", F.explode(table)).select(
-        *images.columns, F.col("_p.prompt_no").alias("prompt_no"), F.col("_p.prompt").alias("prompt")
-    )
+def with_prompts(images: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Every prompt (prompt_no, prompt) on every image; the result is that product, whatever the sizes."""
+    return images.crossJoin(prompts.select("prompt_no", "prompt"))
 
 
 def cache_hits(wanted: DataFrame, cache: DataFrame, key: str, use_cache: bool = True, force_refresh: bool = False) -> DataFrame:
@@ -72,14 +63,9 @@ def cache_misses(wanted: DataFrame, cache: DataFrame, key: str, use_cache: bool
     return wanted.join(cache.select(key), key, "left_anti")
 
 
-def caption_pages(captions: DataFrame, request: str, page: int = PAGE) -> DataFrame:
-    """(request, page, captions): captions in upload order, in arrays of bounded length."""
-    entry = F.struct("pos", "caption")
-    return (
-        captions.groupBy(request, F.floor(F.col("pos") / page).alias("page"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("_c"))
-        .select(request, "page", F.transform("_c", lambda e: e["caption"]).alias("captions"))
-    )
+def caption_list(captions: DataFrame, request: str) -> DataFrame:
+    """(request, pos, caption), sorted by upload order within a request: one shape at any size."""
+    return captions.select(request, "pos", "caption").orderBy(request, "pos")
 
 
 def caption_at(requests: DataFrame, captions: DataFrame, request: str, index: int) -> DataFrame:

@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from framesift.functions.vectors import cosine
 from framesift.operators.similarity import BLOCK_ROWS, distinct_pairs, unit_rows
@@ -164,7 +165,7 @@ def _partner_checksums(
         F.when(F.col("is_owner"), F.col("_meets")).otherwise(F.col("_block")).alias("right"),
     ).join(vectors, "id")
     id_type = vectors.schema["id"].dataType
-    kernel = _checksum_kernel(threshold, pa.int64() if id_type.typeName() == "long" else pa.string())
+    kernel = _checksum_kernel(threshold, to_arrow_type(id_type))
     partial = tasks.groupBy("owner", "left", "right").applyInArrow(
         kernel, f"id {id_type.simpleString()}, x long, s long, n long"
     )

@@ -78,7 +78,8 @@ def similarity_status(
     stats: DataFrame, threshold: float, out_dir: str, methods: tuple[str, ...]
 ) -> DataFrame:
     """One row of text from a row with duplicates_found and similar_pairs."""
-    # The texts of the status box.
+    # The texts of the status box. A % in the path is text, not a pattern.
+    out_dir = out_dir.replace("%", "%%")
     duplicates = F.when(
         F.col("duplicates_found") > 0,
         F.format_string(f"Found and moved %d duplicate images to {out_dir}/duplicate_images", "duplicates_found"),
@@ -97,7 +98,8 @@ def similarity_status(
 
 
 def face_status(stats: DataFrame, out_dir: str) -> DataFrame:
-    # The texts of the status box.
+    # The texts of the status box. A % in the path is text, not a pattern.
+    out_dir = out_dir.replace("%", "%%")
     return stats.select(
         F.format_string(
             "Processed %d images:\n"
@@ -110,7 +112,8 @@ def face_status(stats: DataFrame, out_dir: str) -> DataFrame:
 
 
 def cluster_status(stats: DataFrame, method: str, out_dir: str) -> DataFrame:
-    # The texts of the status box.
+    # The texts of the status box. A % in the path is text, not a pattern.
+    out_dir = out_dir.replace("%", "%%")
     return stats.select(
         F.format_string(
             "Successfully clustered images into %d groups.\n"

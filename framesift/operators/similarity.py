@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from framesift.operators.skew import join_to_unique
 from framesift.session import save_table
@@ -37,7 +38,7 @@ def usable_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, vec) of rows whose vector has a length; a zero or missing vector matches nothing."""
     vec = F.col(vec_col)
     return df.select(F.col(id_col).alias("id"), vec.alias("vec")).filter(
-        vec.isNotNull() & F.exists(vec, lambda v: v != 0) & ~F.exists(vec, lambda v: v.isNull() | F.isnan(v))
+        vec.isNotNull() & F.exists(vec, lambda v: v != 0) & ~F.exists(vec, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     )
 
 
@@ -190,7 +191,7 @@ def distinct_pairs(
         F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"),
     )
     id_type = vectors.schema["id"].dataType
-    kernel = _pair_kernel(threshold, pa.int64() if id_type.typeName() == "long" else pa.string())
+    kernel = _pair_kernel(threshold, to_arrow_type(id_type))
     return tasks.groupBy("cell", "low", "high").applyInArrow(
         kernel, f"earlier {id_type.simpleString()}, later {id_type.simpleString()}, similarity double"
     )

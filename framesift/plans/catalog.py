@@ -27,7 +27,7 @@ from framesift.sources.images import file_parts
 
 OUT = "/out"
 BOTH = stages.METHODS
-KM = {"init": "first", "max_iter": 3, "tol": -1.0}  # fixed steps, so that SQL can follow them
+KM = {"init": "first", "tol": 0.0}  # until nothing moves; SQL follows from the same start
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -343,8 +343,9 @@ def stage_refine(spark, folder):
 
 @query
 def prompt_cross(spark, folder):
-    names_table = tb.table(spark, folder, tb.PROMPT_TABLE).select("r_name")
-    prompts = [r[0] for r in names_table.take(cap.MAX_PROMPTS + 1)]  # one too many raises
+    prompts = tb.table(spark, folder, tb.PROMPT_TABLE).select(
+        F.col("r_regionkey").alias("prompt_no"), F.col("r_name").alias("prompt")
+    )
     files = tb.captions(spark, folder).select("conv_id", "pos")
     return cap.with_prompts(files, prompts).select("conv_id", "pos", "prompt")
 
@@ -363,8 +364,7 @@ def cache_misses(spark, folder):
 
 @query
 def caption_list(spark, folder):
-    pages = cap.caption_pages(tb.captions(spark, folder), "conv_id")
-    return pages.select("conv_id", "page", F.array_join("captions", "\n").alias("captions"))
+    return cap.caption_list(tb.captions(spark, folder), "conv_id")
 
 
 @query
@@ -390,8 +390,15 @@ def stage_caption(spark, folder):
         (F.col("conv_id") % 2 == 0).alias("use_hash"), F.lit("model-a").alias("model_key"),
         F.col("caption").alias("text"),
     )
-    done = stages.caption_stage(rows, f"{out_root(spark)}/cache", F.col("text"))
-    return cap.caption_files(done, ["request_key"])
+    # conversations with equal files and texts are equal requests; a second call finds all in the cache
+    cache = f"{out_root(spark)}/cache"
+    first = stages.caption_stage(rows, cache, F.col("text"))
+    again = stages.caption_stage(rows, cache, F.lit("not asked again"))
+    parts = [
+        cap.caption_files(done, ["request", "request_key"]).withColumn("call", F.lit(call))
+        for call, done in ((1, first), (2, again))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 @query

@@ -110,6 +110,9 @@ def nearest(points: str, centers: str) -> str:
     FROM {points} p CROSS JOIN {centers} c) WHERE r = 1"""
 
 
+STEPS = 60  # beyond the point from which steps change nothing
+
+
 def kmeans(source: str, k: int, steps: int) -> str:
     """CTEs pts, c0..cn, final: Lloyd steps from the vectors of the k lowest ids."""
     out = [
@@ -136,7 +139,6 @@ IDENTIFIERS = """ids AS (SELECT 'part' AS kind, p_partkey AS id, p_name AS name
   UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier)"""
 TXT = "regexp_replace(filename, '^(.+)\\.[^.]+$', '\\1') || '.txt'"
 VEC_NAME = "'IMG_' || vec_id || '.png'"
-STAMP = "%Y-%m-%d %H:%M:%S.%f"
 
 ORACLES: dict[str, str] = {
     "file_meta": f"""WITH {FILES} SELECT path, filename,
@@ -161,11 +163,14 @@ ORACLES: dict[str, str] = {
     CASE WHEN contains(p, '_') THEN p || '_captions.zip' ELSE 'captions.zip' END AS plain_export FROM k""",
     "caption_prefix": f"""WITH {CAPTIONS}, n AS (SELECT *, 'Photo Set ' || (conv_id % 5) AS name FROM captions)
   SELECT conv_id, pos, {FLUX.format('name')} || ', ' || caption AS caption FROM n""",
-    "request_key": f"""SELECT user_id AS request, count(*) AS n_files,
-    md5(string_agg(event_id || ':' || strftime(ts, '{STAMP}'), '|' ORDER BY ts, event_id)
-      || '|describe|user ' || user_id || '|' || CASE WHEN user_id % 2 = 0 THEN 'True' ELSE 'False' END
-      || '|model-a') AS request_key
-  FROM events GROUP BY user_id""",
+    "request_key": """WITH p AS (
+    SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 10000 AS chunk FROM events),
+  d AS (SELECT user_id, chunk, count(*) AS n, md5(string_agg(event_id || ':' || epoch_us(ts), '|' ORDER BY ts, event_id)) AS digest
+        FROM p GROUP BY 1, 2)
+  SELECT user_id AS request, sum(n)::BIGINT AS n_files,
+    md5(string_agg(digest, '|' ORDER BY chunk) || '|describe|user ' || user_id || '|'
+      || CASE WHEN user_id % 2 = 0 THEN 'True' ELSE 'False' END || '|model-a') AS request_key
+  FROM d GROUP BY user_id""",
     "hash_duplicates": f"WITH {COARSE}, {DUPLICATES} SELECT vec_id, hash, kept FROM dups",
     "hash_stats": f"WITH {COARSE} SELECT count(*) AS total_images, count(*) - count(DISTINCT hash) AS duplicates_found FROM hashes",
     "remaining_after_hash": f"""WITH {COARSE}, {DUPLICATES}
@@ -230,17 +235,16 @@ ORACLES: dict[str, str] = {
   SELECT cluster, n, i - 1 AS dim, round(x, 6) AS value FROM (
     SELECT m.cluster, n, unnest(center) AS x, generate_subscripts(center, 1) AS i
     FROM m0 m JOIN (SELECT cluster, count(*) AS n FROM a0 GROUP BY 1) s ON s.cluster = m.cluster)""",
-    "kmeans_assign": f"""WITH {kmeans('embeddings', K, 3)} SELECT vec_id, cluster, round(d, 6) AS distance FROM final""",
-    "stage_refine": f"""WITH {VALID}, {kmeans('valid', K, 3)},
+    "kmeans_assign": f"""WITH {kmeans('embeddings', K, STEPS)} SELECT vec_id, cluster, round(d, 6) AS distance FROM final""",
+    "stage_refine": f"""WITH {VALID}, {kmeans('valid', K, STEPS)},
   away AS (SELECT p.vec_id, p.cluster, min(list_distance(p.v, c.center)) AS d
-           FROM final p JOIN c3 c ON c.cluster <> p.cluster GROUP BY 1, 2), {PICK_FAR}
+           FROM final p JOIN c{STEPS} c ON c.cluster <> p.cluster GROUP BY 1, 2), {PICK_FAR}
   SELECT vec_id, cluster, round(d, 6) AS distance,
     'diversity_cluster/IMG_' || vec_id || '_cluster' || cluster || '.png' AS dest_name FROM picked""",
     "prompt_cross": f"WITH {CAPTIONS} SELECT conv_id, pos, r_name AS prompt FROM captions CROSS JOIN region",
     "cache_hits": "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "cache_misses": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "caption_list": f"""WITH {CAPTIONS} SELECT conv_id, pos // 1000 AS page, string_agg(caption, chr(10) ORDER BY pos) AS captions
-  FROM captions GROUP BY 1, 2""",
+    "caption_list": f"""WITH {CAPTIONS} SELECT conv_id, pos, caption FROM captions""",
     "caption_at": f"""WITH {CAPTIONS}, r AS (
     SELECT conv_id, caption, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS n FROM captions)
   SELECT q.conv_id, coalesce(r.caption, '') AS caption
@@ -249,12 +253,12 @@ ORACLES: dict[str, str] = {
   FROM captions GROUP BY 1""",
     "stage_caption": f"""WITH {CAPTIONS},
   r AS (SELECT *, 'Photo Set ' || (conv_id % 5) AS name, conv_id % 2 = 0 AS hashed FROM captions),
-  k AS (SELECT conv_id, md5(string_agg('/set/' || filename || ':' || strftime(make_timestamp(conv_id * 60000000), '{STAMP}'),
-      '|' ORDER BY pos) || '|describe|' || any_value(name) || '|'
+  k AS (SELECT conv_id, md5(md5(string_agg('/set/' || filename || ':' || (conv_id * 60000000),
+      '|' ORDER BY pos)) || '|describe|' || any_value(name) || '|'
       || CASE WHEN any_value(hashed) THEN 'True' ELSE 'False' END || '|model-a') AS request_key FROM r GROUP BY 1)
-  SELECT request_key, {TXT} AS txt_name,
+  SELECT conv_id AS request, request_key, call, {TXT} AS txt_name,
     arg_max(CASE WHEN hashed THEN {FLUX.format('name')} ELSE trim(name) END || ', ' || caption, pos) AS content
-  FROM r JOIN k USING (conv_id) GROUP BY 1, 2""",
+  FROM r JOIN k USING (conv_id), (VALUES (1), (2)) calls(call) GROUP BY 1, 2, 3, 4""",
 }
 
 # The last stage clusters what the first two leave over; its points come from `single`.
@@ -263,7 +267,7 @@ single AS MATERIALIZED (
   SELECT vec_id, embedding FROM embeddings
   WHERE vec_id IN (SELECT vec_id FROM routes WHERE route = 'keep')
     AND vec_id IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = 1))"""
-_STEPS = kmeans("single", 5, 3).replace("pts AS", "points AS", 1).replace("FROM pts", "FROM points")
+_STEPS = kmeans("single", 5, STEPS).replace("pts AS", "points AS", 1).replace("FROM pts", "FROM points")
 ORACLES["full_flow"] = f"""WITH RECURSIVE {_SINGLE}, {_STEPS},
   best AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY d, vec_id) AS r FROM final)
   SELECT vec_id, cluster, 'IMG_' || vec_id || '.txt' AS txt_name, {FLUX.format("'Photo Set'")} || ', ' || text AS content

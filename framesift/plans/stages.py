@@ -236,7 +236,8 @@ def caption_stage(
         named, ["request", *params],
         ["prompt", "identifier", cap.truth_text(F.col("use_hash")), "model_key"],
     )
-    # equal requests have equal keys; the first one stands for all of them
+    keyed = save_table(keyed, "keyed")
+    # equal requests have equal keys; the first one is computed for all of them
     keys = save_table(
         keyed.groupBy("request_key", "identifier", "use_hash", "n_files").agg(F.min("request").alias("request")),
         "keys",
@@ -260,10 +261,12 @@ def caption_stage(
     )
     old = join_to_unique(cache, hits, ["request_key", "version"], weight="n").select(*done.columns)
     result = save_table(old.unionByName(done), "captions")
-    done.withColumn("version", F.lit(time.time_ns())).select(
-        "request_key", "version", "pos", "filename", "caption"
-    ).sortWithinPartitions("request_key").write.mode("append").parquet(cache_path)
-    return join_to_unique(result, keys, ["request_key"], weight="n_files").select(
+    if done.head(1):
+        done.withColumn("version", F.lit(time.time_ns())).select(
+            "request_key", "version", "pos", "filename", "caption"
+        ).sortWithinPartitions("request_key").write.mode("append").parquet(cache_path)
+    # every request gets the rows of its key, also those that asked for the same
+    return result.join(keyed.select("request_key", "request", "identifier", "use_hash"), "request_key").select(
         "request_key", "request", "identifier", "use_hash", "pos", "filename", "caption"
     )
 

@@ -75,8 +75,8 @@ def test_request_key(spark, monkeypatch):
     def files(part):
         return "|".join(f"f{p}:t{p}" for p in part)
 
-    assert got["r1"] == (3, md5(files(range(3)) + "|p|True"))
-    assert got["r2"] == (4, md5(files(range(4)) + "|p|True"))
+    assert got["r1"] == (3, md5(md5(files(range(3))) + "|p|True"))
+    assert got["r2"] == (4, md5(md5(files(range(4))) + "|p|True"))
     chunks = "|".join(md5(files(range(a, min(a + 4, 11)))) for a in (0, 4, 8))
     assert got["r3"] == (11, md5(chunks + "|p|True"))
 
@@ -86,7 +86,7 @@ def test_caption_order_and_last_wins(spark):
         [("r", 2, "a.png", "third"), ("r", 0, "a.jpg", "first"), ("r", 1, "b.png", "second")],
         "request string, pos int, filename string, caption string",
     )
-    assert cap.caption_pages(df, "request").first().captions == ["first", "second", "third"]
+    assert [r.caption for r in cap.caption_list(df, "request").collect()] == ["first", "second", "third"]
     files = {r.txt_name: r.content for r in cap.caption_files(df).collect()}
     assert files == {"a.txt": "third", "b.txt": "second"}
     requests = df.select("request").distinct()
@@ -94,8 +94,25 @@ def test_caption_order_and_last_wins(spark):
         assert cap.caption_at(requests, df, "request", index).first().caption == want
 
 
-def test_prompts_are_bounded(spark):
-    df = spark.range(3)
-    assert cap.with_prompts(df, ["a", "b"]).count() == 6
+def test_prompts_have_no_bound(spark):
+    prompts = spark.range(1500).select(F.col("id").alias("prompt_no"), F.lit("p").alias("prompt"))
+    assert cap.with_prompts(spark.range(3), prompts).count() == 4500
+
+
+def test_key_in_any_time_zone_and_odd_names(spark):
+    stamp = spark.sql("SELECT timestamp'2024-11-03 05:30:00Z' AS t UNION ALL SELECT timestamp'2024-11-03 06:30:00Z'")
+    seen = []
+    for zone in ("America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        seen.append(sorted(r[0] for r in stamp.select(names.mtime_text(F.col("t"))).collect()))
+    assert seen[0] == seen[1] and len(set(seen[0])) == 2
+    df = spark.createDataFrame([("a.",), ("...png",), ("a.b.png",), (".png",)], "n string")
+    parts = df.select("n", names.stem(F.col("n")).alias("s"), names.extension(F.col("n")).alias("e")).collect()
+    assert all(r.s + r.e == r.n for r in parts)
+
+
+def test_detector_must_be_given():
+    from framesift.functions.models import count_faces_udf
+
     with pytest.raises(ValueError):
-        cap.with_prompts(df, ["x"] * (cap.MAX_PROMPTS + 1))
+        count_faces_udf("mtcnn")
