@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from framesift.session import ship_package
 
 WORDS = r"[^\x20\x09-\x0D]+"
-BATCH_BYTES = "16m"  # Arrow batches are cut by bytes, so long texts cannot pile up in a task
+BATCH_BYTES = "8m"  # Arrow batches are cut by bytes, so long texts cannot pile up in a task
 BATCH_ROWS = "2000"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.common import group_starts, in_blocks, pairs_in_runs, runs
-from framesift.llm.components import connected_components
+from framesift.llm.components import merged
 from framesift.session import save_table
 
 VALUES = 70  # components of a signature
@@ -34,7 +34,7 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, only ASCII blanks
     if not parts:
         return np.empty(0, np.uint64)
-    if len(_words) > 500_000:
+    if len(_words) > 100_000:
         _words.clear()
     codes = []
     for p in parts:
@@ -222,12 +222,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return save_table(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "minhash-links")
 
 
-def labelled(shared: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``shared`` (key, rep) with the component of each class."""
-    if links is None:
+def labelled(shared: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``shared`` (key, rep) with the component of each class, from (node, component) or itself."""
+    if found is None:
         return shared.withColumn("component", F.col("rep"))
-    found = save_table(connected_components(links).withColumnRenamed("node", "rep"), "minhash-components")
-    return shared.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labels = found.withColumnRenamed("node", "rep")
+    return shared.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
 def star_pairs(rows: DataFrame, number: int) -> DataFrame:
@@ -277,17 +277,15 @@ def duplicate_groups(
     shared = save_table(keys.join(low.select("key"), "key"), "minhash-shared")  # keys of two classes or more
     sets = shingle_sets(docs, shared.select("rep").distinct(), words)
 
-    links = checked = None
+    found = checked = None
     for number in range(STAR_ROUNDS):
-        pairs = save_table(star_pairs(labelled(shared, links), number), "minhash-stars")
+        pairs = save_table(star_pairs(labelled(shared, found), number), "minhash-stars")
         checked = pairs if checked is None else checked.unionByName(pairs)
-        found = confirmed(pairs, sets, percent)
-        links = found if links is None else links.unionByName(found)
+        found = merged(found, confirmed(pairs, sets, percent))
     # what meets in a key and is still apart
-    blocks = apart_blocks(labelled(shared, links), block_rows).join(classes.select("rep", "sig"), "rep")
+    blocks = apart_blocks(labelled(shared, found), block_rows).join(classes.select("rep", "sig"), "rep")
     more = block_candidates(blocks, max_distance).join(checked.distinct(), ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(save_table(more, "minhash-more"), sets, percent))
-    found = connected_components(links)
+    found = merged(found, confirmed(save_table(more, "minhash-more"), sets, percent))
 
     reps = classes.select("set_hash", "n_shingles", "rep")
     out = signed.join(reps, ["set_hash", "n_shingles"], "left").join(
