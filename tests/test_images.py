@@ -197,7 +197,8 @@ def test_manifest(spark, images, tmp_path):
 
 
 def test_every_prompt_on_every_image(images):
-    asked = cap.with_prompts(images.select("image_id", "image"), ["colours", "mood"])
+    prompts = images.sparkSession.createDataFrame([(0, "colours"), (1, "mood")], "prompt_no int, prompt string")
+    asked = cap.with_prompts(images.select("image_id", "image"), prompts)
     rows = asked.select("image_id", "prompt", models.caption_udf()("image", "prompt").alias("c")).collect()
     assert len(rows) == 18
     assert all(r.c.startswith(r.prompt + ": ") for r in rows if "bad.jpg" not in r.image_id)
