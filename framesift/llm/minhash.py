@@ -19,7 +19,7 @@ ERRORS = 1  # differing components allowed in a chunk: guarantees distances up t
 MAX_DISTANCE = 27
 SHINGLE_WORDS = 5
 PERCENT = 80
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
 STAR_ROUNDS = 3
 SLOTS = 127  # lowest bits of a key: the place left out
 SEED = 7
@@ -159,32 +159,73 @@ def first_slots(differ: np.ndarray) -> np.ndarray:
     return np.where(n[at, chunk] <= ERRORS, slot, -1)
 
 
-def block_candidates(rows: DataFrame, max_distance: int) -> DataFrame:
-    """a, b: rows of different components whose signatures are close, once per pair.
+def close_pairs(part, max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of an Arrow table that lie in different components and whose signatures are close.
 
     Of the keys a pair shares only the first one reports it.
     """
+    sig = np.stack([np.frombuffer(x, "<u2") for x in part.column("sig").to_pylist()])
+    comp, slot = part.column("component").to_numpy(), part.column("key").to_numpy() & SLOTS
+    own, diag = part.column("_at").to_numpy(), part.column("_diag").to_numpy()
+    for i, j in pairs_in_runs(group_starts(part, ORDER), part.num_rows, 200_000):
+        meet = (comp[i] != comp[j]) & (diag[i] | (own[i] != own[j]))
+        i, j = i[meet], j[meet]
+        differ = sig[i] != sig[j]
+        good = np.flatnonzero(differ.sum(axis=1) <= max_distance)
+        good = good[first_slots(differ[good]) == slot[i[good]]]
+        yield i[good], j[good]
+
+
+def block_candidates(rows: DataFrame, max_distance: int) -> DataFrame:
+    """The rows of each block that have a close partner in it; as many rows at most as come in."""
+    columns = [*ORDER, "_at", "rep", "component", "sig"]
+
+    def survivors(batches: Iterator) -> Iterator:
+        for part in runs(batches, ORDER):
+            alive = np.zeros(part.num_rows, bool)
+            for i, j in close_pairs(part, max_distance):
+                alive[i] = alive[j] = True
+            if alive.any():
+                yield from part.take(np.flatnonzero(alive)).to_batches()
+
+    wanted = rows.select(*columns)
+    return wanted.repartition(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(survivors, wanted.schema)
+
+
+def block_links(alive: DataFrame, sets: DataFrame, max_distance: int, percent: int) -> DataFrame:
+    """a, b: links between different components, confirmed on full sets inside the blocks.
+
+    Rows carry their sets, so what leaves a task does not grow with the pairs it has compared. A
+    pair of components that a block has linked once is not compared there again.
+    """
 
-    def compare(batches: Iterator) -> Iterator:
+    def confirm(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for part in runs(batches, ORDER):
-            sig = np.stack([np.frombuffer(x, "<u2") for x in part.column("sig").to_pylist()])
-            rep, comp = part.column("rep").to_numpy(), part.column("component").to_numpy()
-            slot = part.column("key").to_numpy() & SLOTS
-            own, diag = part.column("_at").to_numpy(), part.column("_diag").to_numpy()
-            for i, j in pairs_in_runs(group_starts(part, ORDER), len(rep), 200_000):
-                meet = (comp[i] != comp[j]) & (diag[i] | (own[i] != own[j]))
-                i, j = i[meet], j[meet]
-                differ = sig[i] != sig[j]
-                good = np.flatnonzero(differ.sum(axis=1) <= max_distance)
-                good = good[first_slots(differ[good]) == slot[i[good]]]
-                a, b = rep[i[good]], rep[j[good]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-
-    wanted = rows.select(*ORDER, "_at", "rep", "component", "sig")
-    return wanted.repartition(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(compare, "a long, b long")
+            rep, comp = part.column("rep").to_numpy(), part.column("component").to_pylist()
+            held = [np.frombuffer(x, np.uint64) for x in part.column("set").to_pylist()]
+            linked, a, b = set(), [], []
+            for i, j in close_pairs(part, max_distance):
+                for x, y in zip(i.tolist(), j.tolist()):
+                    both = (min(comp[x], comp[y]), max(comp[x], comp[y]))
+                    if both not in linked and similar(held[x], held[y], percent):
+                        linked.add(both)
+                        a.append(rep[x])
+                        b.append(rep[y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = alive.join(sets, "rep").select(*ORDER, "_at", "rep", "component", "sig", "set")
+    return rows.repartition(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(confirm, "a long, b long")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int((x[at] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -211,9 +252,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(
@@ -277,15 +316,14 @@ def duplicate_groups(
     shared = save_table(keys.join(low.select("key"), "key"), "minhash-shared")  # keys of two classes or more
     sets = shingle_sets(docs, shared.select("rep").distinct(), words)
 
-    found = checked = None
+    found = None
     for number in range(STAR_ROUNDS):
         pairs = save_table(star_pairs(labelled(shared, found), number), "minhash-stars")
-        checked = pairs if checked is None else checked.unionByName(pairs)
         found = merged(found, confirmed(pairs, sets, percent))
     # what meets in a key and is still apart
     blocks = apart_blocks(labelled(shared, found), block_rows).join(classes.select("rep", "sig"), "rep")
-    more = block_candidates(blocks, max_distance).join(checked.distinct(), ["a", "b"], "left_anti")
-    found = merged(found, confirmed(save_table(more, "minhash-more"), sets, percent))
+    alive = save_table(block_candidates(blocks, max_distance), "minhash-alive")
+    found = merged(found, save_table(block_links(alive, sets, max_distance, percent), "minhash-links"))
 
     reps = classes.select("set_hash", "n_shingles", "rep")
     out = signed.join(reps, ["set_hash", "n_shingles"], "left").join(

@@ -262,7 +262,7 @@ def test_duplicate_groups(spark, edges):
     rows = list(enumerate(texts))
     sets, want = brute_groups(rows, 2)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for block_rows in (4, 1024):
+    for block_rows in (4, 256):
         got = {r["doc_id"]: r for r in minhash.duplicate_groups(docs, words=2, block_rows=block_rows).collect()}
         assert {i: r["component_id"] for i, r in got.items()} == want
         assert all(got[i]["n_shingles"] == len(sets[i]) and got[i]["kept"] == (want[i] == i) for i in got)
@@ -284,7 +284,9 @@ def test_minhash_blocks_find_all_close_signatures(spark):
     classes = spark.createDataFrame([(i, bytearray(s)) for i, s in rows], "rep long, sig binary")
     keys = minhash.chunk_keys(classes).withColumn("component", F.col("rep"))
     blocks = minhash.apart_blocks(keys, 8).join(classes, "rep")
-    got = sorted((r["a"], r["b"]) for r in minhash.block_candidates(blocks, 27).collect())
+    sets = spark.createDataFrame([(i, bytearray(np.array([1], np.uint64).tobytes())) for i in range(60)], "rep long, set binary")
+    alive = minhash.block_candidates(blocks, 27)
+    got = sorted((max(r), min(r)) for r in minhash.block_links(alive, sets, 27, 80).collect())
     assert got == [(i, j) for i in range(60) for j in range(i) if (sig[i] != sig[j]).sum() <= 27]
 
 
