@@ -19,7 +19,8 @@ ERRORS = 1  # differing components allowed in a chunk: guarantees distances up t
 MAX_DISTANCE = 27
 SHINGLE_WORDS = 5
 PERCENT = 80
-BLOCK_ROWS = 256
+BLOCK_ROWS = 2048  # rows of a block that holds signatures only
+SET_ROWS = 256  # rows of a block that holds full sets
 STAR_ROUNDS = 3
 SLOTS = 127  # lowest bits of a key: the place left out
 SEED = 7
@@ -177,8 +178,7 @@ def close_pairs(part, max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarra
 
 
 def block_candidates(rows: DataFrame, max_distance: int) -> DataFrame:
-    """The rows of each block that have a close partner in it; as many rows at most as come in."""
-    columns = [*ORDER, "_at", "rep", "component", "sig"]
+    """key, rep, component: the rows that have a close partner under their key, each once."""
 
     def survivors(batches: Iterator) -> Iterator:
         for part in runs(batches, ORDER):
@@ -186,16 +186,16 @@ def block_candidates(rows: DataFrame, max_distance: int) -> DataFrame:
             for i, j in close_pairs(part, max_distance):
                 alive[i] = alive[j] = True
             if alive.any():
-                yield from part.take(np.flatnonzero(alive)).to_batches()
+                yield from part.select(["key", "rep", "component"]).take(np.flatnonzero(alive)).to_batches()
 
-    wanted = rows.select(*columns)
-    return wanted.repartition(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(survivors, wanted.schema)
+    rows = rows.select(*ORDER, "_at", "rep", "component", "sig").repartition(*ORDER).sortWithinPartitions(*ORDER)
+    return rows.mapInArrow(survivors, "key long, rep long, component long").distinct()
 
 
-def block_links(alive: DataFrame, sets: DataFrame, max_distance: int, percent: int) -> DataFrame:
+def block_links(rows: DataFrame, max_distance: int, percent: int) -> DataFrame:
     """a, b: links between different components, confirmed on full sets inside the blocks.
 
-    Rows carry their sets, so what leaves a task does not grow with the pairs it has compared. A
+    Rows carry signatures and sets, so what leaves a task does not grow with the pairs it has compared. A
     pair of components that a block has linked once is not compared there again.
     """
 
@@ -215,7 +215,7 @@ def block_links(alive: DataFrame, sets: DataFrame, max_distance: int, percent: i
                         b.append(rep[y])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rows = alive.join(sets, "rep").select(*ORDER, "_at", "rep", "component", "sig", "set")
+    rows = rows.select(*ORDER, "_at", "rep", "component", "sig", "set")
     return rows.repartition(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(confirm, "a long, b long")
 
 
@@ -288,7 +288,7 @@ def star_pairs(rows: DataFrame, number: int) -> DataFrame:
 
 def duplicate_groups(
     docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, max_distance: int = MAX_DISTANCE,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, set_rows: int = SET_ROWS,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
@@ -299,7 +299,9 @@ def duplicate_groups(
     misses a pair at 80 % once in 15,000, more similar ones far more seldom). STAR_ROUNDS rounds
     compare each class with one hub, which joins groups of copies of any size without listing
     their pairs. After them all classes that share a key and are still in different
-    components are compared, in blocks of ``block_rows``. All links are confirmed on full sets.
+    components are compared, first by signature in blocks of ``block_rows``; rows with a close
+    partner then meet again in blocks of ``set_rows`` with their sets. All links are confirmed
+    on full sets.
 
     Texts that are null or without words have an empty set and are linked with nothing; their
     component is their own id. Rows repeated under one doc_id are one class if equal; a null
@@ -321,9 +323,11 @@ def duplicate_groups(
         pairs = save_table(star_pairs(labelled(shared, found), number), "minhash-stars")
         found = merged(found, confirmed(pairs, sets, percent))
     # what meets in a key and is still apart
-    blocks = apart_blocks(labelled(shared, found), block_rows).join(classes.select("rep", "sig"), "rep")
+    signs = classes.select("rep", "sig")
+    blocks = apart_blocks(labelled(shared, found), block_rows).join(signs, "rep")
     alive = save_table(block_candidates(blocks, max_distance), "minhash-alive")
-    found = merged(found, save_table(block_links(alive, sets, max_distance, percent), "minhash-links"))
+    blocks = apart_blocks(alive, set_rows).join(sets.join(signs, "rep"), "rep")
+    found = merged(found, save_table(block_links(blocks, max_distance, percent), "minhash-links"))
 
     reps = classes.select("set_hash", "n_shingles", "rep")
     out = signed.join(reps, ["set_hash", "n_shingles"], "left").join(
