@@ -22,8 +22,3 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; null when either vector has length zero, so it passes no filter."""
     lengths = norm(a) * norm(b)
     return F.when(lengths > 0, dot(a, b) / lengths)
-
-
-def euclidean(a: Column, b: Column) -> Column:
-    gap = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
-    return F.sqrt(_sum(F.transform(gap, lambda g: g * g)))

@@ -17,7 +17,6 @@ from framesift.session import save_table
 SEED = 42
 DEFAULT_K = 50
 SCREEN_K = 30
-SCREEN_K_RANGE = (5, 100)
 METHODS = ("diversity", "consistency")
 
 CENTER_BYTES = 256 << 20  # bound on the center matrix that goes to every task

@@ -38,7 +38,6 @@ from framesift.session import save_table
 METHODS = ("perceptual_hash", "vgg16_similarity")
 DEFAULT_METHODS = ("perceptual_hash",)
 DEFAULT_THRESHOLD = 0.85
-THRESHOLD_RANGE = (0.5, 0.99)
 
 
 UNREADABLE = "cannot decode "

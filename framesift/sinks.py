@@ -16,11 +16,6 @@ def write_routes(routes: DataFrame, path: str) -> None:
     routes.write.mode("overwrite").partitionBy("route").parquet(path)
 
 
-def write_caption_table(files: DataFrame, path: str) -> None:
-    """(txt_name, content) rows as Parquet."""
-    files.write.mode("overwrite").parquet(path)
-
-
 def _put(dest: str, fill: Callable[[str], object]) -> None:
     """Fill a temporary neighbour and rename it, so a repeated task leaves one whole file."""
     os.makedirs(os.path.dirname(dest), exist_ok=True)
