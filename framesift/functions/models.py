@@ -2,7 +2,8 @@
 
 A model is given as a zero-argument factory that returns ``fn(list_of_rgb_arrays, ...)``.
 The factory runs once per Python worker and task, never on the driver; Spark partitions
-the images. The stand-ins below need no weights; they exist for tests and dry runs.
+the images. The stand-ins below need no weights; they exist for tests and dry runs and are
+used only where they are passed by name.
 """
 
 from __future__ import annotations
@@ -64,14 +65,21 @@ def vector_udf(make_model: Callable, batch_size: int = FACE_BATCH, side: int | N
     return run
 
 
+def given(make_model: Callable | None, what: str) -> Callable:
+    """The factory; raises on the driver, before any job, if there is none."""
+    if make_model is None:
+        raise ValueError(f"no {what} given: pass a factory")
+    return make_model
+
+
 def feature_udf(make_model: Callable | None = None, batch_size: int = FACE_BATCH):
     """Global feature vector of an image resized to the fixed input side."""
-    return vector_udf(make_model or pooled_pixels, batch_size, FEATURE_SIDE)
+    return vector_udf(given(make_model, "feature model"), batch_size, FEATURE_SIDE)
 
 
 def face_embedding_udf(make_model: Callable | None = None, batch_size: int = FACE_BATCH):
     """Embedding of the face in an image; null where there is no face."""
-    return vector_udf(make_model or pooled_face, batch_size)
+    return vector_udf(given(make_model, "face embedder"), batch_size)
 
 
 def count_faces_udf(
@@ -108,7 +116,7 @@ def caption_udf(make_model: Callable | None = None, model_key: str = CAPTION_MOD
     """UDF (image, prompt) -> caption. ``fn(images, prompts, max_new_tokens) -> texts``."""
     if model_key not in CAPTION_MODELS:
         raise ValueError(f"unknown caption model {model_key!r}; use one of {', '.join(CAPTION_MODELS)}")
-    factory = make_model or plain_describer
+    factory = given(make_model, "caption model")
 
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.Series]:

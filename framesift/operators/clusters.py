@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framesift.session import save_table
-
 # Defaults of the refinement stage.
 SEED = 42
 DEFAULT_K = 50
@@ -20,7 +19,8 @@ SCREEN_K = 30
 METHODS = ("diversity", "consistency")
 
 CENTER_BYTES = 256 << 20  # bound on the center matrix that goes to every task
-INIT_ROWS_PER_K = 50  # sample rows per cluster for choosing initial centers
+SPACE_BYTES = 32 << 20  # working space of one slice of row by center differences
+SPREAD_ROUNDS = 5  # passes that draw candidates for the initial centers
 
 
 def valid_embeddings(df: DataFrame, vec_col: str) -> DataFrame:
@@ -41,15 +41,21 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """Row by center distances, by differences and not by the expanded square, in slices."""
     out = np.empty((len(x), len(centers)))
-    for at in range(0, len(x), 256):
-        gap = x[at : at + 256, None, :] - centers[None, :, :]
-        out[at : at + 256] = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
+    step = max(1, SPACE_BYTES // max(1, 8 * centers.size))
+    for at in range(0, len(x), step):
+        gap = x[at : at + step, None, :] - centers[None, :, :]
+        out[at : at + step] = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
     return out
 
 
+def check_size(rows: int, width: int) -> None:
+    """Bound on a matrix that is held by the driver and by every task."""
+    if 8 * rows * width > CENTER_BYTES:
+        raise ValueError(f"{rows} x {width} numbers exceed the bound of {CENTER_BYTES} bytes")
+
+
 def _check_centers(centers: np.ndarray) -> np.ndarray:
-    if centers.nbytes > CENTER_BYTES:
-        raise ValueError(f"{centers.nbytes} bytes of centers exceed the bound of {CENTER_BYTES}")
+    check_size(*centers.shape)
     return centers
 
 
@@ -124,22 +130,39 @@ def first_centers(df: DataFrame, id_col: str, vec_col: str, k: int) -> np.ndarra
     return np.array([r[0] for r in df.orderBy(id_col).limit(k).select(vec_col).collect()], dtype=np.float64)
 
 
-def spread_centers(df: DataFrame, id_col: str, vec_col: str, k: int, n_rows: int, seed: int = SEED) -> np.ndarray:
-    """Seeded k-means++ on the rows with the lowest hashes of (seed, id): a bounded sample
-    that depends only on the data, not on its partitions."""
-    size = max(1000, INIT_ROWS_PER_K * k)
-    spot = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30))
-    below = int(min(1.0, 2.0 * size / n_rows) * (1 << 30)) + 1
-    sample = df.filter(spot < below).orderBy(spot, id_col).limit(size).select(vec_col).toPandas()
-    points = _matrix(sample[vec_col])
-    if len(points) < k:
-        return first_centers(df, id_col, vec_col, k)
+def spread_centers(df: DataFrame, id_col: str, vec_col: str, k: int, seed: int = SEED) -> np.ndarray:
+    """Seeded k-means|| over all rows.
+
+    From the row with the lowest hash on, each round makes a row a candidate with probability
+    2k times its share of the cost (squared distance to the nearest candidate). A row draws by
+    a hash of (seed, round, id), so the result depends on the data alone. A round brings about
+    2k candidates to the driver; there weighted k-means++ takes k of them, each with the
+    number of rows it is nearest to as its weight. With fewer than k distinct vectors some centers
+    are equal and their clusters stay empty.
+    """
+    rows = df.select(id_col, vec_col)
+    first = rows.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(1).toPandas()
+    points = _matrix(first[vec_col])
+    for number in itertools.count(1):
+        if number > SPREAD_ROUNDS and len(points) >= k:
+            break
+        near = assign(rows, vec_col, points).withColumn("_cost", F.col("distance") * F.col("distance"))
+        total = near.agg(F.sum("_cost")).first()[0]
+        if not total > 0:
+            break  # every vector is a candidate
+        draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(number), F.col(id_col)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+        drawn = near.filter(draw * F.lit(total) < F.lit(2.0 * k) * F.col("_cost")).select(id_col, vec_col).toPandas()
+        if len(drawn):
+            points = np.concatenate([points, _matrix(drawn.sort_values(id_col)[vec_col])])
+    weight = np.zeros(len(points))
+    for row in assign(rows, vec_col, points).groupBy("cluster").count().collect():  # at most one per candidate
+        weight[row["cluster"]] = row["count"]
     rng = np.random.default_rng(seed)
-    chosen = [int(rng.integers(len(points)))]
+    chosen = [int(rng.choice(len(points), p=weight / weight.sum()))]
     gap = ((points - points[chosen[0]]) ** 2).sum(axis=1)
     while len(chosen) < k:
-        total = gap.sum()
-        pick = int(rng.choice(len(points), p=gap / total)) if total > 0 else len(chosen)
+        cost = weight * gap
+        pick = int(rng.choice(len(points), p=cost / cost.sum())) if cost.sum() > 0 else chosen[0]
         chosen.append(pick)
         gap = np.minimum(gap, ((points - points[pick]) ** 2).sum(axis=1))
     return points[chosen]
@@ -176,13 +199,14 @@ def kmeans(
     """
     n_rows = df.count()
     k = clamp_k(k, n_rows)
+    check_size(k, len(df.select(vec_col).first()[0]))
     if engine == "ml":
         ready = df.withColumn("_v", array_to_vector(F.col(vec_col).cast("array<double>")))
         model = KMeans(k=k, seed=seed, featuresCol="_v", maxIter=max_iter, tol=tol).fit(ready)
         centers = np.array(model.clusterCenters())
     elif engine == "lloyd":
         pick = {"first": lambda: first_centers(df, id_col, vec_col, k),
-                "spread": lambda: spread_centers(df, id_col, vec_col, k, n_rows, seed)}
+                "spread": lambda: spread_centers(df, id_col, vec_col, k, seed)}
         centers = pick[init]()
         for _ in range(max_iter):
             new = centers_matrix(lloyd_step(df, vec_col, centers), len(centers), centers)
@@ -231,19 +255,51 @@ def cluster_stats(assigned: DataFrame, selected: DataFrame, k: int) -> DataFrame
     )
 
 
+def principal_axes(df: DataFrame, vec_col: str, n_axes: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and d x n_axes principal axes of the vectors; the largest loading of an axis is positive.
+
+    Tasks sum the products of their centered rows; a d x d matrix reaches the driver.
+    """
+    vector = array_to_vector(F.col(vec_col).cast("array<double>"))
+    mean = df.agg(Summarizer.mean(vector).alias("mean")).first()["mean"].toArray()
+    width = len(mean)
+    check_size(width, width)
+
+    def products(batches):
+        total = np.zeros((width, width))
+        for batch in batches:
+            if len(batch):
+                x = _matrix(batch[vec_col]) - mean
+                total += x.T @ x
+        yield pd.DataFrame({"at": np.arange(width, dtype="int32"), "sums": list(total)})
+
+    parts = df.select(vec_col).mapInPandas(products, "at int, sums array<double>")
+    scatter = np.zeros((width, width))
+    for row in parts.groupBy("at").agg(Summarizer.sum(array_to_vector("sums")).alias("sums")).collect():
+        scatter[row["at"]] = row["sums"].toArray()
+    found = np.linalg.eigh((scatter + scatter.T) / 2)[1][:, ::-1][:, :n_axes]
+    found = found * np.sign(found[np.abs(found).argmax(axis=0), np.arange(found.shape[1])])
+    axes = np.zeros((width, n_axes))
+    axes[:, : found.shape[1]] = found
+    return mean, axes
+
+
 def plot_data(
     assigned: DataFrame, selected: DataFrame, id_col: str, vec_col: str
 ) -> DataFrame:
     """(id, x, y, cluster, is_selected): first two principal components of every image.
 
-    PCA takes the place of a neighbour embedding: it is one pass of sums over the rows.
+    PCA takes the place of a neighbour embedding: it is two passes of sums over the rows.
     """
-    ready = assigned.withColumn("_v", array_to_vector(F.col(vec_col).cast("array<double>")))
-    model = PCA(k=2, inputCol="_v", outputCol="_p").fit(ready)
-    flat = model.transform(ready).withColumn("_p", vector_to_array("_p"))
+    mean, axes = principal_axes(assigned, vec_col)
+
+    @F.pandas_udf("struct<x double, y double>")
+    def place(vec: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame((_matrix(vec) - mean) @ axes, columns=["x", "y"])
+
     # one selected image per cluster, so at most k rows
     marks = F.broadcast(selected.select(id_col, F.lit(True).alias("_sel")))
+    flat = assigned.select(id_col, "cluster", place(F.col(vec_col)).alias("_p"))
     return flat.join(marks, id_col, "left").select(
-        id_col, F.get("_p", 0).alias("x"), F.get("_p", 1).alias("y"), "cluster",
-        F.coalesce("_sel", F.lit(False)).alias("is_selected"),
+        id_col, "_p.x", "_p.y", "cluster", F.coalesce("_sel", F.lit(False)).alias("is_selected"),
     )

@@ -30,11 +30,10 @@ from pyspark.sql import functions as F
 
 from framesift.functions.vectors import cosine
 from framesift.operators.near_copies import twin_groups
-from framesift.operators.similarity import check_threshold, distinct_pairs, equal_groups
+from framesift.operators.similarity import check_threshold, equal_groups
 from framesift.operators.skew import join_to_unique, ordered_rank, ordered_slices
 from framesift.session import save_table
 
-MERGE_ABOVE = 20_000  # distinct vectors from which on near copies are merged
 TASK_ROWS = 200_000  # arrivals plus edges that one task may sweep
 
 
@@ -298,15 +297,6 @@ def match_groups(groups: DataFrame, links: DataFrame, task_rows: int = TASK_ROWS
     return small.unionByName(rest)
 
 
-def exact_links(edges: DataFrame) -> DataFrame:
-    """Links between groups of equal vectors; each group is its own clump."""
-    a, b = F.col("earlier"), F.col("later")
-    whole = F.lit(False).alias("whole")
-    one = edges.select(a.alias("clump"), a.alias("rep"), b.alias("other_clump"), b.alias("other"), whole, "similarity")
-    back = edges.select(b.alias("clump"), b.alias("rep"), a.alias("other_clump"), a.alias("other"), whole, "similarity")
-    return one.unionByName(back)
-
-
 def _merged_groups(
     groups: DataFrame, distinct: DataFrame, threshold: float, sizes: dict
 ) -> tuple[DataFrame, DataFrame]:
@@ -326,20 +316,14 @@ def greedy_similar_pairs(
     vec_col: str,
     threshold: float,
     task_rows: int = TASK_ROWS,
-    merge_above: int = MERGE_ABOVE,
     **sizes: int,
 ) -> DataFrame:
     """Stored (moved, kept, similarity): each image is in at most one pair.
 
-    Up to ``merge_above`` distinct vectors all similar pairs are listed; beyond, twins are
-    merged first, so that a large group of near copies has no quadratic number of edges.
+    Twins are merged first, so that a large group of near copies has no quadratic number of edges.
     """
     threshold = check_threshold(threshold)
-    vectors, groups, distinct, n_distinct = equal_groups(df, id_col, vec_col)
-    if n_distinct <= merge_above:
-        edges = save_table(distinct_pairs(distinct, threshold, n_distinct, **sizes), "edges")
-        own = groups.withColumn("clump", F.col("rep"))
-        return save_table(match_groups(own, exact_links(edges), task_rows), "pairs")
+    vectors, groups, distinct, _ = equal_groups(df, id_col, vec_col)
     groups, links = _merged_groups(groups, distinct, threshold, sizes)
     pairs = save_table(match_groups(groups, links, task_rows).select("moved", "kept"), "pairs")
     left = vectors.select(F.col("id").alias("moved"), F.col("vec").alias("mv"))

@@ -180,7 +180,8 @@ def twin_groups(
     twins: (id, rep, clump); rep is the first of the twins. links: see ``links_between``.
     """
     radius = math.acos(threshold) * RADIUS_SHARE
-    width = len(vectors.first()["vec"])
+    first = vectors.first()
+    width = len(first["vec"]) if first else 1
     members = clumps(vectors, width, radius)
     wide = save_table(
         members.groupBy("clump").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1),

@@ -323,8 +323,13 @@ def kmeans_assign(spark, folder):
 
 @query
 def cluster_plot_data(spark, folder):
-    done = stages.refine_stage(tb.face_vectors(spark, folder), "vec_id", "embedding", tb.FIXED_K)
-    return cl.plot_data(done.assigned, done.selected, "vec_id", "embedding")
+    done = stages.refine_stage(
+        tb.face_vectors(spark, folder), "vec_id", "embedding", tb.FIXED_K, "diversity", **KM
+    )
+    return cl.plot_data(done.assigned, done.selected, "vec_id", "embedding").select(
+        "vec_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"),
+        F.col("cluster").cast("long").alias("cluster"), "is_selected",
+    )
 
 
 @query
@@ -413,9 +418,13 @@ def full_flow(spark, folder):
     single = save_table(rt.remaining(stay, second, "vec_id"), "single")
     third = stages.refine_stage(single, "vec_id", "embedding", 5, "consistency", **KM)
     texts = tb.table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    key = names.fluxkey(F.lit("Photo Set"))
-    return third.selected.join(texts, "vec_id").select(
-        "vec_id", F.col("cluster").cast("long").alias("cluster"),
-        names.text_name(vec_name()).alias("txt_name"),
-        names.caption_prefix(key, F.col("text")).alias("content"),
+    chosen = save_table(third.selected.select("vec_id", "cluster").join(texts, "vec_id"), "chosen")
+    files = chosen.select(
+        F.lit("set").alias("request"), F.col("vec_id").alias("pos"), vec_name().alias("filename"),
+        F.concat(F.lit("/set/"), vec_name()).alias("path"), F.timestamp_seconds("vec_id").alias("mtime"),
+        F.lit("describe").alias("prompt"), F.lit("Photo Set").alias("identifier"),
+        F.lit(True).alias("use_hash"), F.lit("model-a").alias("model_key"), "text",
     )
+    done = stages.caption_stage(files, f"{out_root(spark)}/cache", F.col("text"))
+    told = done.select(F.col("pos").cast("long").alias("vec_id"), names.text_name(F.col("filename")).alias("txt_name"), F.col("caption").alias("content"))
+    return chosen.select("vec_id", F.col("cluster").cast("long").alias("cluster")).join(told, "vec_id")

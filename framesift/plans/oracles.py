@@ -131,6 +131,41 @@ c{i + 1} AS MATERIALIZED (SELECT o.cluster, coalesce(m.center, o.center) AS cent
     return ",\n".join(out)
 
 
+SQUARINGS = 24
+
+
+def axis(t: int, matrix: str) -> str:
+    """CTE v{t}: first axis of a symmetric relation (i, j, x), by squaring it until one axis is left.
+
+    A column of the outcome is the axis up to its length; the column of the largest loading gives it a positive sign.
+    """
+    out = [f"p{t}_0 AS MATERIALIZED (SELECT i, j, x / (SELECT sqrt(sum(x * x)) FROM {matrix}) AS x FROM {matrix})"]
+    for n in range(SQUARINGS):
+        p = f"p{t}_{n}"
+        out.append(
+            f"""p{t}_{n + 1} AS MATERIALIZED (SELECT a.i, b.j, sum(a.x * b.x) / (SELECT sum(x * x) FROM {p}) AS x
+  FROM {p} a JOIN {p} b ON a.j = b.i GROUP BY a.i, b.j)"""
+        )
+    p = f"p{t}_{SQUARINGS}"
+    out.append(
+        f"""v{t} AS MATERIALIZED (SELECT i, x / (SELECT sqrt(max(x)) FROM {p} WHERE i = j) AS x
+  FROM {p} WHERE j = (SELECT arg_max(i, x) FROM {p} WHERE i = j))"""
+    )
+    return ",\n".join(out)
+
+
+AXES = f"""cells AS MATERIALIZED (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM pts),
+mids AS (SELECT i, avg(x) AS m FROM cells GROUP BY i),
+flat AS MATERIALIZED (SELECT vec_id, c.i, x - m AS x FROM cells c JOIN mids m ON m.i = c.i),
+cov AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) AS x FROM flat a JOIN flat b ON a.vec_id = b.vec_id GROUP BY a.i, b.i),
+{axis(1, 'cov')},
+less AS MATERIALIZED (
+  SELECT c.i, c.j, c.x - a.x * b.x * (SELECT sum(l.x * c.x * r.x) FROM cov c JOIN v1 l ON l.i = c.i JOIN v1 r ON r.i = c.j) AS x
+  FROM cov c JOIN v1 a ON a.i = c.i JOIN v1 b ON b.i = c.j),
+{axis(2, 'less')},
+spots AS (SELECT vec_id, round(sum(f.x * v1.x), 4) AS x, round(sum(f.x * v2.x), 4) AS y
+  FROM flat f JOIN v1 ON v1.i = f.i JOIN v2 ON v2.i = f.i GROUP BY vec_id)"""
+
 VALID = "valid AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 7 <> 0)"
 CAPTIONS = """captions AS (
   SELECT conv_id, 'IMG_' || conv_id || '.png' AS filename, turn AS pos, text AS caption
@@ -241,6 +276,12 @@ ORACLES: dict[str, str] = {
            FROM final p JOIN c{STEPS} c ON c.cluster <> p.cluster GROUP BY 1, 2), {PICK_FAR}
   SELECT vec_id, cluster, round(d, 6) AS distance,
     'diversity_cluster/IMG_' || vec_id || '_cluster' || cluster || '.png' AS dest_name FROM picked""",
+    "cluster_plot_data": f"""WITH {VALID}, {kmeans('valid', K, STEPS)},
+  away AS (SELECT p.vec_id, p.cluster, min(list_distance(p.v, c.center)) AS d
+           FROM final p JOIN c{STEPS} c ON c.cluster <> p.cluster GROUP BY 1, 2), {PICK_FAR},
+  {AXES}
+  SELECT vec_id, CASE WHEN x = 0 THEN 0 ELSE x END AS x, CASE WHEN y = 0 THEN 0 ELSE y END AS y,
+    cluster, vec_id IN (SELECT vec_id FROM picked) AS is_selected FROM final JOIN spots USING (vec_id)""",
     "prompt_cross": f"WITH {CAPTIONS} SELECT conv_id, pos, r_name AS prompt FROM captions CROSS JOIN region",
     "cache_hits": "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "cache_misses": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.functions.hashing import average_hash_image
@@ -19,6 +20,7 @@ from framesift.functions.models import (
     count_faces_udf,
     face_embedding_udf,
     feature_udf,
+    given,
     model_input_udf,
     resize_udf,
 )
@@ -33,6 +35,7 @@ from framesift.operators.matching import greedy_similar_pairs
 from framesift.operators.similarity import check_threshold
 from framesift.operators.skew import join_to_unique
 from framesift.session import save_table
+from framesift.sources.images import plain_path
 
 # Method names and the default threshold with its range on screen.
 METHODS = ("perceptual_hash", "vgg16_similarity")
@@ -96,6 +99,8 @@ def similarity_of_images(
     images: DataFrame, make_features: Callable | None = None, **options
 ) -> Similarity:
     """Similarity stage over decoded pictures (``read_images``)."""
+    if "vgg16_similarity" in options.get("methods", DEFAULT_METHODS):
+        given(make_features, "feature model")
     hashes = save_table(
         images.select("image_id", F.when(~F.col("error"), average_hash_image("image")).alias("hash")), "hashes"
     )
@@ -220,13 +225,22 @@ def caption_stage(
     caption=None,
     use_cache: bool = True,
     force_refresh: bool = False,
+    models: dict[str, Callable] | None = None,
 ) -> DataFrame:
     """(request_key, request, identifier, pos, filename, caption) for all requests in ``files``.
 
     ``files``: request, pos, filename, path, mtime, prompt, identifier, use_hash, model_key
     and whatever ``caption`` (a column) needs. The last four are the same in all rows of a
     request. Requests found in the cache are not computed; all others are, and are stored.
+    Without ``caption`` the texts come from ``models``, which maps the model_key of a request to
+    the factory of its model; these read the columns image and prompt. A key without a model raises.
     """
+    if caption is None:
+        asked = {key: caption_udf(factory, key) for key, factory in (models or {}).items()}
+        known_key = F.coalesce(F.col("model_key").isin(*asked), F.lit(False))
+        other = files.filter(~known_key).select("model_key").head(1)
+        if other:
+            raise ValueError(f"no caption model given for {other[0][0]!r}: pass models={{model_key: factory}}")
     params = ["prompt", "identifier", "use_hash", "model_key"]
     named = files.select(
         "request", "pos", F.col("path").alias("name"), mtime_text(F.col("mtime")).alias("mtime"), *params
@@ -249,12 +263,17 @@ def caption_stage(
     todo = join_to_unique(
         files, misses.select("request", "request_key", "n_files"), ["request"], weight="n_files"
     )
-    text = caption if caption is not None else _default_caption()
+    if caption is not None:
+        told = todo.withColumn("_text", caption)
+    else:  # a filter per model, as a UDF inside CASE would run on the rows of all others too
+        told = reduce(DataFrame.unionByName, [
+            todo.filter(F.col("model_key") == key).withColumn("_text", model_caption(udf)) for key, udf in asked.items()
+        ])
     label = F.when(F.col("use_hash"), fluxkey(F.col("identifier"))).otherwise(fluxkey(F.col("identifier"), False))
     done = save_table(
-        todo.select(
+        told.select(
             "request_key", F.col("pos").cast("int").alias("pos"), "filename",
-            caption_prefix(label, text).alias("caption"),
+            caption_prefix(label, F.col("_text")).alias("caption"),
         ),
         "captions",
     )
@@ -270,8 +289,37 @@ def caption_stage(
     )
 
 
-def _default_caption(model_key: str = CAPTION_MODELS[0]):
-    return caption_udf(model_key=model_key)(resize_udf(MAX_DIMENSION)("image"), F.col("prompt"))
+def model_caption(model: Callable) -> Column:
+    """Text of a ``caption_udf`` for pictures shrunk to its limit."""
+    return model(resize_udf(MAX_DIMENSION)("image"), F.col("prompt"))
+
+
+def caption_selected(
+    images: DataFrame,
+    selected: DataFrame,
+    mtimes: DataFrame,
+    cache_path: str,
+    prompt: str,
+    identifier: str,
+    use_hash: bool = True,
+    model_key: str = CAPTION_MODELS[0],
+    **options,
+) -> DataFrame:
+    """Captions of the selected images (image_id), as one request in the order of their ids.
+
+    ``mtimes`` (path, mtime) goes into the request key (``read_file_meta``); ``options`` go to ``caption_stage``.
+    """
+    # one row per cluster, so ranked in one task and broadcast
+    rank = F.row_number().over(Window.orderBy("image_id")) - 1
+    chosen = F.broadcast(selected.select("image_id", rank.alias("pos")))
+    times = mtimes.select(plain_path(F.col("path")).alias("_key"), "mtime")
+    times = images.select("image_id", plain_path(F.col("path")).alias("_key")).join(chosen, "image_id").join(times, "_key", "left")
+    times = F.broadcast(save_table(times.select("image_id", "pos", "mtime"), "chosen"))
+    files = images.join(times, "image_id").select(
+        F.lit("selected").alias("request"), "pos", "filename", "path", "mtime", F.lit(prompt).alias("prompt"),
+        F.lit(identifier).alias("identifier"), F.lit(use_hash).alias("use_hash"), F.lit(model_key).alias("model_key"), "image",
+    )
+    return caption_stage(files, cache_path, **options)
 
 
 def refine_set(
@@ -281,11 +329,12 @@ def refine_set(
     similarity: dict | None = None,
     faces: dict | None = None,
     refine: dict | None = None,
+    captions: dict | None = None,
 ) -> dict[str, DataFrame]:
-    """Recommended order over decoded pictures: similarity, faces, refinement.
+    """Recommended order over decoded pictures: similarity, faces, refinement, captions.
 
-    Gives the routes of both filters and the selected images; captioning takes the selected
-    images as its files.
+    Gives the routes of both filters, the selected images and, with ``captions`` (options of
+    ``caption_selected``), their captions.
     """
     first = similarity_of_images(images, **(similarity or {}))
     gone = first.routes.filter(F.col("route") != "keep")
@@ -293,10 +342,13 @@ def refine_set(
     second = faces_of_images(stay, **(faces or {}))
     single = rt.remaining(stay, second.routes.filter(F.col("route") != "keep"), "image_id")
     third = refine_images(single, k=k, method=method, **(refine or {}))
-    return {
+    out = {
         "similarity_routes": first.routes,
         "face_routes": second.routes,
         "assigned": third.assigned,
         "selected": third.selected,
         "export": export_plan(third.selected, images, "image_id", method),
     }
+    if captions:
+        out["captions"] = caption_selected(images, third.selected, **captions)
+    return out

@@ -55,6 +55,20 @@ def read_file_meta(spark: SparkSession, folder: str | Sequence[str], glob: str =
     )
 
 
+LISTED = 100_000  # names of a driver's list that are broadcast
+
+
+def _wanted(spark: SparkSession, paths: Sequence[str] | DataFrame, folder: str | Sequence[str] | None):
+    """(pos, _key) of the listed files, and what to scan for them."""
+    if isinstance(paths, DataFrame):
+        if folder is None:
+            raise ValueError("a table of paths needs the folders to scan")
+        return paths.select("pos", plain_path(F.col("path")).alias("_key")), folder
+    listed = spark.createDataFrame([(pos, path) for pos, path in enumerate(paths)], "pos int, listed string")
+    listed = listed.select("pos", plain_path(F.col("listed")).alias("_key"))
+    return F.broadcast(listed) if len(paths) <= LISTED else listed, sorted(set(paths))
+
+
 def read_uploads(
     spark: SparkSession, paths: Sequence[str] | DataFrame, folder: str | Sequence[str] | None = None
 ) -> DataFrame:
@@ -63,24 +77,34 @@ def read_uploads(
     ``pos`` is the place in the list; a file listed twice gives two rows. A long list comes
     as a table (pos, path) with the folders to scan, so it does not pass through the driver.
     """
-    if isinstance(paths, DataFrame):
-        if folder is None:
-            raise ValueError("a table of paths needs the folders to scan")
-        wanted, source = paths.select("pos", F.col("path").alias("listed")), folder
-    else:
-        wanted = spark.createDataFrame([(pos, path) for pos, path in enumerate(paths)], "pos int, listed string")
-        source = sorted(set(paths))
+    wanted, source = _wanted(spark, paths, folder)
     files = spark.read.format("binaryFile").load(source)
-    return (
-        files.withColumn("_key", _plain(F.col("path")))
-        .join(wanted.withColumn("_key", _plain(F.col("listed"))), "_key")
-        .select(
-            "pos", "path", basename(F.col("path")).alias("filename"),
-            F.col("modificationTime").alias("mtime"), "length", "content",
-        )
+    return files.withColumn("_key", plain_path(F.col("path"))).join(wanted, "_key").select(
+        "pos", "path", basename(F.col("path")).alias("filename"),
+        F.col("modificationTime").alias("mtime"), "length", "content",
+    )
+
+
+def read_upload_images(
+    spark: SparkSession, paths: Sequence[str] | DataFrame, folder: str | Sequence[str] | None = None
+) -> DataFrame:
+    """Decoded pictures of an ordered upload, as captioning reads them: pos, path, filename, mtime, error, image.
+
+    Names and times are joined with the list first, without the bytes of the files.
+    """
+    wanted, source = _wanted(spark, paths, folder)
+    times = spark.read.format("binaryFile").load(source).select(
+        plain_path(F.col("path")).alias("_key"), F.col("modificationTime").alias("mtime")
+    )
+    pictures = spark.read.format("image").option("dropInvalid", "false").load(source)
+    pictures = pictures.withColumn("path", F.col("image.origin")).withColumn("_key", plain_path(F.col("path")))
+    # a file listed twice is scanned once and joined twice
+    return pictures.join(times.dropDuplicates(["_key"]).join(wanted, "_key"), "_key").select(
+        "pos", "path", basename(F.col("path")).alias("filename"), "mtime",
+        (F.col("image.height") < 0).alias("error"), "image",
     )
 
 
-def _plain(path):
+def plain_path(path):
     """Path without a local-file scheme, so listed and scanned names compare equal."""
     return F.regexp_replace(path, "^file:/+", "/")

@@ -74,6 +74,41 @@ def test_centers_are_bounded():
 
 
 def test_plot(spark):
-    assigned, centers = cl.kmeans(frame(spark, blobs()), "id", "v", 3)
-    rows = cl.plot_data(assigned, cl.select_consistency(assigned, "id", "v", centers), "id", "v").collect()
-    assert len(rows) == 90 and sum(r.is_selected for r in rows) == 3
+    points = blobs() * [1, 2, 3]  # no two axes of equal weight
+    df = frame(spark, points)
+    assigned, centers = cl.kmeans(df, "id", "v", 3)
+    picked = cl.select_consistency(assigned, "id", "v", centers)
+    flat = points - points.mean(axis=0)
+    axes = np.linalg.svd(flat)[2][:2].T
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]])
+    for rows in (assigned, assigned.repartition(7)):
+        got = cl.plot_data(rows, picked, "id", "v").orderBy("id").collect()
+        assert len(got) == 90 and sum(r.is_selected for r in got) == 3
+        assert np.allclose([(r.x, r.y) for r in got], flat @ axes, atol=1e-9)
+
+
+def test_distances_in_slices(monkeypatch):
+    rng = np.random.default_rng(1)
+    x, centers = rng.normal(size=(50, 4)), rng.normal(size=(7, 4))
+    whole = np.linalg.norm(x[:, None] - centers[None], axis=2)
+    monkeypatch.setattr(cl, "SPACE_BYTES", 1000)  # four rows at a time
+    assert np.allclose(cl._distances(x, centers), whole)
+
+
+def test_size_is_checked_before_centers_are_made(spark, monkeypatch):
+    monkeypatch.setattr(cl, "CENTER_BYTES", 8 * 3 * 2)
+    monkeypatch.setattr(cl, "centers_matrix", None)
+    with pytest.raises(ValueError, match="exceed"):
+        cl.kmeans(frame(spark, blobs()), "id", "v", 3, init="first")
+
+
+def test_first_centers_come_from_all_rows(spark):
+    """Two far points among thousands of equal ones are found; equal vectors leave clusters empty."""
+    points = np.zeros((3000, 2))
+    points[1717], points[2999] = (50, 0), (0, 70)
+    df = frame(spark, points)
+    found = cl.spread_centers(df, "id", "v", 3)
+    assert {tuple(c) for c in found} == {(0, 0), (50, 0), (0, 70)}
+    assert (found == cl.spread_centers(df.repartition(5), "id", "v", 3)).all()
+    more = cl.spread_centers(df, "id", "v", 5)
+    assert len(more) == 5 and {tuple(c) for c in more} == {(0, 0), (50, 0), (0, 70)}

@@ -14,7 +14,7 @@ from framesift import sinks
 from framesift.functions import models, pixels
 from framesift.operators import captions as cap
 from framesift.plans import stages
-from framesift.sources.images import read_file_meta, read_images, read_uploads
+from framesift.sources.images import read_file_meta, read_images, read_upload_images, read_uploads
 
 
 @pytest.fixture(scope="module")
@@ -79,11 +79,11 @@ def test_similarity_stage(images):
     assert routes["a.png"] == "keep" and routes["a_copy.png"] == "duplicate_images"
     assert routes["a_big.png"] == "duplicate_images" and routes["bad.jpg"] == "keep"
     assert done.stats.first().total_images == 9
-    both = stages.similarity_of_images(images, methods=stages.METHODS, threshold=0.8)
+    both = stages.similarity_of_images(images, models.pooled_pixels, methods=stages.METHODS, threshold=0.8)
     assert len(both.routes.collect()) == 9
     kept = {n for n, r in short(both.routes).items() if r == "duplicate_images"}
     assert kept == {"a_copy.png", "a_big.png"}
-    only = stages.similarity_of_images(images, methods=("vgg16_similarity",), threshold=0.99)
+    only = stages.similarity_of_images(images, models.pooled_pixels, methods=("vgg16_similarity",), threshold=0.99)
     assert short(only.routes)["a_big.png"] == "similar_images"
     with pytest.raises(ValueError):
         stages.similarity_of_images(images, methods=("other",))
@@ -128,8 +128,8 @@ def test_face_stage(images):
 
 def test_refine_stage(images, picture_dir, tmp_path):
     with pytest.raises(ValueError):
-        stages.refine_images(images)
-    done = stages.refine_images(images, on_error="skip", k=3, method="consistency")
+        stages.refine_images(images, models.pooled_face)
+    done = stages.refine_images(images, models.pooled_face, on_error="skip", k=3, method="consistency")
     assert done.selected.count() == 3
     assert done.assigned.count() == 7  # the bad file and the flat picture have no face
     plan = stages.export_plan(done.selected, images, "image_id", "consistency")
@@ -139,7 +139,10 @@ def test_refine_stage(images, picture_dir, tmp_path):
     assert len(out) == 3 and all("_cluster" in n for n in out)
     assert (picture_dir / "a.png").exists()
     with pytest.raises(ValueError):
-        stages.refine_images(images, on_error="skip", method="best")
+        stages.refine_images(images, models.pooled_face, on_error="skip", method="best")
+
+
+DESCRIBER = {models.CAPTION_MODELS[0]: models.plain_describer}
 
 
 def uploads(images, prompt="describe", identifier="Jane Doe", use_hash=True):
@@ -154,7 +157,7 @@ def uploads(images, prompt="describe", identifier="Jane Doe", use_hash=True):
 
 def test_caption_stage_and_cache(spark, images, tmp_path):
     cache = str(tmp_path / "cache")
-    first = stages.caption_stage(uploads(images), cache).collect()
+    first = stages.caption_stage(uploads(images), cache, models=DESCRIBER).collect()
     assert len(first) == 8 and all(r.caption.startswith("JD_") and ", describe: " in r.caption for r in first)
     hit = stages.caption_stage(uploads(images), cache, F.lit("never computed")).collect()
     assert sorted(hit) == sorted(first)
@@ -176,17 +179,71 @@ def test_caption_files(spark, images, tmp_path):
     assert (tmp_path / "texts" / "b.txt").read_text(encoding="utf-8").endswith(", Grüße")
 
 
-def test_recommended_order(images):
+def test_each_request_has_its_model(images, tmp_path):
+    def namer(name):
+        return lambda: lambda pictures, prompts, most: [name] * len(pictures)
+
+    one, two = models.CAPTION_MODELS
+    first = uploads(images)
+    second = first.withColumn("request", F.lit("u2")).withColumn("model_key", F.lit(two))
+    third = first.withColumn("request", F.lit("u3"))  # equal to the first
+    files = first.unionByName(second).unionByName(third)
+    both = {one: namer("small"), two: namer("large")}
+    done = stages.caption_stage(files, str(tmp_path / "cache"), models=both).collect()
+    told = {(r.request, r.caption.split(", ")[1]) for r in done}
+    assert told == {("u1", "small"), ("u2", "large"), ("u3", "small")} and len(done) == 24
+    with pytest.raises(ValueError, match="no caption model"):
+        stages.caption_stage(files, str(tmp_path / "other"), models={one: namer("small")})
+    assert not (tmp_path / "other").exists()
+
+
+def test_models_must_be_given(images, tmp_path):
+    for ask in (
+        lambda: stages.similarity_of_images(images, methods=stages.METHODS),
+        lambda: stages.refine_images(images, on_error="skip"),
+        lambda: stages.caption_stage(uploads(images), str(tmp_path / "cache")),
+        lambda: models.feature_udf(), lambda: models.face_embedding_udf(), lambda: models.caption_udf(),
+    ):
+        with pytest.raises(ValueError, match="given"):
+            ask()
+
+
+def test_uploads_to_captions(spark, picture_dir, tmp_path):
+    listed = [str(picture_dir / n) for n in ("wide.png", "a.png", "bad.jpg", "a.png")]
+    got = read_upload_images(spark, listed)
+    table = spark.createDataFrame(list(enumerate(listed)), "pos int, path string")
+    same = read_upload_images(spark, table, str(picture_dir)).drop("image").orderBy("pos").collect()
+    assert same == got.drop("image").orderBy("pos").collect()
+    assert [(r.pos, r.filename, r.error) for r in same] == [
+        (0, "wide.png", False), (1, "a.png", False), (2, "bad.jpg", True), (3, "a.png", False)]
+    files = got.filter("not error").select(
+        "*", F.lit(1).alias("request"), F.lit("say").alias("prompt"), F.lit("Jo").alias("identifier"),
+        F.lit(False).alias("use_hash"), F.lit(models.CAPTION_MODELS[0]).alias("model_key"),
+    )
+    done = stages.caption_stage(files, str(tmp_path / "cache"), models=DESCRIBER).orderBy("pos").collect()
+    assert [r.caption.rsplit(", ", 1)[0] for r in done] == ["Jo, say: 2048x6", "Jo, say: 64x64", "Jo, say: 64x64"]
+
+
+def test_recommended_order(spark, images, picture_dir, tmp_path):
     def one_face():
         return lambda rgb, align: [0] if rgb.shape[1] == 64 else []
 
     out = stages.refine_set(
-        images, k=2, similarity={"methods": stages.METHODS, "threshold": 0.99},
+        images, k=2,
+        similarity={"methods": stages.METHODS, "threshold": 0.99, "make_features": models.pooled_pixels},
         faces={"backend": "mtcnn", "detectors": {"mtcnn": one_face}},
+        refine={"make_embedder": models.pooled_face},
+        captions={
+            "mtimes": read_file_meta(spark, str(picture_dir)), "cache_path": str(tmp_path / "cache"),
+            "prompt": "say", "identifier": "Jane Doe", "models": DESCRIBER,
+        },
     )
     assert out["export"].count() == 2
     chosen = {r.image_id.split("\0")[0] for r in out["selected"].collect()}
     assert chosen <= {"a.png", "b.PNG", "grey.png", "alpha.png"}
+    told = out["captions"].orderBy("pos").collect()
+    assert [r.filename for r in told] == sorted(chosen) and [r.pos for r in told] == [0, 1]
+    assert all(r.caption.startswith("JD_") and ", say: 64x64" in r.caption for r in told)
 
 
 def test_manifest(spark, images, tmp_path):
@@ -199,7 +256,7 @@ def test_manifest(spark, images, tmp_path):
 def test_every_prompt_on_every_image(images):
     prompts = images.sparkSession.createDataFrame([(0, "colours"), (1, "mood")], "prompt_no int, prompt string")
     asked = cap.with_prompts(images.select("image_id", "image"), prompts)
-    rows = asked.select("image_id", "prompt", models.caption_udf()("image", "prompt").alias("c")).collect()
+    rows = asked.select("image_id", "prompt", models.caption_udf(models.plain_describer)("image", "prompt").alias("c")).collect()
     assert len(rows) == 18
     assert all(r.c.startswith(r.prompt + ": ") for r in rows if "bad.jpg" not in r.image_id)
 
@@ -219,4 +276,4 @@ def test_unknown_caption_model():
 def test_empty_folder(spark, tmp_path):
     write_png(tmp_path / "x.png", noise(1))
     images = read_images(spark, str(tmp_path)).filter("filename = 'none'")
-    assert stages.similarity_of_images(images, methods=stages.METHODS).stats.first().total_images == 0
+    assert stages.similarity_of_images(images, models.pooled_pixels, methods=stages.METHODS).stats.first().total_images == 0

@@ -98,7 +98,7 @@ CASES["near"] = (near(), 0.85)
 )
 def test_merging_near_copies_changes_nothing(spark, case, sizes):
     rows, t = CASES[case]
-    got = greedy_similar_pairs(frame(spark, rows), "id", "v", t, merge_above=0, **sizes).collect()
+    got = greedy_similar_pairs(frame(spark, rows), "id", "v", t, **sizes).collect()
     assert sorted((r.moved, r.kept) for r in got) == walk(rows, t)
     at = dict(rows)
     assert all(r.similarity == pytest.approx(cosine(at[r.moved], at[r.kept])) for r in got)
