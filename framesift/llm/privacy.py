@@ -23,13 +23,12 @@ TERM = re.compile(r"[^\W\d_]{3,}")
 NEIGHBOURS = 8  # words looked at on either side of an entity
 REACH = 240  # characters they are looked for in
 DISCLOSURE = 0.8  # share of an entity's information from which a term is too telling
-MIN_CONTEXTS = 3  # distinct surroundings a pair must have been seen in
 PREFIX = 3  # letters that remain of a generalised term
 TERM_ROWS = 300_000  # distinct terms counted in a task before they are passed on
 
 FOUND = (
     "doc_id long, mark long, spans array<struct<kind:int,start:int,end:int>>, "
-    "context array<struct<entity:long,term:string,start:int,end:int,place:long>>"
+    "context array<struct<entity:long,term:string,start:int,end:int>>"
 )
 
 
@@ -75,8 +74,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int, int]]:
-    """(entity, term, start, end, place) of the words around each span; place names the surroundings."""
+def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
+    """(entity, term, start, end) of the words around each span."""
     from xxhash import xxh64_intdigest
 
     def signed(data: str) -> int:
@@ -94,9 +93,8 @@ def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
         after = [m for m in TERM.finditer(text, end, high) if high == len(text) or m.end() < high][:NEIGHBOURS]
         near = [t for t in taken if t[0] < high and t[1] > low]
         words = [m for m in before + after if not any(s < m.end() and m.start() < e for s, e in near)]
-        terms = [m[0].lower() for m in words]
-        entity, place = signed(f"{KINDS[kind]}:{value}"), signed(" ".join(sorted(terms)))
-        out += [(entity, t, m.start(), m.end(), place) for t, m in zip(terms, words)]
+        entity = signed(f"{KINDS[kind]}:{value}")
+        out += [(entity, m[0].lower(), m.start(), m.end()) for m in words]
     return out
 
 
@@ -113,8 +111,8 @@ def found_entities(docs: DataFrame) -> DataFrame:
                 found = base_spans(text or "")
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
                 context.append([
-                    {"entity": n, "term": t, "start": s, "end": e, "place": p}
-                    for n, t, s, e, p in (neighbours(text, found) if found else ())
+                    {"entity": n, "term": t, "start": s, "end": e}
+                    for n, t, s, e in (neighbours(text, found) if found else ())
                 ])
             columns = [batch.column(0), batch.column(1), pa.array(spans, schema.field(2).type), pa.array(context, schema.field(3).type)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -152,26 +150,21 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def telling_terms(
-    found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS
-) -> DataFrame:
+def telling_terms(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """entity, term, shown: pairs in which the term tells too much, and what is shown in its place.
 
     Counted over all documents: n of them, n_e with the entity, n_t with the term, n_et with the
     term next to the entity. PMI = log(n n_et / (n_e n_t)) is the information the term gives on the
     entity; it is at most log(n / n_e), the entity's own. A term is too telling from a share of
-    ``disclosure`` on, if the pair was seen in ``min_contexts`` different surroundings (copies of a
-    text count once there). It is then generalised to its first letters if these stay below the
-    share for this entity, else removed.
+    ``disclosure`` on, however rare the pair. It is then generalised to its first letters if these
+    stay below the share for this entity, else removed.
     """
     near = found.select("doc_id", "mark", F.explode("context").alias("c")).select("doc_id", "mark", "c.*")
     n = docs.count()
     entity = near.groupBy("entity", "doc_id", "mark").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("one").alias("n_e"))
     both = near.unionByName(near.withColumn("term", F.concat(F.substring("term", 1, PREFIX), F.lit("~"))))
-    per_doc = both.groupBy("entity", "term", "doc_id", "mark", "place").agg(F.lit(1).alias("one"))
-    contexts = per_doc.groupBy("entity", "term", "place").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("one").alias("contexts"))
-    seen = per_doc.groupBy("entity", "term", "doc_id", "mark").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("one").alias("n_et"))
-    pairs = save_table(contexts.filter(F.col("contexts") >= min_contexts).join(seen, ["entity", "term"]), "private-pairs")
+    per_doc = both.groupBy("entity", "term", "doc_id", "mark").agg(F.lit(1).alias("one"))
+    pairs = save_table(per_doc.groupBy("entity", "term").agg(F.count("one").alias("n_et")), "private-pairs")
     pairs = pairs.join(entity, "entity").join(term_counts(docs).withColumnRenamed("n", "n_t"), "term")
     own = F.log(F.lit(float(n)) / F.col("n_e"))
     gained = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))

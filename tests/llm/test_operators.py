@@ -171,6 +171,16 @@ def test_telling_terms_are_masked(spark):
     assert report["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
 
 
+def test_term_beside_one_rare_entity_is_masked(spark):
+    rows = [(i, "common words of every text follow here") for i in range(200)]
+    rows += [(300, "common words by quokka jo@example.org follow here"), (301, "common words by words +1 202 555 0199 quail follow")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in privacy.masked(docs, privacy.private_spans(docs)).collect()}
+    assert out[300] == "common words by [TERM] [EMAIL] follow here"
+    assert out[301] == "common words by words [PHONE] [TERM] follow"
+    assert all(out[i] == t for i, t in rows if i < 300)
+
+
 def planted_vectors(n=400, dims=32):
     base = RNG.standard_normal((n, dims))
     near = base[:80] + 0.25 * RNG.standard_normal((80, dims))
