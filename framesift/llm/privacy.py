@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.common import arrow_schema
+from framesift.operators.skew import join_to_unique
 from framesift.session import save_table
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -20,15 +21,14 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
 
-NEIGHBOURS = 8  # words looked at on either side of an entity
-REACH = 240  # characters they are looked for in
 DISCLOSURE = 0.8  # share of an entity's information from which a term is too telling
 PREFIX = 3  # letters that remain of a generalised term
+REMOVED = "[TERM]"
 TERM_ROWS = 300_000  # distinct terms counted in a task before they are passed on
 
 FOUND = (
-    "doc_id long, mark long, spans array<struct<kind:int,start:int,end:int>>, "
-    "context array<struct<entity:long,term:string,start:int,end:int>>"
+    "doc_id long, mark long, spans array<struct<kind:int,start:int,end:int>>, entities array<long>, "
+    "words array<struct<term:string,starts:array<int>,ends:array<int>>>"
 )
 
 
@@ -74,48 +74,58 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) of the words around each span."""
+def entities_of(text: str, spans: list[tuple[int, int, int]]) -> list[int]:
+    """Hashes of the distinct entities; a card or phone number is its digits, whatever stands between them."""
     from xxhash import xxh64_intdigest
 
-    def signed(data: str) -> int:
-        n = xxh64_intdigest(data.encode("utf-8", "replace"))
-        return n - (1 << 64) if n >= 1 << 63 else n
-
-    out = []
-    taken = sorted((s, e) for _, s, e in spans)
+    out = set()
     for kind, start, end in spans:
         value = text[start:end].lower()
         if kind in (2, 3):
             value = re.sub(r"[^0-9]", "", value)
-        low, high = max(0, start - REACH), min(len(text), end + REACH)
-        before = [m for m in TERM.finditer(text, low, start) if low == 0 or m.start() > low][-NEIGHBOURS:]
-        after = [m for m in TERM.finditer(text, end, high) if high == len(text) or m.end() < high][:NEIGHBOURS]
-        near = [t for t in taken if t[0] < high and t[1] > low]
-        words = [m for m in before + after if not any(s < m.end() and m.start() < e for s, e in near)]
-        entity = signed(f"{KINDS[kind]}:{value}")
-        out += [(entity, m[0].lower(), m.start(), m.end()) for m in words]
+        n = xxh64_intdigest(f"{KINDS[kind]}:{value}".encode("utf-8", "replace"))
+        out.add(n - (1 << 64) if n >= 1 << 63 else n)
+    return sorted(out)
+
+
+def words_of(text: str, spans: list[tuple[int, int, int]]) -> dict[str, tuple[list[int], list[int]]]:
+    """Starts and ends of every term of the text outside the spans; terms that stand only inside have none."""
+    taken = sorted((s, e) for _, s, e in spans)
+    out: dict[str, tuple[list[int], list[int]]] = {}
+    at = covered = 0
+    for m in TERM.finditer(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            covered = max(covered, taken[at][1])
+            at += 1
+        starts, ends = out.setdefault(m[0].lower(), ([], []))
+        if covered <= m.start():
+            starts.append(m.start())
+            ends.append(m.end())
     return out
 
 
+def terms_and_prefixes(text: str) -> set[str]:
+    terms = {t.lower() for t in set(TERM.findall(text))}
+    return terms | {t[:PREFIX] + "~" for t in terms}
+
+
 def found_entities(docs: DataFrame) -> DataFrame:
-    """Base spans and their surroundings, a row per row of ``docs``, stored; see FOUND."""
+    """Base spans, entities and, where there are any, all words; a row per row of ``docs``, stored; see FOUND."""
     schema = arrow_schema(FOUND)
 
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            spans, context = [], []
+            columns = [[], [], []]
             for text in batch.column(2).to_pylist():
                 found = base_spans(text or "")
-                spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
-                context.append([
-                    {"entity": n, "term": t, "start": s, "end": e}
-                    for n, t, s, e in (neighbours(text, found) if found else ())
-                ])
-            columns = [batch.column(0), batch.column(1), pa.array(spans, schema.field(2).type), pa.array(context, schema.field(3).type)]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                columns[0].append([{"kind": k, "start": s, "end": e} for k, s, e in found])
+                columns[1].append(entities_of(text, found) if found else [])
+                words = words_of(text, found) if found else {}
+                columns[2].append([{"term": t, "starts": s, "ends": e} for t, (s, e) in words.items()])
+            arrays = [pa.array(c, schema.field(i).type) for i, c in enumerate(columns, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of("text").alias("mark"), "text")
     return save_table(rows.mapInArrow(find, FOUND), "private-found")
@@ -137,9 +147,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                terms = set(TERM.findall(text.lower()))
-                seen.update(terms)
-                seen.update({t[:PREFIX] + "~" for t in terms})
+                seen.update(terms_and_prefixes(text))
                 if len(seen) > TERM_ROWS:
                     yield rows(seen)
                     seen = Counter()
@@ -150,46 +158,72 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def telling_terms(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
-    """entity, term, shown: pairs in which the term tells too much, and what is shown in its place.
+def document_groups(found: DataFrame) -> DataFrame:
+    """doc_id, mark, grp, n_e, w: the groups of entities in each document with any, stored; w counts its rows.
+
+    Entities of the same documents have the same counts with every term, so they are one group: a
+    document with a long list of entities that stand nowhere else has one group, not one per entity.
+    """
+    held = found.filter(F.size("entities") > 0).select("doc_id", "mark", F.explode("entities").alias("entity"))
+    held = save_table(held.groupBy("entity", "doc_id", "mark").agg(F.count(F.lit(1)).alias("w")), "private-held")
+    where = [F.bit_xor(F.xxhash64(F.lit(i), F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "mark")) for i in (1, 2)]
+    same = held.groupBy("entity").agg(
+        F.sum("w").alias("n_e"), F.count(F.lit(1)).alias("docs"), where[0].alias("x1"), where[1].alias("x2")
+    )
+    grp = F.struct("docs", "x1", "x2").alias("grp")
+    same = save_table(same.select("entity", grp, "n_e", "docs"), "private-same")
+    groups = join_to_unique(held, same, ["entity"], weight="docs")
+    return save_table(groups.groupBy("doc_id", "mark", "grp", "n_e", "w").agg(F.lit(1).alias("one")).drop("one"), "private-groups")
+
+
+def telling_terms(met: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    """grp, term, shown, n_et: pairs in which the term tells too much, and what is shown in its place.
 
-    Counted over all documents: n of them, n_e with the entity, n_t with the term, n_et with the
-    term next to the entity. PMI = log(n n_et / (n_e n_t)) is the information the term gives on the
-    entity; it is at most log(n / n_e), the entity's own. A term is too telling from a share of
-    ``disclosure`` on, however rare the pair. It is then generalised to its first letters if these
-    stay below the share for this entity, else removed.
+    ``met`` has grp, n_e, w and words of each document with entities. Counted over all rows and
+    whole texts: n of them, n_e with the entity, n_t with the term, n_et with both. PMI =
+    log(n n_et / (n_e n_t)) is the information the term gives on the entity; it is at most
+    log(n / n_e), the entity's own. A term is too telling from a share of ``disclosure`` on,
+    however rare the pair. It is then generalised to its first letters if these stay below the
+    share for this entity, else removed.
     """
-    near = found.select("doc_id", "mark", F.explode("context").alias("c")).select("doc_id", "mark", "c.*")
     n = docs.count()
-    entity = near.groupBy("entity", "doc_id", "mark").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("one").alias("n_e"))
-    both = near.unionByName(near.withColumn("term", F.concat(F.substring("term", 1, PREFIX), F.lit("~"))))
-    per_doc = both.groupBy("entity", "term", "doc_id", "mark").agg(F.lit(1).alias("one"))
-    pairs = save_table(per_doc.groupBy("entity", "term").agg(F.count("one").alias("n_et")), "private-pairs")
-    pairs = pairs.join(entity, "entity").join(term_counts(docs).withColumnRenamed("n", "n_t"), "term")
+    terms = F.transform("words", lambda w: w["term"])
+    both = F.concat(terms, F.array_distinct(F.transform(terms, lambda t: F.concat(F.substring(t, 1, PREFIX), F.lit("~")))))
+    pairs = met.select("grp", "n_e", "w", F.explode(both).alias("term"))
+    pairs = pairs.groupBy("grp", "n_e", "term").agg(F.sum("w").alias("n_et"))
+    pairs = join_to_unique(save_table(pairs, "private-pairs"), term_counts(docs).withColumnRenamed("n", "n_t"), ["term"])
     own = F.log(F.lit(float(n)) / F.col("n_e"))
     gained = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     share = F.when(own > 0, gained / own).otherwise(F.lit(0.0))
-    pairs = save_table(pairs.select("entity", "term", (share >= disclosure).alias("over")).filter("over"), "private-over")
+    pairs = save_table(pairs.select("grp", "term", "n_et", (share >= disclosure).alias("over")).filter("over"), "private-over")
     words = pairs.filter(~F.col("term").endswith("~")).withColumn("prefix", F.concat(F.substring("term", 1, PREFIX), F.lit("~")))
-    wide = pairs.filter(F.col("term").endswith("~")).select("entity", F.col("term").alias("prefix"), "over")
-    shown = F.when(F.col("wide"), F.lit("[TERM]")).otherwise(F.col("prefix"))
-    return words.join(wide.withColumnRenamed("over", "wide"), ["entity", "prefix"], "left").select("entity", "term", shown.alias("shown"))
+    wide = pairs.filter(F.col("term").endswith("~")).select("grp", F.col("term").alias("prefix"), F.col("over").alias("wide"))
+    shown = F.when(F.col("wide"), F.lit(REMOVED)).otherwise(F.col("prefix"))
+    return words.join(wide, ["grp", "prefix"], "left").select("grp", "term", shown.alias("shown"), "n_et")
 
 
 def private_spans(docs: DataFrame) -> DataFrame:
     """doc_id, mark, spans per row of ``docs`` (doc_id, text); spans are (kind, start, end, shown), sorted.
 
     ``kind`` is a place in KINDS; positions count code points. Base spans have their kind as
-    ``shown``; further spans are the telling terms next to an entity. Null texts count as empty;
-    repeated rows get the same spans; further columns are ignored.
+    ``shown``; further spans are all places of a term that is telling for an entity of the document.
+    Null texts count as empty; repeated rows get the same spans; further columns are ignored.
     """
     found = found_entities(docs)
-    telling = save_table(telling_terms(found, docs), "private-telling")
-    near = found.select("doc_id", "mark", F.explode("context").alias("c")).select("doc_id", "mark", "c.*")
-    more = near.join(telling, ["entity", "term"]).groupBy("doc_id", "mark", "start", "end").agg(F.max("shown").alias("shown"))
-    more = more.groupBy("doc_id", "mark").agg(  # the terms of one document
-        F.collect_list(F.struct(F.lit(KINDS.index("term")).alias("kind"), "start", "end", "shown")).alias("more")
+    words = found.filter(F.size("entities") > 0).dropDuplicates(["doc_id", "mark"])
+    words = words.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "words")
+    met = document_groups(found).join(words, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    met = save_table(met.select("doc_id", "mark", "grp", "n_e", "w", "words"), "private-met")
+    telling = save_table(telling_terms(met, docs), "private-telling")
+    places = met.select("doc_id", "mark", "grp", F.explode("words").alias("word")).select("doc_id", "mark", "grp", "word.*")
+    more = join_to_unique(places.filter(F.size("starts") > 0), telling, ["grp", "term"], weight="n_et")
+    removed = F.max(F.col("shown") == REMOVED)  # what one entity asks for, no other takes back
+    more = more.groupBy("doc_id", "mark", "term").agg(
+        F.when(removed, F.lit(REMOVED)).otherwise(F.max("shown")).alias("shown"), F.first("starts").alias("starts"), F.first("ends").alias("ends")
     )
+    spans_of = F.transform(F.arrays_zip("starts", "ends"), lambda p: F.struct(
+        F.lit(KINDS.index("term")).alias("kind"), p["starts"].alias("start"), p["ends"].alias("end"), F.col("shown").alias("shown")))
+    more = more.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list(spans_of)).alias("more"))  # the terms of one document
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.get(labels, s["kind"]).alias("shown")))
     none = F.array().cast("array<struct<kind:int,start:int,end:int,shown:string>>")

@@ -181,6 +181,26 @@ def test_term_beside_one_rare_entity_is_masked(spark):
     assert all(out[i] == t for i, t in rows if i < 300)
 
 
+def test_telling_terms_of_the_whole_document_are_masked(spark):
+    filler = " ".join(["common words of every text"] * 100)
+    rows = [(i, filler) for i in range(200)] + [(300, f"Quokka first. {filler} jo@example.org {filler} quokka"), (301, f"{filler} quokka")]
+    # two entities in one text: for one the term is to be removed, so its first letters do not stay
+    rows += [(i, f"{filler} one@example.org zebra") for i in range(310, 320)] + [(320, f"{filler} two@example.org one@example.org zebra")]
+    rows += [(i, f"{filler} zebu") for i in range(330, 335)]
+    many = " ".join(f"p{i}@example.org" for i in range(300))
+    rows += [(400, f"{many} {filler} numbat"), (400, f"{many} {filler} numbat"), (None, f"+1 202 555 0199 {filler} wombat")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {}
+    for r in privacy.masked(docs, privacy.private_spans(docs)).collect():
+        out[r["doc_id"]] = r["text"]
+    assert out[300] == f"[TERM] first. {filler} [EMAIL] {filler} [TERM]".replace("first", "[TERM]")
+    assert out[301] == f"{filler} quokka"
+    assert out[400] == f"{' '.join(['[EMAIL]'] * 300)} {filler} [TERM]" and out[None] == f"[PHONE] {filler} [TERM]"
+    assert "zeb" not in out[310] and "zeb" not in out[320] and "zebu" in out[330]
+    groups = privacy.document_groups(privacy.found_entities(docs))
+    assert groups.filter("doc_id = 400").count() == 1  # not one per entity
+
+
 def planted_vectors(n=400, dims=32):
     base = RNG.standard_normal((n, dims))
     near = base[:80] + 0.25 * RNG.standard_normal((80, dims))
