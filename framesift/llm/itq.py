@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, comb, pi
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,35 +15,60 @@ from framesift.llm.vectors import fitting_sample, matrix, same_length, usable
 from framesift.session import save_table
 
 COSINE = 0.9
-MAX_BITS = 64
-CHUNK_BITS = 16
-CODE_DISTANCE = 22  # of 64 bits; a cosine of 0.9 gives about 9, unrelated vectors about 32
+BITS = 64  # at every width of the vectors
+CHUNK_BITS = 16  # at most
+ERRORS = 2  # differing bits up to which two chunks share a key
+MISS = 0.03  # expected share of pairs at the threshold without a shared key, at most
+CODE_DISTANCE = 22  # of 64 bits, at least; a cosine of 0.9 gives about 9, unrelated vectors about 32
 BLOCK_ROWS = 1024
 ITERATIONS = 50
 SEED = 5
 
 
-def fit_rotation(sample: np.ndarray, bits: int, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection dims x bits): principal axes turned so that their signs lose least.
+def fit_rotation(sample: np.ndarray, iterations: int = ITERATIONS) -> np.ndarray:
+    """Projection dims x BITS: a rotation turned so that the signs of the vectors lose least.
 
     Alternates between the codes nearest to the turned points and the rotation nearest to the codes.
+    The vectors are not centred: the signs are to tell the angle between the vectors themselves,
+    which is acos(cosine) / pi of the bits. With fewer dims than BITS random rotations give the
+    bits that are missing; with more, random directions keep the angles, which principal axes do not.
     """
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    mean = unit.mean(axis=0)
-    centred = unit - mean
-    _, axes = np.linalg.eigh(centred.T @ centred)
-    axes = axes[:, ::-1][:, :bits]
-    points = centred @ axes
-    turn, _ = np.linalg.qr(np.random.default_rng(SEED).standard_normal((bits, bits)))
+    points = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    dims = points.shape[1]
+    rng = np.random.default_rng(SEED)
+    axes = np.linalg.qr(rng.standard_normal((dims, min(BITS, dims))))[0]
+    points = points @ axes
+    turn, _ = np.linalg.qr(rng.standard_normal((points.shape[1], points.shape[1])))
     for _ in range(iterations):
         left, _, right = np.linalg.svd(np.where(points @ turn >= 0, 1.0, -1.0).T @ points)
         turn = (left @ right).T
-    return mean, axes @ turn
+    parts = [axes @ turn]
+    parts += [np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(-(-BITS // dims) - 1)]
+    return np.concatenate(parts, axis=1)[:, :BITS]
 
 
-def chunk_sizes(bits: int) -> list[int]:
-    n = max(1, bits // CHUNK_BITS)
-    return [bits // n + (i < bits % n) for i in range(n)]
+def codes_of(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    return (x @ projection >= 0).astype(np.uint64) @ (np.uint64(1) << np.arange(projection.shape[1], dtype=np.uint64))
+
+
+def at_most(errors: int, bits: int, cosine: float) -> float:
+    """Chance that at most so many of the bits differ in two vectors of that cosine."""
+    flip = acos(max(-1.0, min(1.0, cosine))) / pi
+    return sum(comb(bits, k) * flip**k * (1 - flip) ** (bits - k) for k in range(min(errors, bits) + 1))
+
+
+def chunk_sizes(cosine: float) -> list[int]:
+    """As few chunks as leave an expected miss of at most MISS at the threshold."""
+    for n in range(BITS // CHUNK_BITS, BITS // ERRORS + 1):
+        sizes = [BITS // n + (i < BITS % n) for i in range(n)]
+        if np.prod([1 - at_most(ERRORS, size, cosine) for size in sizes]) <= MISS:
+            break
+    return sizes
+
+
+def allowed_distance(cosine: float) -> int:
+    """Differing bits beyond which at most one pair in 10,000 at the threshold lies."""
+    return next(t for t in range(CODE_DISTANCE, BITS + 1) if t == BITS or at_most(t, BITS, cosine) >= 1 - 1e-4)
 
 
 def canonical_keys(a: np.ndarray, b: np.ndarray, sizes: list[int]) -> np.ndarray:
@@ -65,10 +91,9 @@ def canonical_keys(a: np.ndarray, b: np.ndarray, sizes: list[int]) -> np.ndarray
     return out
 
 
-def table_rows(vectors: DataFrame, mean: np.ndarray, projection: np.ndarray) -> DataFrame:
+def table_rows(vectors: DataFrame, projection: np.ndarray, sizes: list[int]) -> DataFrame:
     """id, code, key: every key of every table within one bit of the vector's chunk."""
-    dims, bits = projection.shape
-    sizes = chunk_sizes(bits)
+    dims = projection.shape[0]
 
     def spread(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -76,9 +101,7 @@ def table_rows(vectors: DataFrame, mean: np.ndarray, projection: np.ndarray) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column(1), dims)
-            signs = ((x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ projection) >= 0
-            code = signs.astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+            code = codes_of(matrix(batch.column(1), dims), projection)
             keys, at = [], 0
             for c, size in enumerate(sizes):
                 value = ((code >> np.uint64(at)) & np.uint64((1 << size) - 1)).astype(np.int64) | (c << 32)
@@ -128,10 +151,8 @@ def linked_vectors(vectors: DataFrame, dims: int, cosine: float, block_rows: int
     their vectors and compared again. n sums the copies of linked vectors, root is the smallest
     id reachable in the block: what leaves a task grows with its rows, not with its pairs.
     """
-    bits = min(MAX_BITS, dims)
-    mean, projection = fit_rotation(fitting_sample(vectors, dims), bits)
-    sizes = chunk_sizes(bits)
-    code_distance = max(2, round(CODE_DISTANCE * bits / 64))
+    projection = fit_rotation(fitting_sample(vectors, dims))
+    sizes, code_distance = chunk_sizes(cosine), allowed_distance(cosine)
 
     def survivors(batches: Iterator) -> Iterator:
         for part in runs(batches, ORDER):
@@ -162,7 +183,7 @@ def linked_vectors(vectors: DataFrame, dims: int, cosine: float, block_rows: int
                 [pa.array(ids[some]), pa.array(n[some]), pa.array(ids[label[some]])], names=["id", "n", "root"]
             )
 
-    rows = save_table(table_rows(vectors, mean, projection), "itq-keys")
+    rows = save_table(table_rows(vectors, projection, sizes), "itq-keys")
     blocks = in_blocks(rows, ["key"], F.col("id"), block_rows).select("key", "_i", "_j", "_at", "id", "code")
     alive = blocks.repartition(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(
         survivors, "key long, _i int, _j int, _at int, id long, code long"
@@ -179,11 +200,13 @@ def near_vectors(
     """vec_id, n_links, component_id, kept of every row of ``embeddings``.
 
     Vectors with a cosine of at least ``cosine`` are linked. A rotation learned on a bounded
-    sample gives each vector a code of up to 64 bits in chunks of 16; two vectors meet if some
-    chunk differs in at most two bits (both are entered under all values within one bit), their
-    codes must be within CODE_DISTANCE, and their cosine is taken from the original vectors in
-    double precision. At a cosine of 0.9 about 97 % of the pairs meet, more above. Buckets are
-    compared in blocks of ``block_rows``; equal vectors are entered once.
+    sample gives each vector a code of 64 bits at every width, in chunks of at most 16; two vectors
+    meet if some chunk differs in at most two bits (both are entered under all values within one
+    bit), their codes must be within ``allowed_distance``, and their cosine is taken from the
+    original vectors in double precision. The number of chunks follows from ``cosine``: at the
+    threshold about 97 % of the pairs are expected to meet, more above. Vectors with a large common
+    part are compared in almost all pairs. Buckets are compared in blocks of ``block_rows``; equal
+    vectors are entered once.
 
     Null, zero and non-finite vectors, and rows with a null id, have no links and are kept, with
     their id as component. Shorter vectors are filled up with zeros. n_links counts other rows,

@@ -229,6 +229,38 @@ def test_near_vectors(spark):
     assert itq.near_vectors(spark.createDataFrame([], table.schema)).count() == 0
 
 
+def groups_of_ten(dims, offset, n=60):
+    """Groups with pair cosines of about 0.92 after a common offset; (vectors, linked pairs)."""
+    rng = np.random.default_rng(dims)
+
+    def unit(*shape):
+        x = rng.standard_normal(shape)
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    x = unit(n, 1, dims) + 0.29 * np.hypot(1, offset) * unit(n, 10, dims) + offset * unit(dims)
+    x = x.reshape(-1, dims)
+    to = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return x, np.nonzero(np.triu(to @ to.T >= 0.9, 1))
+
+
+def test_vector_codes_find_links_at_every_width():
+    sizes, most = itq.chunk_sizes(0.9), itq.allowed_distance(0.9)
+    assert sizes == [16] * 4 and most == 22 and len(itq.chunk_sizes(0.8)) > 4
+    for dims, offset in [(3, 0), (8, 0), (16, 0), (24, 0), (32, 0), (64, 0), (100, 0), (128, 0), (24, 2), (64, 1.5), (64, 2), (128, 2)]:
+        x, (i, j) = groups_of_ten(dims, offset)
+        code = itq.codes_of(x, itq.fit_rotation(x))
+        met = (itq.canonical_keys(code[i], code[j], sizes) >= 0) & (np.bitwise_count(code[i] ^ code[j]) <= most)
+        assert len(i) > 1000 and met.mean() >= 0.95, (dims, offset, met.mean())
+
+
+def test_near_vectors_of_few_dimensions_or_with_an_offset(spark):
+    for dims, offset in ((24, 0), (64, 2)):
+        x, (i, _) = groups_of_ten(dims, offset, 30)
+        table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+        n = itq.near_vectors(table).agg(F.sum("n_links")).first()[0]
+        assert 0.95 * 2 * len(i) <= n <= 2 * len(i)
+
+
 def test_nearest_vectors(spark):
     x, rows = planted_vectors()
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
