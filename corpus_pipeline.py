@@ -21,10 +21,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (null or without a letter); fills in missing languages.
 
-    Profiles are learned from all rows that have a language.
+    Profiles are learned from all rows that have a language. If no row has one, nothing can be
+    learned: then texts that are null or without a letter are rejected, and languages stay null.
     """
     prepare(spark)
-    found = langid.identify_language(docs.select(*COLUMNS), langid.language_profiles(docs))
+    profiles = langid.language_profiles(docs)
+    if not profiles:
+        return docs.select(*COLUMNS).filter(F.col("text").rlike(r"\p{L}"))
+    found = langid.identify_language(docs.select(*COLUMNS), profiles)
     kept = found.filter(F.col("lang_pred") != langid.UNKNOWN)
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 

@@ -40,6 +40,13 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == ids.count() <= start.count()
 
 
+def test_language_stage_without_labels(spark):
+    rows = [(1, "A text", None, "a", 6), (2, "", None, "a", 0), (3, None, None, "b", None), (4, "12 45", None, "b", 5), (5, "漢字", None, "b", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.language(spark, docs, "")
+    assert tuple(out.columns) == corpus_pipeline.COLUMNS and {r["doc_id"] for r in out.collect()} == {1, 5}
+
+
 def test_pipeline_with_edge_rows(spark, tmp_path):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "word " * 3000, None, "a", 15000), (3, "word " * 3000, None, "a", 15000),
             (None, "A text without an id", "en", None, 20), (4, "12345", "en", "b", 5)]
