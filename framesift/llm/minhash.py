@@ -296,7 +296,7 @@ def duplicate_groups(
     shingles is shared; component_id is the smallest doc_id reachable. Rows with equal sets are
     one class. Signatures of the classes are joined by chunk keys, which finds every pair of
     signatures within ``max_distance`` (at most CHUNKS * (ERRORS + 1) - 1 by pigeonhole; 27 of 70
-    misses a pair at 80 % once in 15,000, more similar ones far more seldom). STAR_ROUNDS rounds
+    misses a pair at 80 % once in 10,150, more similar ones far more seldom). STAR_ROUNDS rounds
     compare each class with one hub, which joins groups of copies of any size without listing
     their pairs. After them all classes that share a key and are still in different
     components are compared, first by signature in blocks of ``block_rows``; rows with a close
