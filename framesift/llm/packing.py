@@ -198,8 +198,10 @@ def packed_places(
 
     Full pieces are sequences of their own. The others are dealt to tasks of about
     ``items_per_task`` pieces, each of which packs its own by the sum-of-squares rule. Bins with
-    room left then go as items to a sixteenth of the tasks, until one task has packed the last
-    of them; a round has far fewer open bins than pieces, so no task gets more than its share.
+    room left then go as items to a sixteenth of the tasks, but to so many that none gets more than
+    ``items_per_task``, until one task has packed the last of them. If that takes more than half
+    the tasks of the round before (most pieces fill over half a sequence, say), no further round
+    is made: the bins that are still open are sequences as they are.
     """
     narrow = pieces.select("item", "length")
     places = narrow.filter(F.col("length") == room).select(
@@ -216,16 +218,19 @@ def packed_places(
         trail = save_table(
             trail.join(bins, "unit").select("item", "bin", (F.col("at") + F.col("moved")).alias("at"), "fill"), "trail"
         )
+        n_open = packed.filter(F.col("fill") < room).select("bin").distinct().count() if n_tasks > 1 else 0
+        fewer = max(1, n_tasks // 16, -(-n_open // items_per_task))
+        last = n_tasks == 1 or 2 * fewer > max(2, n_tasks)
         # the last round keeps all bins, others those that nothing fits into any more
-        done = F.lit(True) if n_tasks == 1 else F.col("fill") == room
+        done = F.lit(True) if last else F.col("fill") == room
         places = places.unionByName(
             trail.filter(done).select("item", (F.col("bin") * 64 + number).alias("sequence_id"), F.col("at").alias("offset"))
         )
-        if n_tasks == 1:
+        if last:
             return places
         left = packed.filter(~done).groupBy("bin").agg(F.first("fill").alias("size")).select(F.col("bin").alias("item"), "size")
         trail = trail.filter(~done).select("item", F.col("bin").alias("unit"), "at")
-        n_tasks = max(1, n_tasks // 16)
+        n_tasks = fewer
 
 
 def packed_pieces(docs: DataFrame, tokenizer: str = TOKENIZER_FILE) -> DataFrame:

@@ -464,6 +464,15 @@ def test_packing(spark, edges, nothing):
         assert bins <= 1.04 * sum(n for _, n in sizes) / 1024 + 2
 
 
+def test_packing_of_pieces_over_half_a_sequence(spark, monkeypatch):
+    sizes = [(i, int(n)) for i, n in enumerate(RNG.integers(520, 1001, 3000))]  # no bin takes two
+    rounds, pack_round = [], packing.pack_round
+    monkeypatch.setattr(packing, "pack_round", lambda left, n, room: (rounds.append((left.count(), n)), pack_round(left, n, room))[1])
+    places = packing.packed_places(spark.createDataFrame(sizes, "item long, length int"), items_per_task=200).collect()
+    assert sorted(p["item"] for p in places) == list(range(3000)) and len({p["sequence_id"] for p in places}) == 3000
+    assert all(n <= 200 * tasks for n, tasks in rounds)
+
+
 def test_sum_of_squares_rule():
     bins, room = packing.OpenBins(12), 12
     counts = collections.Counter()
