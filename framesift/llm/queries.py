@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framesift.llm import itq, langid, minhash, mixing, packing, preference, privacy, rabitq, urlfilter, warc
+from framesift.llm import (
+    fingerprints, itq, langid, minhash, mixing, packing, periodic, preference, privacy, rabitq, urlfilter, variants, warc,
+)
 from framesift.llm.common import table
 from framesift.session import scratch_root
 
@@ -57,9 +59,22 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packing_report(table(spark, folder, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.runs_report(table(spark, folder, "documents"))
+
+
+def op12_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_report(table(spark, folder, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants_report(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc_archive, op2_preference_pairs, op3_private_data, op4_vector_duplicates, op5_nearest_vectors,
     op6_url_verdicts, op7_text_duplicates, op8_language, op9_mixture, op10_packing,
+    op11_periodic_runs, op12_fingerprints, op13_spelling_variants,
 )}
 
 ORACLES = {"op2_preference_pairs": preference.PREFERENCE_SQL, "op6_url_verdicts": urlfilter.VERDICT_SQL}
