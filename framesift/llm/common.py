@@ -16,11 +16,11 @@ BATCH_BYTES = "8m"  # Arrow batches are cut by bytes, so long texts cannot pile
 BATCH_ROWS = "2000"
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: str = BATCH_BYTES) -> None:
     """Give the workers the package and bound the Arrow batches unless the user has done so."""
     ship_package(spark)
     for key, value in (
-        ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes),
         ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
     ):
         if not spark.conf.get(f"framesift.set.{key}", None):

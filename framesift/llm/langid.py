@@ -9,11 +9,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framesift.session import save_table
+
 DIMENSIONS = 1024
 ORDER = 3
 SEED = 11
 UNKNOWN = "und"
-GRAM_ROWS = 4096  # gram vectors held at a time
+GRAM_ROWS = 2048  # gram vectors held at a time
+PROFILE_BYTES = 256 << 20  # bound on the prototypes that reach the driver and every task
 
 _CODES = 0x110000
 
@@ -77,8 +80,9 @@ def language_profiles(
 ) -> dict[str, np.ndarray]:
     """Prototype of each non-null lang of ``docs`` (text, lang): the bundle of all its gram vectors.
 
-    Grams are counted over all rows, the counts combined before the shuffle; each task sums the
-    vectors of its grams. Only languages x dimensions sums reach the driver.
+    Grams are counted over all rows and whole texts, the counts combined before the shuffle; each task
+    sums the vectors of its grams. Only languages x dimensions sums reach the driver; more than
+    PROFILE_BYTES of them raise ValueError before. An empty table has no prototype.
     """
 
     def count(batches: Iterator) -> Iterator:
@@ -121,6 +125,10 @@ def language_profiles(
     sums = sums.groupBy("lang", "place").agg(F.sum("value").alias("value")).groupBy("lang").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("profile")
     )
+    sums = save_table(sums, "language-profiles")
+    n = sums.count()
+    if n * dimensions * 8 > PROFILE_BYTES:
+        raise ValueError(f"{n} languages of {dimensions} numbers exceed the bound of {PROFILE_BYTES} bytes: clean the lang column first")
     return {r["lang"]: np.array(r["profile"]) for r in sums.collect()}
 
 
@@ -139,9 +147,10 @@ def identify_language(
     proto = proto.astype(np.float32) if names else None
 
     def predict(texts: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in texts:
+            batch = batch.to_pylist()
             pred, score = [UNKNOWN] * len(batch), np.zeros(len(batch))
             found = [np.unique(grams(t), return_counts=True) for t in batch] if names else []
             at = 0
@@ -167,20 +176,21 @@ def identify_language(
                         best = int(np.argmax(cosine[i - at]))
                         pred[i], score[i] = names[best], min(1.0, max(0.0, float(cosine[i - at, best])))
                 at = to
-            yield pd.DataFrame({"lang_pred": pred, "score": score})
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score)], names=["lang_pred", "score"])
 
-    guess = F.pandas_udf(predict_typed(predict), "lang_pred string, score double")
+    guess = F.arrow_udf(predict_typed(predict), "lang_pred string, score double")
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "_guess")]
     return docs.select(*kept, guess("text").alias("_guess")).select(*kept, "_guess.lang_pred", "_guess.score")
 
 
 def predict_typed(fn):
-    import pandas as pd
+    """``fn`` with the type hints of an iterator of Arrow arrays; no pandas in the workers."""
+    import pyarrow as pa
 
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from fn(texts)
 
-    predict.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    predict.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return predict
 
 

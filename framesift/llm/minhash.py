@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framesift.llm.common import group_starts, in_blocks, pairs_in_runs, runs
+from framesift.llm.common import group_starts, in_blocks, n_partitions, pairs_in_runs, runs
 from framesift.llm.components import merged
+from framesift.operators.skew import ordered_rank
 from framesift.session import save_table
 
 VALUES = 70  # components of a signature
@@ -22,6 +23,9 @@ PERCENT = 80
 BLOCK_ROWS = 2048  # rows of a block that holds signatures only
 SET_ROWS = 256  # rows of a block that holds full sets
 STAR_ROUNDS = 3
+SAMPLE_OF = 64  # one class of so many is looked at for hot keys
+HOT_SHARE = 1e-4
+HOT_ROWS = 16  # rows of the sample that a hot key has at least
 SLOTS = 127  # lowest bits of a key: the place left out
 SEED = 7
 
@@ -113,6 +117,47 @@ def chunk_keys(sigs: DataFrame) -> DataFrame:
     return sigs.select("rep", F.explode(F.array(*keys)).alias("key"))
 
 
+def shared_keys(classes: DataFrame) -> DataFrame:
+    """key, rep: the chunk keys that two or more classes hold, stored.
+
+    The keys are dealt and sorted once; a pass over the sorted rows keeps those with a neighbour of the
+    same key. A key that holds more than HOT_SHARE of a sample of the classes is known to be shared,
+    so its rows stay and are dealt over all tasks. There are at most
+    VALUES / HOT_SHARE such keys, whatever the table.
+    """
+    sample = classes.filter(F.pmod(F.xxhash64("rep", F.lit(SEED)), F.lit(SAMPLE_OF)) == 0).select("rep", "sig")
+    n = sample.count()
+    hot = chunk_keys(sample).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.lit(max(HOT_ROWS, int(n * HOT_SHARE))))
+    hot = F.broadcast(save_table(hot.select("key", F.lit(True).alias("hot")), "minhash-hot"))
+    parts = n_partitions(classes.sparkSession)
+    keys = chunk_keys(classes).join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    spread = F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(parts))).otherwise(F.lit(0))
+
+    def shared(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held = None  # the last row, kept or not by the first of the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            now = pa.concat_tables([held, now]).combine_chunks() if held is not None else now
+            key = now.column("key").to_numpy()
+            same = key[1:] == key[:-1]
+            keep = now.column("hot").to_numpy().copy()
+            keep[1:] |= same
+            keep[:-1] |= same
+            yield from now.slice(0, now.num_rows - 1).filter(pa.array(keep[:-1])).select(["key", "rep"]).to_batches()
+            held = now.slice(now.num_rows - 1)
+            if keep[-1]:
+                held = held.set_column(held.schema.get_field_index("hot"), "hot", pa.array([True]))
+        if held is not None and held.column("hot")[0].as_py():
+            yield from held.select(["key", "rep"]).to_batches()
+
+    dealt = keys.select("key", "rep", "hot").repartition(parts, "key", spread).sortWithinPartitions("key")
+    return save_table(dealt.mapInArrow(shared, "key long, rep long"), "minhash-shared")
+
+
 ORDER = ["key", "_diag", "_i", "_j"]
 
 
@@ -313,9 +358,7 @@ def duplicate_groups(
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
     classes = save_table(classes, "minhash-classes")
-    keys = chunk_keys(classes)
-    low = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    shared = save_table(keys.join(low.select("key"), "key"), "minhash-shared")  # keys of two classes or more
+    shared = shared_keys(classes)
     sets = shingle_sets(docs, shared.select("rep").distinct(), words)
 
     found = None
@@ -341,8 +384,21 @@ def duplicate_groups(
 
 
 def first_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` that ``duplicate_groups`` keeps, one per doc_id; rows without id stay."""
-    kept = duplicate_groups(docs, **options).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    ids = save_table(kept, "minhash-kept")
-    chosen = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Rows of ``docs`` that stay when one document of each group of near copies is kept, that with the smallest doc_id.
+
+    Rows without an id stay. Rows that agree in id and text are one document: of them the first in
+    the order of a hash of all columns stays. Rows of one id with different texts are documents of their own,
+    ordered by a hash of the text: each stays unless it is a copy of one before it.
+    """
+    mark = F.coalesce(F.xxhash64("text"), F.lit(0))
+    ids = docs.filter("doc_id IS NOT NULL").select("doc_id", mark.alias("_mark"))
+    if not ids.groupBy("doc_id").count().filter("count > 1").head(1):
+        kept = duplicate_groups(docs, **options).filter("kept AND doc_id IS NOT NULL").select("doc_id")
+        return docs.join(save_table(kept, "minhash-kept"), "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    numbers = save_table(ordered_rank(ids.distinct(), ["doc_id", "_mark"], name="_node"), "minhash-numbers")
+    rows = docs.filter("doc_id IS NOT NULL").withColumn("_mark", mark).join(numbers, ["doc_id", "_mark"])
+    kept = duplicate_groups(rows.select(F.col("_node").alias("doc_id"), "text"), **options).filter("kept").select(F.col("doc_id").alias("_node")).distinct()
+    rows = rows.join(save_table(kept, "minhash-kept"), "_node", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_node").orderBy(F.xxhash64(*docs.columns), *docs.columns))
+    chosen = rows.withColumn("_first", first).filter("_first = 1").select(*docs.columns)
     return chosen.unionByName(docs.filter("doc_id IS NULL"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,10 @@ TOKENIZER_FILE = "byte_bpe_50k.json"
 # Fixed value: the published split pattern of byte-level BPE vocabularies of this family.
 SPLIT_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# Fixed value: the blanks that the pattern's \s stands for.
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_BLANKS = re.compile(f"[{BLANKS}]{{10000,}}")  # the encoder's pattern cannot step back over much longer runs
+
 PIECES = "doc_id long, item long, piece int, start long, length long, ids binary"
 
 
@@ -48,11 +53,57 @@ def encoder(name: str):
         byte_of = {chr(b): b for b in seen}
         byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(seen))}
         added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        check_tokenizer(spec, added)
         ranks = {bytes(byte_of[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in added}
         _encoders[name] = tiktoken.Encoding(name, pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return _encoders[name]
 
 
+def check_tokenizer(spec: dict, added: dict[str, int]) -> None:
+    """Raises ValueError for a file whose ids the encoder would not give.
+
+    It takes byte-level BPE with the published split pattern, without normalizer, whose merges are
+    in the order of the ids they make and whose added tokens are found as they are written.
+    """
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    wrong = [name for name, bad in (
+        ("model", model.get("type") != "BPE" or model.get("ignore_merges") or model.get("dropout") or model.get("byte_fallback")),
+        ("affixes", model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")),
+        ("normalizer", spec.get("normalizer")),
+        ("pre_tokenizer", any(split.get(k, True) != v for k, v in plain.items())),
+        ("added_tokens", any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") for x in spec.get("added_tokens", []))),
+    ) if bad]
+    vocab = model["vocab"]
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    single = max((i for word, i in vocab.items() if len(word) == 1 and word not in added), default=-1)
+    if made != sorted(made) or len(set(made)) < len(made) or (made and made[0] <= single):
+        wrong.append("merges")
+    if wrong:
+        raise ValueError(f"the tokenizer file is not of the supported kind: {', '.join(wrong)}")
+
+
+def encoded(encode, text: str) -> list[int]:
+    """Ids of a text of any kind; long runs of blanks are given to the encoder apart.
+
+    The split pattern takes a run of blanks as one piece, up to the last blank if a character follows; that blank
+    goes with what follows. So a cut before it, and one before the run, change no piece.
+    """
+    options = {"allowed_special": "all", "disallowed_special": ()}
+    if len(text) < 10_000 or not LONG_BLANKS.search(text):
+        return encode.encode(text, **options)
+    added = tuple(encode.special_tokens_set)
+    out, at = [], 0
+    for run in LONG_BLANKS.finditer(text):
+        start, end = run.span()
+        if end < len(text) and not text.startswith(added, end):
+            end -= 1
+        out += encode.encode(text[at:start], **options)
+        out += encode._encode_single_piece(text[start:end])
+        at = end
+    return out + encode.encode(text[at:], **options)
+
+
 def tokenised_pieces(
     docs: DataFrame, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, tokenizer: str = TOKENIZER_FILE
 ) -> DataFrame:
@@ -60,7 +111,8 @@ def tokenised_pieces(
 
     ids are little-endian unsigned 32-bit ids of the whole text and ``end_id``; a null text is
     empty. Longer documents are cut into pieces of ``max_tokens``; what remains is their first
-    piece. ``item`` numbers the pieces, also those of repeated rows; further columns are ignored.
+    piece. ``item`` numbers the pieces, also those of repeated rows; further columns are ignored;
+    an empty table gives no piece. A text is encoded whole: a task holds its ids, some 40 bytes each.
     """
     schema = arrow_schema(PIECES)
 
@@ -72,7 +124,7 @@ def tokenised_pieces(
         for batch in batches:
             held, size = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode.encode(text or "", allowed_special="all", disallowed_special=())
+                ids = encoded(encode, text or "")
                 ids.append(end_id)
                 data = np.array(ids, "<u4").tobytes()
                 first = (len(ids) - 1) % max_tokens + 1

@@ -19,10 +19,10 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DIGIT_GROUPS = re.compile(r"[0-9]++((?:\.[0-9]++){3})?")  # takes a whole run of digits, so it never retries inside
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]{3,}")
+TERM = re.compile(r"\w+")
 
 DISCLOSURE = 0.8  # share of an entity's information from which a term is too telling
-PREFIX = 3  # letters that remain of a generalised term
+PREFIX = 3  # characters that remain of a generalised term, but at most half of it
 REMOVED = "[TERM]"
 TERM_ROWS = 300_000  # distinct terms counted in a task before they are passed on
 
@@ -60,7 +60,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(0, s, e) for s, e in emails(text)]
     if "." in text:
         for m in DIGIT_GROUPS.finditer(text):
-            if m[1] and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if m[1] and all(len(q) <= 3 and int(q or "0") <= 255 for q in (p.lstrip("0") for p in m[0].split("."))):
                 out.append((1, m.start(), m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -104,9 +104,14 @@ def words_of(text: str, spans: list[tuple[int, int, int]]) -> dict[str, tuple[li
     return out
 
 
+def generalised(term: str) -> str:
+    """What may stand for a term: its first characters and ``~``, which no term holds; ``~`` alone shows nothing."""
+    return term[: min(PREFIX, len(term) // 2)] + "~"
+
+
 def terms_and_prefixes(text: str) -> set[str]:
     terms = {t.lower() for t in set(TERM.findall(text))}
-    return terms | {t[:PREFIX] + "~" for t in terms}
+    return terms | {generalised(t) for t in terms}
 
 
 def found_entities(docs: DataFrame) -> DataFrame:
@@ -176,60 +181,78 @@ def document_groups(found: DataFrame) -> DataFrame:
     return save_table(groups.groupBy("doc_id", "mark", "grp", "n_e", "w").agg(F.lit(1).alias("one")).drop("one"), "private-groups")
 
 
-def telling_terms(met: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
-    """grp, term, shown, n_et: pairs in which the term tells too much, and what is shown in its place.
+def telling_terms(found: DataFrame, groups: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    """doc_id, mark, term, shown: the terms that tell too much on an entity of their document, and what is shown instead.
+
+    Counted over all rows and whole texts: n of them, n_e with the entity, n_t with the term, n_et
+    with both. PMI = log(n n_et / (n_e n_t)) is the information the term gives on the entity; it is
+    at most log(n / n_e), the entity's own. A term is too telling from a share of ``disclosure`` on,
+    however rare the pair. It is then generalised to its first characters, at most half of them, if
+    these stay below the share for all entities of the document, else removed.
 
-    ``met`` has grp, n_e, w and words of each document with entities. Counted over all rows and
-    whole texts: n of them, n_e with the entity, n_t with the term, n_et with both. PMI =
-    log(n n_et / (n_e n_t)) is the information the term gives on the entity; it is at most
-    log(n / n_e), the entity's own. A term is too telling from a share of ``disclosure`` on,
-    however rare the pair. It is then generalised to its first letters if these stay below the
-    share for this entity, else removed.
+    As n_et <= n_e, only terms with n_t <= n_e (n / n_e) ** (1 - disclosure) can reach the share. The
+    terms of a document are cut to those before they meet its entities. A term that stands nowhere
+    else gives all information on every entity of its document and meets none of them.
     """
     n = docs.count()
+    limit = F.col("n_e") * F.pow(F.lit(float(max(n, 1))) / F.col("n_e"), F.lit(1 - disclosure)) * F.lit(1 + 1e-9) + F.lit(1e-6)
+    per_doc = groups.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(
+        F.max(limit).alias("limit"), F.max("w").alias("w"), F.min("n_e").alias("least")
+    )
+    per_doc = save_table(per_doc, "private-docs")
     terms = F.transform("words", lambda w: w["term"])
-    both = F.concat(terms, F.array_distinct(F.transform(terms, lambda t: F.concat(F.substring(t, 1, PREFIX), F.lit("~")))))
-    pairs = met.select("grp", "n_e", "w", F.explode(both).alias("term"))
-    pairs = pairs.groupBy("grp", "n_e", "term").agg(F.sum("w").alias("n_et"))
-    pairs = join_to_unique(save_table(pairs, "private-pairs"), term_counts(docs).withColumnRenamed("n", "n_t"), ["term"])
-    own = F.log(F.lit(float(n)) / F.col("n_e"))
-    gained = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    short = F.transform(terms, lambda t: F.concat(F.substring(t, F.lit(1), F.least(F.lit(PREFIX), F.floor(F.length(t) / 2).cast("int"))), F.lit("~")))
+    both = F.concat(terms, F.array_distinct(short))
+    known = found.filter(F.size("entities") > 0).dropDuplicates(["doc_id", "mark"]).select("doc_id", "mark", both.alias("terms"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    rows = known.join(per_doc, same).select("doc_id", "mark", "limit", "w", "least", F.explode("terms").alias("term"))
+    most = per_doc.agg(F.max("limit")).first()[0] or 0.0  # no term above the highest limit matters
+    counts = save_table(term_counts(docs).withColumnRenamed("n", "n_t").filter(F.col("n_t") <= F.lit(float(most))), "private-counts")
+    rows = save_table(join_to_unique(rows, counts, ["term"], weight="n_t").filter(F.col("n_t") <= F.col("limit")), "private-rare")
+    sole = rows.filter((F.col("n_t") == F.col("w")) & (F.col("least") < n)).select("doc_id", "mark", "term")
+    rest = rows.filter(F.col("n_t") > F.col("w")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "term", "n_t")
+    met = groups.withColumn("limit", limit).join(rest, same & (F.col("n_t") <= F.col("limit")))
+    met = save_table(met.select("doc_id", "mark", "grp", "n_e", "w", "term", "n_t"), "private-met")
+    pairs = met.groupBy("grp", "n_e", "term", "n_t").agg(F.sum("w").alias("n_et"), F.count(F.lit(1)).alias("docs"))
+    own = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
+    gained = F.log(F.lit(float(max(n, 1))) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     share = F.when(own > 0, gained / own).otherwise(F.lit(0.0))
-    pairs = save_table(pairs.select("grp", "term", "n_et", (share >= disclosure).alias("over")).filter("over"), "private-over")
-    words = pairs.filter(~F.col("term").endswith("~")).withColumn("prefix", F.concat(F.substring("term", 1, PREFIX), F.lit("~")))
-    wide = pairs.filter(F.col("term").endswith("~")).select("grp", F.col("term").alias("prefix"), F.col("over").alias("wide"))
-    shown = F.when(F.col("wide"), F.lit(REMOVED)).otherwise(F.col("prefix"))
-    return words.join(wide, ["grp", "prefix"], "left").select("grp", "term", shown.alias("shown"), "n_et")
+    over = save_table(pairs.filter(share >= disclosure).select("grp", "term", "docs"), "private-over")
+    told = join_to_unique(met.select("doc_id", "mark", "grp", "term"), over, ["grp", "term"], weight="docs")
+    told = save_table(sole.unionByName(told.select("doc_id", "mark", "term")).distinct(), "private-told")
+    wide = told.filter(F.col("term").endswith("~")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("term").alias("_prefix"))
+    few = F.least(F.lit(PREFIX), F.floor(F.length("term") / 2).cast("int"))
+    told = told.filter(~F.col("term").endswith("~")).withColumn("prefix", F.concat(F.substring("term", F.lit(1), few), F.lit("~")))
+    shown = F.when(F.col("_prefix").isNotNull() | (F.col("prefix") == "~"), F.lit(REMOVED)).otherwise(F.col("prefix"))
+    return told.join(wide, same & (F.col("prefix") == F.col("_prefix")), "left").select("doc_id", "mark", "term", shown.alias("shown"))
 
 
 def private_spans(docs: DataFrame) -> DataFrame:
     """doc_id, mark, spans per row of ``docs`` (doc_id, text); spans are (kind, start, end, shown), sorted.
 
     ``kind`` is a place in KINDS; positions count code points. Base spans have their kind as
-    ``shown``; further spans are all places of a term that is telling for an entity of the document.
-    Null texts count as empty; repeated rows get the same spans; further columns are ignored.
+    ``shown``; further spans are all places of a term (letters, digits and ``_`` in a row, of any
+    length) that is telling for an entity of the document. If several entities find a term or its first
+    characters telling, the one that shows least decides. Null texts count as empty; repeated rows
+    get the same spans; an empty table gives no row; further columns are ignored. Texts are searched
+    whole, in time that grows with their length; a task holds the words of one Arrow batch.
     """
     found = found_entities(docs)
-    words = found.filter(F.size("entities") > 0).dropDuplicates(["doc_id", "mark"])
-    words = words.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "words")
-    met = document_groups(found).join(words, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
-    met = save_table(met.select("doc_id", "mark", "grp", "n_e", "w", "words"), "private-met")
-    telling = save_table(telling_terms(met, docs), "private-telling")
-    places = met.select("doc_id", "mark", "grp", F.explode("words").alias("word")).select("doc_id", "mark", "grp", "word.*")
-    more = join_to_unique(places.filter(F.size("starts") > 0), telling, ["grp", "term"], weight="n_et")
-    removed = F.max(F.col("shown") == REMOVED)  # what one entity asks for, no other takes back
-    more = more.groupBy("doc_id", "mark", "term").agg(
-        F.when(removed, F.lit(REMOVED)).otherwise(F.max("shown")).alias("shown"), F.first("starts").alias("starts"), F.first("ends").alias("ends")
-    )
+    telling = telling_terms(found, document_groups(found), docs)
+    telling = save_table(telling, "private-telling")
+    places = found.filter(F.size("entities") > 0).dropDuplicates(["doc_id", "mark"]).select("doc_id", "mark", F.explode("words").alias("word"))
+    places = places.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "word.*").filter(F.size("starts") > 0)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    more = places.withColumnRenamed("term", "_term").join(telling, same & (F.col("term") == F.col("_term")))
     spans_of = F.transform(F.arrays_zip("starts", "ends"), lambda p: F.struct(
         F.lit(KINDS.index("term")).alias("kind"), p["starts"].alias("start"), p["ends"].alias("end"), F.col("shown").alias("shown")))
-    more = more.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list(spans_of)).alias("more"))  # the terms of one document
+    more = more.groupBy("_id", "_mark").agg(F.flatten(F.collect_list(spans_of)).alias("more"))  # the terms of one document
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.get(labels, s["kind"]).alias("shown")))
     none = F.array().cast("array<struct<kind:int,start:int,end:int,shown:string>>")
-    more = save_table(more, "private-more").withColumnRenamed("doc_id", "_id").withColumnRenamed("mark", "_mark")
-    joined = found.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
-    return joined.select("doc_id", "mark", F.array_sort(F.concat(base, F.coalesce("more", none))).alias("spans"))
+    joined = found.join(save_table(more, "private-more"), same, "left")
+    more = F.coalesce("more", none)
+    return joined.select("doc_id", "mark", F.array_sort(F.concat(base, more)).alias("spans"))
 
 
 def masked(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -240,6 +263,9 @@ def masked(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
         out = []
         for text, found in zip(texts, spans):
+            if found is None:  # nothing to hide, or no text
+                out.append(text)
+                continue
             parts, at = [], 0
             for s in sorted(found, key=lambda s: (s["start"], s["kind"])):
                 if s["start"] >= at:
@@ -252,11 +278,10 @@ def masked(docs: DataFrame, spans: DataFrame) -> DataFrame:
     some = save_table(spans.filter(F.size("spans") > 0).dropDuplicates(["doc_id", "mark"]), "private-some")
     some = some.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (mark_of("text") == F.col("_mark"))
-    clean = docs.join(some, same, "left_anti")
-    dirty = docs.join(some, same).withColumn("text", put("text", "_spans"))
+    rows = docs.join(some, same, "left").withColumn("text", put("text", "_spans"))
     if "n_chars" in docs.columns:
-        dirty = dirty.withColumn("n_chars", F.length("text").cast("long"))
-    return clean.unionByName(dirty.select(*docs.columns))
+        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return rows.select(*docs.columns)
 
 
 def joined_spans(spans: Column) -> Column:
