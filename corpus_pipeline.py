@@ -15,6 +15,7 @@ from framesift.llm import langid, minhash, mixing, packing, privacy
 from framesift.llm.common import prepare
 from framesift.session import scratch_root
 
+BATCH_BYTES = "4m"  # smaller Arrow batches: workers of one stage still hold memory while the next runs
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -24,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Profiles are learned from all rows that have a language. If no row has one, nothing can be
     learned: then texts that are null or without a letter are rejected, and languages stay null.
     """
-    prepare(spark)
+    prepare(spark, BATCH_BYTES)
     profiles = langid.language_profiles(docs)
     if not profiles:
         return docs.select(*COLUMNS).filter(F.col("text").rlike(r"\p{L}"))
@@ -35,26 +36,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group linked by 80 % of five-word shingles."""
-    prepare(spark)
+    prepare(spark, BATCH_BYTES)
     return minhash.first_of_each_group(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks personal data and the terms that reveal it; keeps every document."""
-    prepare(spark)
+    prepare(spark, BATCH_BYTES)
     docs = docs.select(*COLUMNS)
     return privacy.masked(docs, privacy.private_spans(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixes the sources to their targets; a document has a row for each epoch it is taken in."""
-    prepare(spark)
+    prepare(spark, BATCH_BYTES)
     return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents in sequences of 1024: see ``packing.packed_pieces``."""
-    prepare(spark)
+    prepare(spark, BATCH_BYTES)
     return packing.packed_pieces(docs)
 
 
@@ -73,7 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written as Parquet and read again by the next."""
-    prepare(spark)
+    prepare(spark, BATCH_BYTES)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{scratch_root(spark)}/framesift-pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
