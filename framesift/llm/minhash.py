@@ -136,23 +136,20 @@ def shared_keys(classes: DataFrame) -> DataFrame:
     def shared(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held = None  # the last row, kept or not by the first of the next batch
+        def rows(key, rep, keep):
+            return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(rep[keep])], names=["key", "rep"])
+
+        key, rep, keep = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch])
-            now = pa.concat_tables([held, now]).combine_chunks() if held is not None else now
-            key = now.column("key").to_numpy()
+            # the last row waits for the first of the next batch
+            key = np.concatenate([key[-1:], batch.column(0).to_numpy()])
+            rep = np.concatenate([rep[-1:], batch.column(1).to_numpy()])
+            keep = np.concatenate([keep[-1:], batch.column(2).to_numpy(zero_copy_only=False)])
             same = key[1:] == key[:-1]
-            keep = now.column("hot").to_numpy().copy()
             keep[1:] |= same
             keep[:-1] |= same
-            yield from now.slice(0, now.num_rows - 1).filter(pa.array(keep[:-1])).select(["key", "rep"]).to_batches()
-            held = now.slice(now.num_rows - 1)
-            if keep[-1]:
-                held = held.set_column(held.schema.get_field_index("hot"), "hot", pa.array([True]))
-        if held is not None and held.column("hot")[0].as_py():
-            yield from held.select(["key", "rep"]).to_batches()
+            yield rows(key[:-1], rep[:-1], keep[:-1])
+        yield rows(key[-1:], rep[-1:], keep[-1:])
 
     dealt = keys.select("key", "rep", "hot").repartition(parts, "key", spread).sortWithinPartitions("key")
     return save_table(dealt.mapInArrow(shared, "key long, rep long"), "minhash-shared")

@@ -132,8 +132,10 @@ def test_shared_keys(spark, monkeypatch):
     classes = spark.createDataFrame(rows, "rep long, sig binary")
     keys = [(r["key"], r["rep"]) for r in minhash.chunk_keys(classes).collect()]
     n = collections.Counter(k for k, _ in keys)
-    got = [(r["key"], r["rep"]) for r in minhash.shared_keys(classes.repartition(5)).collect()]
-    assert sorted(got) == sorted(k for k in keys if n[k[0]] > 1) and max(n.values()) > 50
+    for rows_a_batch in (10, 2000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
+        got = [(r["key"], r["rep"]) for r in minhash.shared_keys(classes.repartition(5)).collect()]
+        assert sorted(got) == sorted(k for k in keys if n[k[0]] > 1) and max(n.values()) > 50
 
 
 def test_language_of_nothing_and_too_many_labels(spark, monkeypatch):
