@@ -9,12 +9,14 @@ used only where they are passed by name.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.functions.pixels import decode, grey, resize, resize_nearest
+from framesift.functions.pixels import average_hash_hex, decode, grey, resize, resize_nearest
 
 # Detector names, caption models, input sizes and batch limits.
 DETECTORS = (
@@ -82,6 +84,15 @@ def face_embedding_udf(make_model: Callable | None = None, batch_size: int = FAC
     return vector_udf(given(make_model, "face embedder"), batch_size)
 
 
+def detector_of(backend: str, detectors: dict[str, Callable] | None) -> Callable:
+    """The factory of a detector; raises on the driver, before any job, if the name is unknown or nothing is given."""
+    if backend not in DETECTORS:
+        raise ValueError(f"unknown detector {backend!r}; use one of {', '.join(DETECTORS)}")
+    if backend not in (detectors or {}):
+        raise ValueError(f"no detector given for {backend!r}: pass detectors={{{backend!r}: factory}}")
+    return detectors[backend]
+
+
 def count_faces_udf(
     backend: str = DEFAULT_DETECTOR, align: bool = True, detectors: dict[str, Callable] | None = None
 ):
@@ -90,11 +101,7 @@ def count_faces_udf(
     ``detectors`` maps a backend name to a factory of ``fn(rgb, align) -> list of faces``.
     The name is checked here, on the driver, before any job runs.
     """
-    if backend not in DETECTORS:
-        raise ValueError(f"unknown detector {backend!r}; use one of {', '.join(DETECTORS)}")
-    if backend not in (detectors or {}):
-        raise ValueError(f"no detector given for {backend!r}: pass detectors={{{backend!r}: factory}}")
-    make_detector = detectors[backend]
+    make_detector = detector_of(backend, detectors)
 
     @F.pandas_udf("int")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
@@ -112,6 +119,76 @@ def count_faces_udf(
     return run
 
 
+class Picture(NamedTuple):
+    """One row of the image source."""
+
+    height: int
+    width: int
+    nChannels: int
+    data: bytes
+
+
+MEASURED = "image_id string, filename string, path string, error boolean, hash string, feature array<float>, n_faces int, embedding array<float>"
+
+
+def measured_images(
+    images: DataFrame,
+    make_features: Callable | None = None,
+    make_detector: Callable | None = None,
+    make_embedder: Callable | None = None,
+    align: bool = True,
+    with_hash: bool = True,
+    batch_size: int = FACE_BATCH,
+) -> DataFrame:
+    """All that the stages need to know of each picture, from one pass that decodes it once; see MEASURED.
+
+    Pictures never leave the task that read them: hash, model input, face count and face embedding are
+    taken side by side, and only these narrow columns go on. A model that is not given leaves its
+    column null, as does a picture that cannot be decoded; a detector that fails on a picture counts
+    no face. The models see every decodable picture, also those that a later stage drops.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(MEASURED))
+
+    def vectors(model, pixels: list) -> list:
+        ready = [p for p in pixels if p is not None]
+        found = iter(model(ready) if ready else [])
+        out = [None if p is None else next(found) for p in pixels]
+        return [None if v is None else np.asarray(v, dtype=np.float32) for v in out]
+
+    def faces(detect, pixels) -> int | None:
+        if pixels is None:
+            return None
+        try:
+            return len(detect(pixels, align))
+        except Exception:
+            return 0
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        features, detect, embed = (make() if make else None for make in (make_features, make_detector, make_embedder))
+        for batch in batches:
+            for part in _batches(batch.num_rows, batch_size):
+                rows = batch.slice(part.start, batch_size)
+                found = [Picture(*(x[c] for c in Picture._fields)) for x in rows.column(4).to_pylist()]
+                pixels = [decode(p) if p.height and p.height > 0 else None for p in found]
+                none = [None] * len(pixels)
+                inputs = [None if p is None else resize_nearest(p, FEATURE_SIDE, FEATURE_SIDE) for p in pixels] if features else none
+                columns = [
+                    [average_hash_hex(p) if with_hash and p is not None else None for p in pixels],
+                    vectors(features, inputs) if features else none,
+                    [faces(detect, p) for p in pixels] if detect else none,
+                    vectors(embed, pixels) if embed else none,
+                ]
+                arrays = [*rows.columns[:4], *(pa.array(c, schema.field(i).type) for i, c in enumerate(columns, 4))]
+                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    return images.select("image_id", "filename", "path", "error", "image").mapInArrow(run, MEASURED)
+
+
 def caption_udf(make_model: Callable | None = None, model_key: str = CAPTION_MODELS[0], batch_size: int = 8):
     """UDF (image, prompt) -> caption. ``fn(images, prompts, max_new_tokens) -> texts``."""
     if model_key not in CAPTION_MODELS:

@@ -27,32 +27,38 @@ def grey(rgb: np.ndarray) -> np.ndarray:
     return ((weighted + (1 << 15)) >> 16).astype(np.uint8)
 
 
-@lru_cache(maxsize=256)
-def _weights(source: int, target: int) -> np.ndarray:
-    """target x source matrix of fixed-point Lanczos weights."""
+@lru_cache(maxsize=64)
+def _weights(source: int, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """First source pixel of each output, and its fixed-point Lanczos weights (target x taps, zeros at the end).
+
+    An output reads only the pixels within reach, so the table has target * (6 * scale + 2) numbers at most.
+    """
     scale = source / target
     stretch = max(scale, 1.0)
     reach = LANCZOS_LOBES * stretch
-    table = np.zeros((target, source), dtype=np.int64)
+    middle = (np.arange(target) + 0.5) * scale
+    first = np.maximum((middle - reach + 0.5).astype(np.int64), 0)
+    last = np.minimum((middle + reach + 0.5).astype(np.int64), source)
+    table = np.zeros((target, int((last - first).max())))
     for out in range(target):
-        middle = (out + 0.5) * scale
-        first = max(int(middle - reach + 0.5), 0)
-        last = min(int(middle + reach + 0.5), source)
-        at = (np.arange(first, last) - middle + 0.5) / stretch
+        at = (np.arange(first[out], last[out]) - middle[out] + 0.5) / stretch
         w = np.where(np.abs(at) < LANCZOS_LOBES, np.sinc(at) * np.sinc(at / LANCZOS_LOBES), 0.0)
         w = w / w.sum()
-        table[out, first:last] = np.trunc(w * (1 << WEIGHT_BITS) + np.copysign(0.5, w))
-    return table
+        table[out, : len(at)] = np.trunc(w * (1 << WEIGHT_BITS) + np.copysign(0.5, w))
+    return first, table
 
 
 def _pass(pixels: np.ndarray, target: int) -> np.ndarray:
     """Resample axis 1 of an h x w x c byte array, rounding to bytes."""
-    if pixels.shape[1] == target:
+    source = pixels.shape[1]
+    if source == target:
         return pixels
-    table = _weights(pixels.shape[1], target).astype(np.float64)
-    # products stay below 2**53, so float matmul is exact and uses BLAS
-    total = np.einsum("tw,hwc->htc", table, pixels.astype(np.float64), optimize=True)
-    return np.clip(np.floor((total + (1 << (WEIGHT_BITS - 1))) / (1 << WEIGHT_BITS)), 0, 255).astype(np.uint8)
+    first, table = _weights(source, target)
+    # whole numbers below 2**53 in every sum, so floats are exact
+    total = np.full((pixels.shape[0], target, pixels.shape[2]), float(1 << (WEIGHT_BITS - 1)))
+    for tap in range(table.shape[1]):
+        total += table[:, tap, None] * pixels[:, np.minimum(first + tap, source - 1)]
+    return np.clip(np.floor(total / (1 << WEIGHT_BITS)), 0, 255).astype(np.uint8)
 
 
 def resize(pixels: np.ndarray, width: int, height: int) -> np.ndarray:

@@ -12,6 +12,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framesift.session import save_table
+
 # Defaults of the refinement stage.
 SEED = 42
 DEFAULT_K = 50
@@ -181,6 +183,43 @@ def lloyd_step(df: DataFrame, vec_col: str, centers: np.ndarray) -> DataFrame:
     return cluster_means(assign(df.select(vec_col), vec_col, centers), vec_col)
 
 
+def moved_centers(vectors: DataFrame, centers: np.ndarray) -> np.ndarray:
+    """Centers after one assignment of ``vectors`` (vec); a cluster without images keeps its old one.
+
+    Each task sums its own rows and sends one row per cluster; these are added up before they reach
+    the driver, so what it gets does not grow with the tasks.
+    """
+    centers = _check_centers(centers)
+    half = (centers**2).sum(axis=1)
+
+    def sums(batches):
+        import pyarrow as pa
+
+        total, n = np.zeros(centers.shape), np.zeros(len(centers), np.int64)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            x = flat.reshape(batch.num_rows, -1).astype(np.float64)
+            if not len(x):
+                continue
+            label = (half[None, :] - 2 * (x @ centers.T)).argmin(axis=1)
+            order = np.argsort(label, kind="stable")
+            here, start = np.unique(label[order], return_index=True)
+            total[here] += np.add.reduceat(x[order], start, axis=0)
+            n += np.bincount(label, minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(list(total[some]), pa.list_(pa.float64()))],
+            names=["cluster", "n", "sums"],
+        )
+
+    parts = vectors.select("vec").mapInArrow(sums, "cluster int, n long, sums array<double>")
+    added = parts.groupBy("cluster").agg(Summarizer.sum(array_to_vector("sums")).alias("sums"), F.sum("n").alias("n"))
+    new = centers.copy()
+    for row in added.collect():
+        new[row["cluster"]] = row["sums"].toArray() / row["n"]
+    return new
+
+
 def kmeans(
     df: DataFrame,
     id_col: str,
@@ -195,21 +234,26 @@ def kmeans(
     """Assigned rows (cluster, distance added) and the k x d centers.
 
     ``lloyd`` does not depend on how rows are partitioned; ``ml`` is the library estimator.
-    Each iteration is one pass with partial sums; only the centers come to the driver.
+    Ids and vectors are stored once; each iteration is one pass over them with partial sums, and only the
+    centers come to the driver. The spread start holds some 2 * SPREAD_ROUNDS * k candidates
+    there, which are checked against the bound before any pass.
     """
-    n_rows = df.count()
+    rows = save_table(df.select(id_col, vec_col), "kmeans")
+    n_rows = rows.count()
     k = clamp_k(k, n_rows)
-    check_size(k, len(df.select(vec_col).first()[0]))
+    candidates = min(n_rows, (2 * SPREAD_ROUNDS + 1) * k) if engine == "lloyd" and init == "spread" else k
+    check_size(candidates, len(rows.select(vec_col).first()[0]))
     if engine == "ml":
         ready = df.withColumn("_v", array_to_vector(F.col(vec_col).cast("array<double>")))
         model = KMeans(k=k, seed=seed, featuresCol="_v", maxIter=max_iter, tol=tol).fit(ready)
         centers = np.array(model.clusterCenters())
     elif engine == "lloyd":
-        pick = {"first": lambda: first_centers(df, id_col, vec_col, k),
-                "spread": lambda: spread_centers(df, id_col, vec_col, k, seed)}
+        pick = {"first": lambda: first_centers(rows, id_col, vec_col, k),
+                "spread": lambda: spread_centers(rows, id_col, vec_col, k, seed)}
         centers = pick[init]()
+        vectors = rows.select(F.col(vec_col).alias("vec"))
         for _ in range(max_iter):
-            new = centers_matrix(lloyd_step(df, vec_col, centers), len(centers), centers)
+            new = moved_centers(vectors, centers)
             shift = float(((new - centers) ** 2).sum())
             centers = new
             if shift <= tol:

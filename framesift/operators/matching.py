@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions.vectors import cosine
 from framesift.operators.near_copies import twin_groups
+from framesift.operators.rounds import match_rounds
 from framesift.operators.similarity import check_threshold, equal_groups
 from framesift.operators.skew import join_to_unique, ordered_rank, ordered_slices
 from framesift.session import save_table
@@ -232,8 +233,26 @@ def _sweep_large(arrivals: DataFrame, links: DataFrame, kind: str, task_rows: in
     )
 
 
-def match_groups(groups: DataFrame, links: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
-    """(moved, kept, similarity) from stored groups and links."""
+def _match_large(active: DataFrame, links: DataFrame, kind: str, task_rows: int) -> DataFrame:
+    """Components beyond one task: rounds, then what they leave, in components again.
+
+    Only where rounds pair next to nothing, in long chains, the rest is swept block by block.
+    """
+    done = match_rounds(active, links.drop("comp"), task_rows)
+    columns = ["moved", "kept", F.lit(None).cast("double").alias("similarity")]
+    if done.pairs is None:
+        return _sweep_large(active, links, kind, task_rows)
+    copies = save_table(done.images.groupBy("clump").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    left = save_table(join_to_unique(done.images, copies, ["clump"], weight="copies"), "groups")
+    rest = match_groups(left, done.links, task_rows, rounds=not done.stalled)
+    return done.pairs.select(*columns).unionByName(rest)
+
+
+def match_groups(groups: DataFrame, links: DataFrame, task_rows: int = TASK_ROWS, rounds: bool = True) -> DataFrame:
+    """(moved, kept, similarity) from stored groups and links; similarity is null where nobody has computed it yet.
+
+    Small components are swept side by side; large ones go through ``rounds`` first.
+    """
     kind = groups.schema["id"].dataType.simpleString()
     one = F.count(F.lit(1))
     of_twins = links.filter(~F.col("whole")).groupBy("rep").agg(one.alias("dt"))
@@ -288,7 +307,7 @@ def match_groups(groups: DataFrame, links: DataFrame, task_rows: int = TASK_ROWS
     small = small_rows.groupBy("comp").cogroup(small_links.groupBy("comp")).applyInPandas(sweep_whole, out)
     if not large.head(1):
         return small
-    rest = _sweep_large(
+    rest = (_match_large if rounds else _sweep_large)(
         save_table(active.join(F.broadcast(large), "comp", "left_semi"), "large"),
         save_table(links.join(F.broadcast(large), "comp", "left_semi"), "large"),
         kind,

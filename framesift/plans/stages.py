@@ -16,11 +16,14 @@ from framesift.functions.hashing import average_hash_image
 from framesift.functions.models import (
     CAPTION_MODELS,
     DEFAULT_DETECTOR,
+    FACE_BATCH,
     caption_udf,
     count_faces_udf,
+    detector_of,
     face_embedding_udf,
     feature_udf,
     given,
+    measured_images,
     model_input_udf,
     resize_udf,
 )
@@ -333,21 +336,48 @@ def refine_set(
 ) -> dict[str, DataFrame]:
     """Recommended order over decoded pictures: similarity, faces, refinement, captions.
 
-    Gives the routes of both filters, the selected images and, with ``captions`` (options of
-    ``caption_selected``), their captions.
+    The pictures are read and decoded in one pass (``measured_images``), which runs the feature model, the
+    detector and the embedder on every decodable one; all that follows joins narrow tables. Only the
+    selected pictures, one per cluster, are read once more for their captions. Options are those of
+    ``similarity_of_images``, ``faces_of_images``, ``refine_images`` and ``caption_selected``.
+
+    Gives the routes of both filters, the selected images and, with ``captions``, their captions.
     """
-    first = similarity_of_images(images, **(similarity or {}))
+    similarity, faces, refine = dict(similarity or {}), dict(faces or {}), dict(refine or {})
+    features = similarity.pop("make_features", None)
+    compared = "vgg16_similarity" in similarity.get("methods", DEFAULT_METHODS)
+    detector = detector_of(faces.pop("backend", DEFAULT_DETECTOR), faces.pop("detectors", None))
+    on_error = refine.pop("on_error", "fail")
+    if on_error not in ("fail", "skip"):
+        raise ValueError("on_error is 'fail' or 'skip'")
+    known = save_table(
+        measured_images(
+            images, given(features, "feature model") if compared else None, detector,
+            given(refine.pop("make_embedder", None), "face embedder"), faces.pop("align", True),
+            "perceptual_hash" in similarity.get("methods", DEFAULT_METHODS), refine.pop("batch_size", FACE_BATCH),
+        ),
+        "measured",
+    )
+
+    def vectors(duplicates: DataFrame | None) -> DataFrame:
+        rest = known.filter(~F.col("error")).select("image_id", "feature")
+        return rest if duplicates is None else rt.remaining(rest, duplicates, "image_id")
+
+    first = similarity_stage(known.select("image_id", "hash"), vectors, "image_id", "feature", **similarity)
     gone = first.routes.filter(F.col("route") != "keep")
-    stay = rt.remaining(images, gone, "image_id")
-    second = faces_of_images(stay, **(faces or {}))
+    stay = rt.remaining(known, gone, "image_id")
+    second = face_stage(stay.select("image_id", F.coalesce("n_faces", F.lit(0)).alias("n_faces")), "image_id", **faces)
     single = rt.remaining(stay, second.routes.filter(F.col("route") != "keep"), "image_id")
-    third = refine_images(single, k=k, method=method, **(refine or {}))
+    if on_error == "fail" and single.filter("error").head(1):
+        raise ValueError("the set holds files that cannot be decoded")
+    embedded = single.filter(~F.col("error")).select("image_id", "filename", "path", "embedding")
+    third = refine_stage(embedded, "image_id", "embedding", k=k, method=method, **refine)
     out = {
         "similarity_routes": first.routes,
         "face_routes": second.routes,
         "assigned": third.assigned,
         "selected": third.selected,
-        "export": export_plan(third.selected, images, "image_id", method),
+        "export": export_plan(third.selected, known, "image_id", method),
     }
     if captions:
         out["captions"] = caption_selected(images, third.selected, **captions)

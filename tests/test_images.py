@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from conftest import noise, write_png
 from framesift import sinks
-from framesift.functions import models, pixels
+from framesift.functions import hashing, models, pixels
 from framesift.operators import captions as cap
 from framesift.plans import stages
 from framesift.sources.images import read_file_meta, read_images, read_upload_images, read_uploads
@@ -246,6 +246,40 @@ def test_recommended_order(spark, images, picture_dir, tmp_path):
     assert all(r.caption.startswith("JD_") and ", say: 64x64" in r.caption for r in told)
 
 
+def test_one_pass_decodes_each_picture_once(spark, images, tmp_path):
+    """Every model gets each decodable picture exactly once, and nothing that is stored holds pixels."""
+    log = str(tmp_path / "seen")
+
+    def noted(kind, make):
+        def factory():
+            model = make()
+
+            def run(pictures, *rest):
+                with open(f"{log}-{kind}", "a") as out:
+                    out.write("x" * (len(pictures) if isinstance(pictures, list) else 1))
+                return model(pictures, *rest)
+
+            return run
+
+        return factory
+
+    known = models.measured_images(
+        images, noted("feature", models.pooled_pixels), noted("faces", models.bright_blobs), noted("face", models.pooled_face), batch_size=2
+    )
+    rows = {r.filename: r for r in known.collect()}
+    assert [len(open(f"{log}-{kind}").read()) for kind in ("feature", "faces", "face")] == [8, 8, 8]
+    assert "image" not in known.columns and len(rows) == 9
+    apart = images.filter("not error").select(
+        "filename", hashing.average_hash_image("image").alias("hash"), models.feature_udf(models.pooled_pixels)("image").alias("feature"),
+        models.count_faces_udf("mtcnn", True, {"mtcnn": models.bright_blobs})("image").alias("n_faces"),
+        models.face_embedding_udf(models.pooled_face)("image").alias("embedding"),
+    )
+    for r in apart.collect():
+        assert (rows[r.filename].hash, rows[r.filename].feature, rows[r.filename].n_faces, rows[r.filename].embedding) == (r.hash, r.feature, r.n_faces, r.embedding)
+    bad = rows["bad.jpg"]
+    assert bad.error and (bad.hash, bad.feature, bad.n_faces, bad.embedding) == (None, None, None, None)
+
+
 def test_manifest(spark, images, tmp_path):
     routes = stages.similarity_of_images(images).routes
     sinks.write_routes(routes, str(tmp_path / "m"))

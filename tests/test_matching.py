@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framesift.operators import matching, rounds
 from framesift.operators.matching import connected_components, greedy_similar_pairs, number_pairs
 from framesift.operators.near_copies import twin_groups
-from framesift.operators.similarity import choose_pivots, cosine_pairs, distinct_pairs
+from framesift.operators.similarity import choose_pivots, cosine_pairs, distinct_pairs, equal_groups
 
 
 def cosine(a, b):
@@ -177,3 +178,39 @@ def test_components(spark):
 def test_numbering(spark):
     pairs = spark.createDataFrame([(i * 7 % 101, i, 0.9) for i in range(101)], "moved long, kept long, similarity double")
     assert [r.moved for r in number_pairs(pairs).orderBy("pair_no").collect()] == list(range(101))
+
+
+def crowd(n, seed=4, width=3):
+    """One large component: every picture is like some fifteen others."""
+    rng = np.random.default_rng(seed)
+    return single((i, rng.normal(size=width)) for i in range(n))
+
+
+def test_rounds_pair_a_giant_component_like_the_walk(spark, monkeypatch):
+    rows = crowd(900)
+    seen = []
+
+    def counted(*args, **options):
+        seen.append(rounds.match_rounds(*args, **options))
+        return seen[-1]
+
+    monkeypatch.setattr(matching, "match_rounds", counted)
+    got = greedy_similar_pairs(frame(spark, rows), "id", "v", 0.97, task_rows=2000)
+    assert sorted((r.moved, r.kept) for r in got.collect()) == walk(rows, 0.97)
+    assert seen and all(not x.stalled and x.n_rounds < 30 for x in seen)
+
+
+@pytest.mark.parametrize("t,enough", [(0.2, 0), (0.9, 0), (0.9, 40)])
+def test_rounds_alone(spark, t, enough):
+    """Rounds to the end, or to what is enough, on copies, runs, twins and whole links."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(7, 3))
+    rows = single((i, base[rng.integers(7)] if rng.random() < 0.6 else base[rng.integers(7)] + rng.normal(size=3) * 0.05) for i in range(150))
+    _, groups, distinct, _ = equal_groups(frame(spark, rows), "id", "v")
+    groups, links = matching._merged_groups(groups, distinct, t, {})
+    done = rounds.match_rounds(groups, links, enough, max_rounds=200, least_share=0.0)
+    pairs = sorted((r.moved, r.kept) for r in done.pairs.collect())
+    if not enough:
+        assert pairs == walk(rows, t)
+    else:
+        assert set(pairs) < set(walk(rows, t)) and done.images.count() + done.links.count() <= enough
