@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framesift.functions.geometry import MAX_DIMENSION
 from framesift.functions.pixels import average_hash_hex, decode, grey, resize, resize_nearest
 
 # Detector names, caption models, input sizes and batch limits.
@@ -210,6 +211,40 @@ def caption_udf(make_model: Callable | None = None, model_key: str = CAPTION_MOD
     return run
 
 
+def prompts_udf(make_model: Callable | None = None, model_key: str = CAPTION_MODELS[0], batch_size: int = 8, limit: int = MAX_DIMENSION):
+    """UDF (image, array of prompts) -> array of captions, null for a picture that cannot be decoded.
+
+    A picture is decoded and shrunk to ``limit`` once, then asked all its prompts. The model is
+    that of ``caption_udf``; a call gets at most ``batch_size`` questions.
+    """
+    if model_key not in CAPTION_MODELS:
+        raise ValueError(f"unknown caption model {model_key!r}; use one of {', '.join(CAPTION_MODELS)}")
+    factory = given(make_model, "caption model")
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.Series]:
+        model = factory()
+        for images, prompts in batches:
+            out: list = []
+            for image, asked in zip(images.itertuples(index=False), prompts):
+                if not image.height or image.height <= 0:
+                    out.append(None)
+                    continue
+                picture = decode(image)
+                side = max(picture.shape[:2])
+                if side > limit:
+                    h, w = (int(n * (limit / side)) for n in picture.shape[:2])
+                    picture = resize(picture, w, h)
+                texts: list = []
+                for part in _batches(len(asked), batch_size):
+                    questions = list(asked[part])
+                    texts += model([picture] * len(questions), questions, MAX_NEW_TOKENS)
+                out.append(texts)
+            yield pd.Series(out, dtype=object)
+
+    return run
+
+
 def resize_udf(limit: int):
     """UDF image -> image shrunk so that no side exceeds ``limit`` (BGR bytes, 3 channels)."""
 

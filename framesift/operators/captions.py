@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framesift.functions.names import text_name
+from framesift.functions.names import export_name, fluxkey, text_name
 
 KEY_CHUNK = 10_000  # files per digest of a request key
+PROMPT_CHUNK = 256  # prompts asked of a picture at a time
 
 
 def truth_text(flag: Column) -> Column:
@@ -49,6 +50,27 @@ def with_prompts(images: DataFrame, prompts: DataFrame) -> DataFrame:
     return images.crossJoin(prompts.select("prompt_no", "prompt"))
 
 
+def prompt_chunks(prompts: DataFrame, size: int = PROMPT_CHUNK) -> DataFrame:
+    """(chunk, asked): the prompts (prompt_no, prompt) as arrays of at most ``size``, numbers being unique and not negative."""
+    asked = F.array_sort(F.collect_list(F.struct("prompt_no", "prompt"))).alias("asked")
+    return prompts.groupBy(F.floor(F.col("prompt_no") / size).alias("chunk")).agg(asked)
+
+
+def answer_prompts(
+    rows: DataFrame, prompts: DataFrame, answer: Callable[[Column], Column], dropped: Sequence[str] = (), size: int = PROMPT_CHUNK
+) -> DataFrame:
+    """``rows`` without ``dropped``, with prompt_no, prompt and answer: every prompt asked of every row.
+
+    ``answer`` maps an array of prompts to the array of their answers. A row meets one array per ``size``
+    prompts, so a picture travels and is decoded once for all of them; pictures are dropped before the
+    answers are laid out as rows.
+    """
+    met = rows.crossJoin(prompt_chunks(prompts, size))
+    kept = [c for c in rows.columns if c not in dropped]
+    told = met.select(*kept, F.arrays_zip("asked", answer(F.col("asked.prompt")).alias("answer")).alias("_told"))
+    return told.select(*kept, F.explode("_told").alias("_t")).select(*kept, "_t.asked.prompt_no", "_t.asked.prompt", "_t.answer")
+
+
 def cache_hits(wanted: DataFrame, cache: DataFrame, key: str, use_cache: bool = True, force_refresh: bool = False) -> DataFrame:
     """Requests answered by the cache. Either switch bypasses the read."""
     if force_refresh or not use_cache:
@@ -88,3 +110,15 @@ def caption_files(captions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         captions.groupBy(*by, text_name(F.col("filename")).alias("txt_name"))
         .agg(F.max_by("caption", "pos").alias("content"))
     )
+
+
+def export_folder(request: Column, identifier: Column, use_hash: Column) -> Column:
+    """Folder of a caption export: the request, so that exports do not mix, and the export name."""
+    label = F.when(use_hash, fluxkey(identifier)).otherwise(fluxkey(identifier, False))
+    return F.concat_ws("/", request.cast("string"), export_name(label, ""))
+
+
+def export_files(captions: DataFrame) -> DataFrame:
+    """(folder, txt_name, content) of captions as ``caption_stage`` gives them, for ``write_caption_files``."""
+    placed = captions.withColumn("folder", export_folder(F.col("request"), F.col("identifier"), F.col("use_hash")))
+    return caption_files(placed, ["folder"])

@@ -214,7 +214,11 @@ def cosine_pairs(df: DataFrame, id_col: str, vec_col: str, threshold: float, **s
     one row with both ends equal. Copies are thus never written out pair by pair.
     """
     _, groups, distinct, n_distinct = equal_groups(df, id_col, vec_col)
-    edges = save_table(distinct_pairs(distinct, threshold, n_distinct, **sizes), "edges")
+    return with_copies(save_table(distinct_pairs(distinct, threshold, n_distinct, **sizes), "edges"), groups)
+
+
+def with_copies(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of distinct vectors with the pairs of copies they stand for, and a row per group of copies."""
     firsts = groups.filter(F.col("id") == F.col("rep")).select("rep", "copies")
     left = firsts.select(F.col("rep").alias("earlier"), F.col("copies").alias("_a"))
     right = firsts.select(F.col("rep").alias("later"), F.col("copies").alias("_b"))

@@ -17,12 +17,14 @@ from framesift.operators import faces as fc
 from framesift.operators import routes as rt
 from framesift.operators.matching import greedy_similar_pairs as greedy
 from framesift.operators.matching import number_pairs
+from framesift.operators.lsh import lsh_pairs as near_pairs
 from framesift.operators.similarity import cosine_pairs as all_pairs
 from framesift.operators.skew import ordered_rank
+from framesift.operators.tiles import plot_tiles as tiles_of
 from framesift.plans import stages
 from framesift.plans import tables as tb
 from framesift.session import save_table, scratch_root, ship_package
-from framesift.sinks import write_routes
+from framesift.sinks import unique_names, write_caption_files, write_routes
 from framesift.sources.images import file_parts
 
 OUT = "/out"
@@ -157,6 +159,13 @@ def cosine_pairs(spark, folder):
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
+@query
+def lsh_pairs(spark, folder):
+    """No SQL: a pair may be missed; tests measure the recall against the exact join."""
+    pairs = near_pairs(tb.vectors(spark, folder), "vec_id", "embedding", tb.THRESHOLD)
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
 @query
 def greedy_similar_pairs(spark, folder):
     pairs = greedy(tb.vectors(spark, folder), "vec_id", "embedding", tb.THRESHOLD)
@@ -332,6 +341,17 @@ def cluster_plot_data(spark, folder):
     )
 
 
+@query
+def plot_tiles(spark, folder):
+    """Tiles of the given clusters: first two components of every vector as its place."""
+    rows = tb.labelled(spark, folder)
+    points = rows.select(
+        "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"),
+        "cluster", (F.col("vec_id") % 10 == 0).alias("is_selected"),
+    )
+    return tiles_of(points, "vec_id", zooms=4, cells=8)
+
+
 @query
 def stage_refine(spark, folder):
     done = stages.refine_stage(
@@ -355,6 +375,20 @@ def prompt_cross(spark, folder):
     return cap.with_prompts(files, prompts).select("conv_id", "pos", "prompt")
 
 
+@query
+def prompt_answers(spark, folder):
+    """All prompts asked of a row at once, in chunks of two; the captions stand for the answers."""
+    prompts = tb.table(spark, folder, tb.PROMPT_TABLE).select(
+        F.col("r_regionkey").alias("prompt_no"), F.col("r_name").alias("prompt")
+    )
+    said = tb.captions(spark, folder).select("conv_id", "pos", "caption")
+
+    def answer(asked):
+        return F.transform(asked, lambda p: F.concat(p, F.lit(": "), F.col("caption")))
+
+    return cap.answer_prompts(said, prompts, answer, ["caption"], 2)
+
+
 @query
 def cache_hits(spark, folder):
     wanted = tb.table(spark, folder, "documents").select("doc_id")
@@ -383,6 +417,35 @@ def caption_export(spark, folder):
     return cap.caption_files(tb.captions(spark, folder))
 
 
+@query
+def caption_export_files(spark, folder):
+    """Captions written as files below their export folders, then read back."""
+    named = tb.captions(spark, folder).select(
+        F.col("conv_id").alias("request"), "pos", "filename", "caption",
+        F.concat(F.lit("Photo Set "), (F.col("conv_id") % 5).cast("string")).alias("identifier"),
+        (F.col("conv_id") % 2 == 0).alias("use_hash"),
+    )
+    out = f"{out_root(spark)}/captions"
+    write_caption_files(cap.export_files(named), out)
+    texts = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
+    texts = texts.option("pathGlobFilter", "*.txt").load(out)
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    return texts.select(
+        F.element_at(parts, -3).cast("long").alias("request"), F.element_at(parts, -2).alias("folder"),
+        F.element_at(parts, -1).alias("txt_name"), F.col("value").alias("content"),
+    )
+
+
+@query
+def unique_copy_names(spark, folder):
+    """Export names of files from many folders: of equal names one stays as it is."""
+    docs = tb.table(spark, folder, "documents").select(
+        F.col("doc_id"), F.concat(F.lit("/set/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"),
+        F.concat(F.lit("out.d/IMG_"), (F.col("doc_id") % 300).cast("string"), F.lit(".png")).alias("dest_name"),
+    )
+    return unique_names(docs)
+
+
 @query
 def stage_caption(spark, folder):
     """Whole captioning stage with a cache: the texts come from the table, not from a model."""

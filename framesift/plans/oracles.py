@@ -282,7 +282,30 @@ ORACLES: dict[str, str] = {
   {AXES}
   SELECT vec_id, CASE WHEN x = 0 THEN 0 ELSE x END AS x, CASE WHEN y = 0 THEN 0 ELSE y END AS y,
     cluster, vec_id IN (SELECT vec_id FROM picked) AS is_selected FROM final JOIN spots USING (vec_id)""",
+    "plot_tiles": """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label AS cluster, vec_id % 10 = 0 AS sel FROM embeddings),
+  e AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p),
+  s AS (SELECT vec_id, cluster, sel, zoom,
+      least(floor((x - lx) / (hx - lx) * 64), 63)::BIGINT // (8 // (2 ** zoom)::INT) AS gx,
+      least(floor((y - ly) / (hy - ly) * 64), 63)::BIGINT // (8 // (2 ** zoom)::INT) AS gy
+    FROM p, e, range(0, 4) z(zoom)),
+  k AS (SELECT zoom, gx, gy, cluster, count(*) AS n, count(*) FILTER (sel) AS m, min(vec_id) AS f FROM s GROUP BY ALL),
+  c AS (SELECT zoom, gx, gy, sum(n)::BIGINT AS n, sum(m)::BIGINT AS m, min(f) AS f,
+      (list(cluster ORDER BY n DESC, cluster))[1] AS cluster FROM k GROUP BY ALL)
+  SELECT zoom::INT AS zoom, (gx // 8)::INT AS tx, (gy // 8)::INT AS ty, sum(n)::BIGINT AS n_points, sum(m)::BIGINT AS n_selected,
+    count(*) AS n_cells, '[' || string_agg('{"cx":' || gx % 8 || ',"cy":' || gy % 8 || ',"n":' || n || ',"n_selected":' || m
+      || ',"cluster":' || cluster || ',"first_id":' || f || '}', ',' ORDER BY gx, gy) || ']' AS cells
+  FROM c GROUP BY 1, 2, 3""",
     "prompt_cross": f"WITH {CAPTIONS} SELECT conv_id, pos, r_name AS prompt FROM captions CROSS JOIN region",
+    "prompt_answers": f"""WITH {CAPTIONS} SELECT conv_id, pos, r_regionkey AS prompt_no, r_name AS prompt,
+    r_name || ': ' || caption AS answer FROM captions CROSS JOIN region""",
+    "caption_export_files": f"""WITH {CAPTIONS},
+  r AS (SELECT *, 'Photo Set ' || (conv_id % 5) AS name, conv_id % 2 = 0 AS hashed FROM captions),
+  k AS (SELECT *, CASE WHEN hashed THEN {FLUX.format('name')} ELSE trim(name) END AS label FROM r)
+  SELECT conv_id AS request, CASE WHEN contains(label, '_') THEN label || '_captions' ELSE 'captions' END AS folder,
+    {TXT} AS txt_name, arg_max(caption, pos) AS content FROM k GROUP BY 1, 2, 3""",
+    "unique_copy_names": """WITH d AS (SELECT doc_id, '/set/' || doc_id || '.png' AS path, 'out.d/IMG_' || doc_id % 300 AS base FROM documents)
+  SELECT doc_id, path, base || CASE WHEN path = min(path) OVER (PARTITION BY base) THEN '' ELSE '-' || substr(md5(path), 1, 12) END
+    || '.png' AS dest_name FROM d""",
     "cache_hits": "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "cache_misses": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "caption_list": f"""WITH {CAPTIONS} SELECT conv_id, pos, caption FROM captions""",

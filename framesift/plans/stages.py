@@ -25,6 +25,7 @@ from framesift.functions.models import (
     given,
     measured_images,
     model_input_udf,
+    prompts_udf,
     resize_udf,
 )
 from framesift.functions.geometry import MAX_DIMENSION
@@ -297,6 +298,22 @@ def model_caption(model: Callable) -> Column:
     return model(resize_udf(MAX_DIMENSION)("image"), F.col("prompt"))
 
 
+def captions_of_prompts(images: DataFrame, prompts: DataFrame, make_model: Callable | None = None, model_key: str = CAPTION_MODELS[0]) -> DataFrame:
+    """(image_id, filename, path, prompt_no, prompt, answer): every prompt (prompt_no, prompt) asked of every picture.
+
+    A picture that cannot be decoded has rows without answers. See ``captions.answer_prompts``.
+    """
+    # a deterministic UDF would be run twice: the optimizer repeats it in a filter of empty arrays
+    model = prompts_udf(make_model, model_key).asNondeterministic()
+
+    def answer(asked: Column) -> Column:
+        # arrays of different lengths would be padded: an undecodable picture answers null to each
+        return F.coalesce(model("image", asked), F.transform(asked, lambda _: F.lit(None).cast("string")))
+
+    rows = images.select("image_id", "filename", "path", "image")
+    return cap.answer_prompts(rows, prompts, answer, ["image"])
+
+
 def caption_selected(
     images: DataFrame,
     selected: DataFrame,
