@@ -50,8 +50,8 @@ class FileWriter(DataSourceWriter):
     """A task fills files in a folder of its attempt and moves them to their places when all are whole.
 
     So a lost or repeated task leaves no part of a file, and two attempts leave the same ones. Files of
-    finished tasks stay if the job fails; running it again replaces them. The job commit drops the
-    attempt folders and writes ``_SUCCESS``; the abort drops them only.
+    finished tasks stay if the job fails; running it again replaces them. Commit and abort of the
+    job drop the attempt folders; the folder holds the files of the table and no marker.
     """
 
     def __init__(self, folder: str):
@@ -91,9 +91,7 @@ class FileWriter(DataSourceWriter):
 
     def commit(self, messages: list) -> None:
         fs, root = self.drop_parts()
-        fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/_SUCCESS"):
-            pass
+        fs.create_dir(root, recursive=True)  # also of an empty table
 
     def abort(self, messages: list) -> None:
         self.drop_parts()

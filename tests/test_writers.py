@@ -36,7 +36,7 @@ def test_files_by_address(spark, tmp_path):
     for _ in range(2):
         write_files(files, f"file:{tmp_path}/out")
     out = tmp_path / "out"
-    assert tree(out) == {r[0] for r in rows} | {"_SUCCESS"}
+    assert tree(out) == {r[0] for r in rows}
     assert [p.name for p in out.iterdir() if p.name.startswith("_parts")] == []
     assert all((out / "a" / f"{i}.bin").read_bytes() == (tmp_path / "in" / f"{i}.bin").read_bytes() for i in range(20))
     assert (out / "t" / "ä.txt").read_text("utf-8") == "zwölf\n" and (out / "t" / "none.txt").read_bytes() == b""
@@ -61,7 +61,7 @@ def test_no_file_outside_the_folder(spark, tmp_path, dest):
 
 def test_empty_table_of_files(spark, tmp_path):
     write_files(spark.createDataFrame([], "dest string, content string"), str(tmp_path / "out"))
-    assert tree(tmp_path / "out") == {"_SUCCESS"}
+    assert tree(tmp_path / "out") == set() and (tmp_path / "out").is_dir()
 
 
 @pytest.mark.parametrize("parts", [1, 4])
@@ -85,7 +85,7 @@ def test_routes_of_two_folders(spark, tmp_path):
     images = read_images(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
     routes = stages.similarity_of_images(images).routes
     sinks.copy_files(sinks.route_files(routes, images, "image_id"), str(tmp_path / "out"))
-    found = sorted(tree(tmp_path / "out") - {"_SUCCESS"})
+    found = sorted(tree(tmp_path / "out"))
     assert len(found) == 2 and all(f.startswith("duplicate_images/zz") and f.endswith(".png") for f in found)
     assert {(tmp_path / "out" / f).read_bytes() for f in found} == {(tmp_path / d / "zz.png").read_bytes() for d in "ab"}
 
@@ -97,7 +97,7 @@ def test_export_name_is_the_folder(spark, tmp_path):
     )
     sinks.write_caption_files(cap.export_files(done), str(tmp_path))
     key = "JD_" + hashlib.sha1(b"Jane Doe").hexdigest()[:5]
-    assert tree(tmp_path) == {f"r1/{key}_captions/p.txt", "r2/captions/p.txt", "_SUCCESS"}
+    assert tree(tmp_path) == {f"r1/{key}_captions/p.txt", "r2/captions/p.txt"}
     assert (tmp_path / "r1" / f"{key}_captions" / "p.txt").read_text() == "last"
 
 
