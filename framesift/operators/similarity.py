@@ -3,13 +3,16 @@
 Vectors are divided into cells around pivots. Two vectors on different sides of the plane
 between two pivots are at least as far apart as either is from that plane, so a vector has
 to visit only the cells whose plane is nearer than the distance that belongs to the
-threshold. Pairs are compared inside cells, block against block, with one matrix product
-per pair of bounded blocks. Equal vectors are joined once, not copy by copy.
+threshold. A cell that is still too large is divided again around pivots of its own, so the
+pivots form a tree as deep as the data asks for. Pairs are compared inside cells, block
+against block, with one matrix product per pair of bounded blocks. Equal vectors are joined
+once, not copy by copy.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +27,11 @@ from framesift.session import save_table
 BLOCK_ROWS = 4096  # rows per block of a cell; a task holds two blocks
 CELL_ROWS = 50_000  # aimed at vectors per cell
 PIVOT_BYTES = 64 << 20  # bound on the pivot matrix shipped with the tasks
-MAX_PIVOTS = 1024
+MAX_PIVOTS = 1024  # pivots of the first level
+FANOUT = 32  # pivots of a cell that is divided again
+MAX_LEVELS = 11  # keeps cell numbers below 2^63: MAX_PIVOTS * 2 * FANOUT^10
+SPLIT_ROWS = 1024  # vectors placed at a time
+WORTH = 0.9  # a division is kept if it leaves at most this share of the pairs to compare
 SLACK = 1e-6  # keeps rounding from pruning a pair at the very border
 
 
@@ -82,7 +89,11 @@ def choose_pivots(vectors: DataFrame, n_rows: int, cell_rows: int = CELL_ROWS) -
     if len(rows) < 2:
         return None
     units = unit_rows(np.stack(rows.to_numpy()))
-    # farthest-first: each next pivot is the sample vector least similar to those chosen
+    return units[spread_out(units, wanted)]
+
+
+def spread_out(units: np.ndarray, wanted: int) -> list[int]:
+    """Farthest-first: each next pivot is the vector least similar to those chosen."""
     chosen = [0]
     nearest = units @ units[0]
     while len(chosen) < wanted:
@@ -91,37 +102,123 @@ def choose_pivots(vectors: DataFrame, n_rows: int, cell_rows: int = CELL_ROWS) -
             break
         chosen.append(far)
         nearest = np.maximum(nearest, units @ units[far])
-    return units[chosen]
+    return chosen
 
 
-def _cells_udf(pivots: np.ndarray, threshold: float):
+def visited_cells(units: np.ndarray, pivots: np.ndarray, threshold: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The home of each vector, and the other cells it has to visit."""
     radius = math.sqrt(2.0 - 2.0 * threshold) + SLACK
     apart = np.sqrt(np.maximum(2.0 - 2.0 * (pivots @ pivots.T), 0.0))
+    scores = units @ pivots.T
+    home = scores.argmax(axis=1)
+    lead = scores[np.arange(len(home)), home][:, None] - scores
+    visit = lead <= radius * apart[home]
+    # a pair across two cells meets in the higher one
+    visit &= np.arange(len(pivots))[None, :] > home[:, None]
+    return home.astype("int32"), [np.flatnonzero(v).astype("int32") for v in visit]
 
+
+def _cells_udf(pivots: np.ndarray, threshold: float):
     @F.pandas_udf("struct<home int, visits array<int>>")
     def cells(vec: pd.Series) -> pd.DataFrame:
-        scores = unit_rows(np.stack(vec.to_numpy())) @ pivots.T
-        home = scores.argmax(axis=1)
-        lead = scores[np.arange(len(home)), home][:, None] - scores
-        visit = lead <= radius * apart[home]
-        # a pair across two cells meets in the higher one
-        visit &= np.arange(len(pivots))[None, :] > home[:, None]
-        return pd.DataFrame(
-            {"home": home.astype("int32"), "visits": [np.flatnonzero(v).astype("int32") for v in visit]}
-        )
+        home, visits = visited_cells(unit_rows(np.stack(vec.to_numpy())), pivots, threshold)
+        return pd.DataFrame({"home": home, "visits": visits})
 
     return cells
 
 
+def vectors_of(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def cell_pivots(placed: DataFrame, big: DataFrame) -> DataFrame:
+    """(cell, flat, n_pivots): pivots of each cell in ``big`` (cell, _size, _wanted), from about 8 * FANOUT of its vectors."""
+    spot = F.pmod(F.xxhash64("id", "cell"), F.lit(1 << 30))
+    sample = placed.join(big, "cell").filter(spot <= F.lit(8.0 * FANOUT * (1 << 30)) / F.col("_size"))
+
+    def choose(key: tuple, table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("_spot").to_numpy(), kind="stable")
+        units = unit_rows(vectors_of(table.column("vec")))[order]
+        chosen = spread_out(units, table.column("_wanted")[0].as_py())
+        names, types = ["cell", "flat", "n_pivots"], [pa.int64(), pa.list_(pa.float64()), pa.int32()]
+        made = [[key[0].as_py()], [units[chosen].ravel()], [len(chosen)]]
+        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(made, types)], names=names)
+
+    chosen = sample.select("cell", "_wanted", spot.alias("_spot"), "vec").groupBy("cell")
+    return chosen.applyInArrow(choose, "cell long, flat array<double>, n_pivots int").filter(F.col("n_pivots") > 1)
+
+
+def divide_cells(placed: DataFrame, pivots: DataFrame, threshold: float, level: int) -> DataFrame:
+    """(id, vec, parent, cell, native): the members of cells with pivots (cell, flat, n_pivots, _size), in the cells below."""
+    chunks = F.ceil(F.col("_size") / SPLIT_ROWS).cast("int")
+    counts = pivots.select("cell", chunks.alias("_n"))
+    left = placed.join(counts, "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).drop("_n")
+    right = pivots.select("cell", "flat", "n_pivots", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    id_type = placed.schema["id"].dataType
+    vec_type = placed.schema["vec"].dataType
+    schema = pa.schema([
+        ("id", to_arrow_type(id_type)), ("vec", to_arrow_type(vec_type)), ("parent", pa.int64()), ("native", pa.int32()),
+        ("home", pa.int32()), ("visits", pa.list_(pa.int32())),
+    ])
+
+    def place(rows: pa.Table, chosen: pa.Table) -> pa.Table:
+        if not rows.num_rows or not chosen.num_rows:
+            return schema.empty_table()
+        points = np.asarray(chosen.column("flat")[0].values).reshape(chosen.column("n_pivots")[0].as_py(), -1)
+        home, visits = visited_cells(unit_rows(vectors_of(rows.column("vec"))), points, threshold)
+        return pa.Table.from_arrays(
+            [rows.column("id"), rows.column("vec"), rows.column("cell"), rows.column("native"), pa.array(home),
+             pa.array(visits, pa.list_(pa.int32()))], schema=schema,
+        )
+
+    spots = left.groupBy("cell", "chunk").cogroup(right.groupBy("cell", "chunk")).applyInArrow(
+        place, f"id {id_type.simpleString()}, vec {vec_type.simpleString()}, parent long, native int, home int, visits array<int>"
+    )
+    below = spots.select("id", "vec", "parent", "native", "home", F.explode(F.concat(F.array("home"), "visits")).alias("at"))
+    native = F.col("native") + F.when(F.col("at") == F.col("home"), 1 << level).otherwise(0)
+    return below.select("id", "vec", "parent", (F.col("parent") * FANOUT + F.col("at")).alias("cell"), native.alias("native"))
+
+
+def small_cells(placed: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
+    """(id, vec, cell, native, whole, _size) with cells of at most ``cell_rows``, where dividing helps.
+
+    ``native`` has a bit for each level at which the vector is at home in its cell. Two members of
+    a cell are a pair of that cell if at each level one of them is at home: ``whole`` has all these
+    bits. Levels are divided one after the other, all large cells of a level at once. A cell whose
+    division would leave more than WORTH of its pairs stays whole and is compared in blocks.
+    """
+    done = None
+    for level in range(1, MAX_LEVELS + 1):
+        sizes = save_table(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_size")), "sizes")
+        wanted = F.least(F.lit(FANOUT), F.ceil(F.col("_size") / cell_rows) + 1).cast("int").alias("_wanted")
+        big = sizes.filter(F.col("_size") > cell_rows).select("cell", "_size", wanted)
+        rest = placed.join(sizes, "cell").withColumn("whole", F.lit((1 << level) - 1))
+        if level == MAX_LEVELS or not big.head(1):
+            return rest if done is None else done.unionByName(rest)
+        pivots = save_table(cell_pivots(placed, big).join(big.select("cell", "_size"), "cell"), "pivots")
+        below = save_table(divide_cells(placed, pivots, threshold, level), "cells")
+        pairs = below.groupBy("parent", "cell").agg(F.count(F.lit(1)).alias("n")).groupBy("parent").agg(
+            F.sum(F.col("n").cast("double") * F.col("n")).alias("_left")
+        )
+        better = F.col("_left") <= F.lit(WORTH) * F.col("_size").cast("double") * F.col("_size")
+        split = save_table(pairs.join(big, pairs["parent"] == big["cell"]).filter(better).select("parent"), "split")
+        stay = rest.join(split.withColumnRenamed("parent", "cell"), "cell", "left_anti")
+        done = stay if done is None else done.unionByName(stay)
+        placed = below.join(split, "parent", "left_semi").drop("parent")
+    raise AssertionError("the last level returns")
+
+
 def _pair_kernel(threshold: float, id_type: pa.DataType):
     schema = pa.schema([("earlier", id_type), ("later", id_type), ("similarity", pa.float64())])
 
-    def pairs(table: pa.Table) -> pa.Table:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         n = table.num_rows
         ids = table.column("id").combine_chunks()
-        flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        unit = unit_rows(flat.reshape(n, -1))
-        home = table.column("is_home").to_numpy().astype(bool)
+        unit = unit_rows(vectors_of(table.column("vec")))
+        native = table.column("native").to_numpy()
+        whole = table.column("whole")[0].as_py()
         block = table.column("block").to_numpy()
         key = ids.to_numpy(zero_copy_only=False)
         rank = np.empty(n, dtype=np.int64)
@@ -129,26 +226,20 @@ def _pair_kernel(threshold: float, id_type: pa.DataType):
         low = np.flatnonzero(block == table.column("low")[0].as_py())
         high = np.flatnonzero(block == table.column("high")[0].as_py())
         same = table.column("low")[0] == table.column("high")[0]
-        left, right, value = [], [], []
         for at in range(0, len(low), 1024):
             part = low[at : at + 1024]
             sims = unit[part] @ unit[high].T
             keep = sims > threshold
-            keep &= home[part][:, None] | home[high][None, :]
+            keep &= (native[part][:, None] | native[high][None, :]) == whole
             if same:
                 keep &= rank[part][:, None] < rank[high][None, :]
             r, c = np.nonzero(keep)
-            left.append(part[r])
-            right.append(high[c])
-            value.append(sims[r, c])
-        left = np.concatenate(left) if left else np.empty(0, dtype=np.int64)
-        right = np.concatenate(right) if right else np.empty(0, dtype=np.int64)
-        value = np.concatenate(value) if value else np.empty(0)
-        swap = rank[left] > rank[right]
-        left, right = np.where(swap, right, left), np.where(swap, left, right)
-        return pa.Table.from_arrays(
-            [ids.take(pa.array(left)), ids.take(pa.array(right)), pa.array(value)], schema=schema
-        )
+            left, right = part[r], high[c]
+            swap = rank[left] > rank[right]
+            left, right = np.where(swap, right, left), np.where(swap, left, right)
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(left)), ids.take(pa.array(right)), pa.array(sims[r, c])], schema=schema
+            )
 
     return pairs
 
@@ -168,26 +259,24 @@ def distinct_pairs(
     threshold = check_threshold(threshold)
     pivots = choose_pivots(vectors, n_rows, cell_rows)
     if pivots is None:
-        placed = vectors.select("id", "vec", F.lit(0).alias("cell"), F.lit(True).alias("is_home"))
-        sizes = None
+        first = [F.lit(v).alias(c) for c, v in (("cell", 0), ("native", 1), ("whole", 1))]
+        placed = vectors.select("id", "vec", *first)
         n_blocks = F.lit(max(1, -(-n_rows // block_rows)))
     else:
         spot = vectors.withColumn("_at", _cells_udf(pivots, threshold)("vec"))
         cells = F.explode(F.concat(F.array("_at.home"), F.col("_at.visits")))
-        placed = spot.select("id", "vec", F.col("_at.home").alias("_home"), cells.alias("cell")).select(
-            "id", "vec", "cell", (F.col("cell") == F.col("_home")).alias("is_home")
+        placed = spot.select("id", "vec", F.col("_at.home").alias("_home"), cells.alias("_cell")).select(
+            "id", "vec", (F.col("_cell") + F.lit(MAX_PIVOTS)).cast("long").alias("cell"),
+            (F.col("_cell") == F.col("_home")).cast("int").alias("native"),
         )
-        placed = save_table(placed, "cells")
-        # one row per pivot, so at most MAX_PIVOTS rows
-        sizes = F.broadcast(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_size")))
-        placed = placed.join(sizes, "cell")
+        placed = small_cells(save_table(placed, "cells"), threshold, cell_rows)
         n_blocks = F.ceil(F.col("_size") / F.lit(block_rows))
     blocked = placed.withColumn("_n", n_blocks.cast("int")).withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")
     )
     meets = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    tasks = blocked.select("id", "vec", "cell", "is_home", "block", meets.alias("_other")).select(
-        "id", "vec", "cell", "is_home", "block",
+    tasks = blocked.select("id", "vec", "cell", "native", "whole", "block", meets.alias("_other")).select(
+        "id", "vec", "cell", "native", "whole", "block",
         F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"),
     )
     id_type = vectors.schema["id"].dataType

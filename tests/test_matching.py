@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framesift.operators import matching, rounds
+from framesift.operators import matching, rounds, similarity
 from framesift.operators.matching import connected_components, greedy_similar_pairs, number_pairs
 from framesift.operators.near_copies import twin_groups
 from framesift.operators.similarity import choose_pivots, cosine_pairs, distinct_pairs, equal_groups
@@ -139,6 +139,32 @@ def test_missing_and_empty(spark):
     assert greedy_similar_pairs(df, "id", "v", 0.5).count() == 0
 
 
+def test_cells_are_divided_until_small(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "MAX_PIVOTS", 2)
+    monkeypatch.setattr(similarity, "FANOUT", 4)
+    rng = np.random.default_rng(11)
+    vecs = rng.standard_normal((900, 3)) * rng.uniform(0.1, 9, (900, 1))
+    unit = vecs / np.linalg.norm(vecs, axis=1)[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T > 0.998, 1)))}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vec array<double>")
+    seen = []
+    whole = similarity.small_cells
+    monkeypatch.setattr(similarity, "small_cells", lambda *a: seen.append(whole(*a)) or seen[-1])
+    got = [(r["earlier"], r["later"]) for r in distinct_pairs(df, 0.998, len(vecs), cell_rows=60, block_rows=25).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    cells = seen[0].groupBy("cell").agg(F.max("_size").alias("n"), F.max("whole").alias("whole")).collect()
+    assert max(c["n"] for c in cells) <= 60
+    assert max(c["whole"] for c in cells) >= 7  # three levels or more
+
+
+def test_cell_that_cannot_be_divided_stays_whole(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "MAX_PIVOTS", 2)
+    vecs = 1 + 0.01 * np.random.default_rng(5).standard_normal((120, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vec array<double>")
+    got = [(r["earlier"], r["later"]) for r in distinct_pairs(df, 0.9, 120, cell_rows=20, block_rows=16).collect()]
+    assert len(got) == len(set(got)) == 120 * 119 // 2
+
+
 @pytest.mark.parametrize("sizes", [{}, {"block_rows": 20}, {"cell_rows": 25}, {"cell_rows": 40, "block_rows": 11}])
 def test_join_is_exact(spark, sizes):
     rows = mixed(3)
