@@ -8,10 +8,10 @@ from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framesift.caption_cache import CaptionCache, newest_versions
 from framesift.functions.hashing import average_hash_image
 from framesift.functions.models import (
     CAPTION_MODELS,
@@ -199,28 +199,13 @@ def export_plan(selected: DataFrame, images: DataFrame, id_col: str, method: str
     return images.select(id_col, "filename", "path").join(chosen, id_col).select(id_col, "path", dest.alias("dest_name"))
 
 
-CACHE_SCHEMA = "request_key string, version long, pos int, filename string, caption string"
-
-
-def read_cache(spark, path: str) -> DataFrame:
-    """Rows of the caption cache; empty before the first write."""
-    try:
-        return spark.read.schema(CACHE_SCHEMA).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], CACHE_SCHEMA)
-
-
 def known_requests(cache: DataFrame, keys: DataFrame) -> DataFrame:
     """Stored (request_key, version, n): the latest version of each wanted key in the cache.
 
     Only two narrow columns are read, and only wanted keys reach the aggregation.
     """
     versions = cache.select("request_key", "version").join(keys.select("request_key"), "request_key", "left_semi")
-    per_version = versions.groupBy("request_key", "version").agg(F.count(F.lit(1)).alias("n"))
-    newest = per_version.groupBy("request_key").agg(F.max(F.struct("version", "n")).alias("v"))
-    return save_table(newest.select("request_key", "v.version", "v.n"), "known")
+    return save_table(newest_versions(versions), "known")
 
 
 def caption_stage(
@@ -259,7 +244,8 @@ def caption_stage(
         keyed.groupBy("request_key", "identifier", "use_hash", "n_files").agg(F.min("request").alias("request")),
         "keys",
     )
-    cache = read_cache(files.sparkSession, cache_path)
+    store = CaptionCache(files.sparkSession, cache_path)
+    cache = store.read(keys)
     known = known_requests(cache, keys)
     switches = {"use_cache": use_cache, "force_refresh": force_refresh}
     hits = cap.cache_hits(known, keys, "request_key", **switches)
@@ -284,9 +270,7 @@ def caption_stage(
     old = join_to_unique(cache, hits, ["request_key", "version"], weight="n").select(*done.columns)
     result = save_table(old.unionByName(done), "captions")
     if done.head(1):
-        done.withColumn("version", F.lit(time.time_ns())).select(
-            "request_key", "version", "pos", "filename", "caption"
-        ).sortWithinPartitions("request_key").write.mode("append").parquet(cache_path)
+        store.append(done.withColumn("version", F.lit(time.time_ns())))
     # every request gets the rows of its key, also those that asked for the same
     return result.join(keyed.select("request_key", "request", "identifier", "use_hash"), "request_key").select(
         "request_key", "request", "identifier", "use_hash", "pos", "filename", "caption"
