@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, comb, pi
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,40 +15,52 @@ from framesift.llm.vectors import fitting_sample, matrix, same_length, usable
 from framesift.session import save_table
 
 COSINE = 0.9
-BITS = 64  # at every width of the vectors
-CHUNK_BITS = 16  # at most
+BITS = 64  # of a word of a code, at every width of the vectors
+MOST_WORDS = 12  # words of a code
+CHUNKS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 32)  # that a word may be cut into
 ERRORS = 2  # differing bits up to which two chunks share a key
 MISS = 0.03  # expected share of pairs at the threshold without a shared key, at most
-CODE_DISTANCE = 22  # of 64 bits, at least; a cosine of 0.9 gives about 9, unrelated vectors about 32
+SPREAD = 4.6  # standard deviations that the differing bits of a linked pair may lie above their mean
+MEETING_COST, SURVIVOR_COST = 0.02, 3.0  # of two codes compared, of a vector carried; a key stored and sorted is 1
+TRIAL_ROWS = 256  # vectors of the sample whose pairs give the share that meets by chance
 BLOCK_ROWS = 1024
+SPREAD_ROWS = 1024  # vectors whose keys a task lays out at a time
 ITERATIONS = 50
 SEED = 5
 
 
-def fit_rotation(sample: np.ndarray, iterations: int = ITERATIONS) -> np.ndarray:
-    """Projection dims x BITS: a rotation turned so that the signs of the vectors lose least.
+def fit_rotation(sample: np.ndarray, iterations: int = ITERATIONS, words: int = 1) -> np.ndarray:
+    """Projection dims x (BITS * words): rotations turned so that the signs of the vectors lose least.
 
     Alternates between the codes nearest to the turned points and the rotation nearest to the codes.
     The vectors are not centred: the signs are to tell the angle between the vectors themselves,
     which is acos(cosine) / pi of the bits. With fewer dims than BITS random rotations give the
     bits that are missing; with more, random directions keep the angles, which principal axes do not.
+    Each word has a rotation of its own, from another start.
     """
-    points = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    dims = points.shape[1]
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    dims = unit.shape[1]
     rng = np.random.default_rng(SEED)
-    axes = np.linalg.qr(rng.standard_normal((dims, min(BITS, dims))))[0]
-    points = points @ axes
-    turn, _ = np.linalg.qr(rng.standard_normal((points.shape[1], points.shape[1])))
-    for _ in range(iterations):
-        left, _, right = np.linalg.svd(np.where(points @ turn >= 0, 1.0, -1.0).T @ points)
-        turn = (left @ right).T
-    parts = [axes @ turn]
-    parts += [np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(-(-BITS // dims) - 1)]
-    return np.concatenate(parts, axis=1)[:, :BITS]
+    parts = []
+    for _ in range(words):
+        axes = np.linalg.qr(rng.standard_normal((dims, min(BITS, dims))))[0]
+        points = unit @ axes
+        turn, _ = np.linalg.qr(rng.standard_normal((points.shape[1], points.shape[1])))
+        for _ in range(iterations):
+            left, _, right = np.linalg.svd(np.where(points @ turn >= 0, 1.0, -1.0).T @ points)
+            turn = (left @ right).T
+        word = [axes @ turn]
+        word += [np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(-(-BITS // dims) - 1)]
+        parts.append(np.concatenate(word, axis=1)[:, :BITS])
+    return np.concatenate(parts, axis=1)
 
 
 def codes_of(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    return (x @ projection >= 0).astype(np.uint64) @ (np.uint64(1) << np.arange(projection.shape[1], dtype=np.uint64))
+    """The code of each row, in words of 64 bits: rows x words."""
+    place = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
+    return np.stack([
+        (x @ projection[:, at : at + BITS] >= 0).astype(np.uint64) @ place for at in range(0, projection.shape[1], BITS)
+    ], axis=1)
 
 
 def at_most(errors: int, bits: int, cosine: float) -> float:
@@ -57,18 +69,78 @@ def at_most(errors: int, bits: int, cosine: float) -> float:
     return sum(comb(bits, k) * flip**k * (1 - flip) ** (bits - k) for k in range(min(errors, bits) + 1))
 
 
-def chunk_sizes(cosine: float) -> list[int]:
-    """As few chunks as leave an expected miss of at most MISS at the threshold."""
-    for n in range(BITS // CHUNK_BITS, BITS // ERRORS + 1):
-        sizes = [BITS // n + (i < BITS % n) for i in range(n)]
-        if np.prod([1 - at_most(ERRORS, size, cosine) for size in sizes]) <= MISS:
-            break
-    return sizes
+def word_sizes(n: int) -> list[int]:
+    """Bits of the chunks of a word cut into n."""
+    return [BITS // n + (i < BITS % n) for i in range(n)]
 
 
-def allowed_distance(cosine: float) -> int:
-    """Differing bits beyond which at most one pair in 10,000 at the threshold lies."""
-    return next(t for t in range(CODE_DISTANCE, BITS + 1) if t == BITS or at_most(t, BITS, cosine) >= 1 - 1e-4)
+def layouts(cosine: float) -> list[list[int]]:
+    """Chunk sizes of every way to cut codes that leaves an expected miss of at most MISS at the threshold."""
+    out = []
+    for n in CHUNKS:
+        miss = np.prod([1 - at_most(ERRORS, size, cosine) for size in word_sizes(n)])
+        words = next((w for w in range(1, MOST_WORDS + 1) if miss**w <= MISS), None)
+        if words:
+            out += [word_sizes(n) * w for w in range(words, min(words + 2, MOST_WORDS) + 1)]
+    return out
+
+
+def n_keys(sizes: list[int]) -> int:
+    return sum(size + 1 for size in sizes)
+
+
+def chunk_sizes(cosine: float, n_rows: int = 0, sample: np.ndarray | None = None, code: np.ndarray | None = None) -> list[int]:
+    """Bits of the chunks: of all layouts the cheapest one for so many vectors.
+
+    Longer chunks need more tables to keep the miss and let fewer unrelated vectors meet, more words let
+    fewer of them pass as close. Both shares are counted on pairs of the sample that are no links, but
+    taken as no less than for codes of independent bits, as a sample cannot show small shares. So the
+    work per vector grows with a small power of their number and not with the number itself.
+    """
+    ways = layouts(cosine)
+    if not n_rows:
+        return min(ways, key=n_keys)
+    if sample is None:
+        return min(ways, key=lambda sizes: table_cost(sizes, n_rows, *shares_by_chance(sizes, cosine)))
+    ways = [sizes for sizes in ways if sum(sizes) <= BITS * code.shape[1]]
+    unit = sample[:TRIAL_ROWS] / np.linalg.norm(sample[:TRIAL_ROWS], axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(unit @ unit.T < cosine, 1))
+    code = code[:TRIAL_ROWS]
+    total = max(1, len(i))
+
+    def cost(sizes: list[int]) -> float:
+        words = sum(sizes) // BITS
+        differ = np.bitwise_count(code[i, :words] ^ code[j, :words]).sum(axis=1, dtype=np.int64)
+        close = differ <= allowed_distance(cosine, words)
+        met, passed, at = 0.0, 0.0, 0
+        for size in sizes:
+            word, shift = divmod(at, BITS)
+            mask = np.uint64(((1 << size) - 1) << shift)
+            near = np.bitwise_count((code[i, word] ^ code[j, word]) & mask) <= ERRORS
+            met, passed, at = met + near.sum() / total, passed + (near & close).sum() / total, at + size
+        by_chance = shares_by_chance(sizes, cosine)
+        return table_cost(sizes, n_rows, max(met, by_chance[0]), max(passed, by_chance[1]))
+
+    return min(ways, key=cost)
+
+
+def shares_by_chance(sizes: list[int], cosine: float) -> tuple[float, float]:
+    """Mean number of chunks at which codes of independent bits meet, and meet and pass as close."""
+    words = sum(sizes) // BITS
+    met = sum(at_most(ERRORS, size, 0.0) for size in sizes)
+    return met, met * at_most(allowed_distance(cosine, words), BITS * words, 0.0)
+
+
+def table_cost(sizes: list[int], n_rows: int, met: float, passed: float) -> float:
+    """Work per vector; two codes that differ in two bits of a chunk share two keys."""
+    carried = SURVIVOR_COST * min(n_keys(sizes), n_rows * passed)  # once a key, at most
+    return n_keys(sizes) * (1 + sum(sizes) / BITS / 4) + 2 * n_rows * met * MEETING_COST + carried
+
+
+def allowed_distance(cosine: float, words: int = 1) -> int:
+    """Differing bits of a code beyond which hardly a pair at the threshold lies."""
+    flip, bits = acos(max(-1.0, min(1.0, cosine))) / pi, BITS * words
+    return min(bits, int(bits * flip + SPREAD * sqrt(bits * flip * (1 - flip))))
 
 
 def canonical_keys(a: np.ndarray, b: np.ndarray, sizes: list[int]) -> np.ndarray:
@@ -79,8 +151,9 @@ def canonical_keys(a: np.ndarray, b: np.ndarray, sizes: list[int]) -> np.ndarray
     """
     out, at = np.full(len(a), -1, np.int64), 0
     for c, size in enumerate(sizes):
+        word, shift = divmod(at, BITS)
         mask = np.uint64((1 << size) - 1)
-        x, y = (a >> np.uint64(at)) & mask, (b >> np.uint64(at)) & mask
+        x, y = (a[:, word] >> np.uint64(shift)) & mask, (b[:, word] >> np.uint64(shift)) & mask
         differ = x ^ y
         n = np.bitwise_count(differ)
         low_bit = differ & (~differ + np.uint64(1))
@@ -93,27 +166,32 @@ def canonical_keys(a: np.ndarray, b: np.ndarray, sizes: list[int]) -> np.ndarray
 
 def table_rows(vectors: DataFrame, projection: np.ndarray, sizes: list[int]) -> DataFrame:
     """id, code, key: every key of every table within one bit of the vector's chunk."""
-    dims = projection.shape[0]
+    dims, words = projection.shape[0], projection.shape[1] // BITS
 
     def spread(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            code = codes_of(matrix(batch.column(1), dims), projection)
-            keys, at = [], 0
-            for c, size in enumerate(sizes):
-                value = ((code >> np.uint64(at)) & np.uint64((1 << size) - 1)).astype(np.int64) | (c << 32)
-                keys += [value, *[value ^ (1 << i) for i in range(size)]]
-                at += size
-            ids = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(ids, len(keys))), pa.array(np.tile(code.astype(np.int64), len(keys))), pa.array(np.concatenate(keys))],
-                names=["id", "code", "key"],
-            )
-
-    return vectors.select("id", "vec").mapInArrow(spread, "id long, code long, key long")
+        for whole in batches:
+            for low in range(0, whole.num_rows, SPREAD_ROWS):
+                batch = whole.slice(low, SPREAD_ROWS)
+                code = codes_of(matrix(batch.column(1), dims), projection)
+                keys, at = [], 0
+                for c, size in enumerate(sizes):
+                    word, shift = divmod(at, BITS)
+                    value = ((code[:, word] >> np.uint64(shift)) & np.uint64((1 << size) - 1)).astype(np.int64) | (c << 32)
+                    keys += [value, *[value ^ (1 << i) for i in range(size)]]
+                    at += size
+                ids = batch.column(0).to_numpy()
+                n = len(keys) * len(ids)
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.arange(0, (n + 1) * words, words, dtype=np.int32)),
+                    pa.array(np.tile(code.astype(np.int64), (len(keys), 1)).ravel()),
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.tile(ids, len(keys))), lists, pa.array(np.concatenate(keys))], names=["id", "code", "key"]
+                )
+
+    return vectors.select("id", "vec").mapInArrow(spread, "id long, code array<long>, key long")
 
 
 ORDER = ["key", "_i", "_j"]
@@ -121,11 +199,17 @@ ORDER = ["key", "_i", "_j"]
 
 def meetings(part, sizes: list[int], code_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of an Arrow table that are to be compared here and nowhere else."""
-    code = part.column("code").to_numpy().astype(np.uint64)
+    flat = part.column("code").combine_chunks().flatten().to_numpy()
+    code = flat.astype(np.uint64).reshape(part.num_rows, -1)
     key, own = part.column("key").to_numpy(), part.column("_at").to_numpy()
     diag = part.column("_i").to_numpy() == part.column("_j").to_numpy()
     for i, j in pairs_in_runs(group_starts(part, ORDER), part.num_rows):
-        meet = (diag[i] | (own[i] != own[j])) & (np.bitwise_count(code[i] ^ code[j]) <= code_distance)
+        meet = diag[i] | (own[i] != own[j])
+        for word in range(code.shape[1]):  # a single word already rules out most
+            i, j = i[meet], j[meet]
+            far = np.bitwise_count(code[i, word] ^ code[j, word]).astype(np.int64)
+            differ = far if word == 0 else differ[meet] + far
+            meet = differ <= code_distance
         i, j = i[meet], j[meet]
         here = canonical_keys(code[i], code[j], sizes) == key[i]
         yield i[here], j[here]
@@ -151,8 +235,13 @@ def linked_vectors(vectors: DataFrame, dims: int, cosine: float, block_rows: int
     their vectors and compared again. n sums the copies of linked vectors, root is the smallest
     id reachable in the block: what leaves a task grows with its rows, not with its pairs.
     """
-    projection = fit_rotation(fitting_sample(vectors, dims))
-    sizes, code_distance = chunk_sizes(cosine), allowed_distance(cosine)
+    sample = fitting_sample(vectors, dims)
+    n_rows = vectors.count()
+    # one word more than independent bits would need
+    projection = fit_rotation(sample, words=sum(chunk_sizes(cosine, n_rows)) // BITS + 1)
+    sizes = chunk_sizes(cosine, n_rows, sample, codes_of(sample[:TRIAL_ROWS], projection))
+    words = sum(sizes) // BITS
+    projection, code_distance = projection[:, : BITS * words], allowed_distance(cosine, words)
 
     def survivors(batches: Iterator) -> Iterator:
         for part in runs(batches, ORDER):
@@ -186,7 +275,7 @@ def linked_vectors(vectors: DataFrame, dims: int, cosine: float, block_rows: int
     rows = save_table(table_rows(vectors, projection, sizes), "itq-keys")
     blocks = in_blocks(rows, ["key"], F.col("id"), block_rows).select("key", "_i", "_j", "_at", "id", "code")
     alive = blocks.repartition(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(
-        survivors, "key long, _i int, _j int, _at int, id long, code long"
+        survivors, "key long, _i int, _j int, _at int, id long, code array<long>"
     )
     alive = save_table(alive, "itq-alive").join(vectors, "id")
     alive = alive.select(*ORDER, "_at", "id", "code", "copies", "vec").repartition(*ORDER).sortWithinPartitions(*ORDER)
@@ -200,11 +289,12 @@ def near_vectors(
     """vec_id, n_links, component_id, kept of every row of ``embeddings``.
 
     Vectors with a cosine of at least ``cosine`` are linked. A rotation learned on a bounded
-    sample gives each vector a code of 64 bits at every width, in chunks of at most 16; two vectors
+    sample (one for each word of 64 bits) gives each vector a code, cut into chunks; two vectors
     meet if some chunk differs in at most two bits (both are entered under all values within one
     bit), their codes must be within ``allowed_distance``, and their cosine is taken from the
-    original vectors in double precision. The number of chunks follows from ``cosine``: at the
-    threshold about 97 % of the pairs are expected to meet, more above. Vectors with a large common
+    original vectors in double precision. Number and length of the chunks follow from ``cosine``
+    and the number of vectors, see ``chunk_sizes``: at the threshold about 97 % of the pairs are
+    expected to meet at every size, more above. Vectors with a large common
     part are compared in almost all pairs. Buckets are compared in blocks of ``block_rows``; equal
     vectors are entered once.
 
