@@ -21,7 +21,7 @@ CHUNKS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 32)  # that a word may be cut into
 ERRORS = 2  # differing bits up to which two chunks share a key
 MISS = 0.03  # expected share of pairs at the threshold without a shared key, at most
 SPREAD = 4.6  # standard deviations that the differing bits of a linked pair may lie above their mean
-MEETING_COST, SURVIVOR_COST = 0.02, 3.0  # of two codes compared, of a vector carried; a key stored and sorted is 1
+MEETING_COST, SURVIVOR_COST = 0.2, 3.0  # of two codes compared, of a vector carried; a key stored and sorted is 1
 TRIAL_ROWS = 256  # vectors of the sample whose pairs give the share that meets by chance
 BLOCK_ROWS = 1024
 SPREAD_ROWS = 1024  # vectors whose keys a task lays out at a time
@@ -237,8 +237,8 @@ def linked_vectors(vectors: DataFrame, dims: int, cosine: float, block_rows: int
     """
     sample = fitting_sample(vectors, dims)
     n_rows = vectors.count()
-    # one word more than independent bits would need
-    projection = fit_rotation(sample, words=sum(chunk_sizes(cosine, n_rows)) // BITS + 1)
+    # up to two words more than independent bits would need
+    projection = fit_rotation(sample, words=sum(chunk_sizes(cosine, n_rows)) // BITS + 2)
     sizes = chunk_sizes(cosine, n_rows, sample, codes_of(sample[:TRIAL_ROWS], projection))
     words = sum(sizes) // BITS
     projection, code_distance = projection[:, : BITS * words], allowed_distance(cosine, words)
