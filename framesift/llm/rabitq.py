@@ -123,7 +123,8 @@ def nearest_vectors(
 
     Null, zero and non-finite vectors and rows without id take no part. Shorter vectors are filled up
     with zeros. Ties go to the smaller id; a query never finds a row with its own id. Of rows
-    repeated under one id each may be found. Further columns are ignored.
+    repeated under one id each may be found, and the least vector (component by component) asks. Further
+    columns are ignored.
     """
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     rows, dims = same_length(rows.filter(usable(F.col("vec")) & F.col("id").isNotNull()))
@@ -132,11 +133,12 @@ def nearest_vectors(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     centre, turn = fitting_sample(rows, dims).mean(axis=0), rotation(dims)
     index = build_index(rows, centre, turn)
-    asked = index.filter(is_query(F.col("id"))).select("id", "vec")
+    queries = index.filter(is_query(F.col("id"))).groupBy("id").agg(F.min("vec").alias("vec"))
+    asked = save_table(queries, "rabitq-queries")
     passes = max(1, -(-asked.count() // QUERIES_PER_PASS))
     found = spark.createDataFrame([], FOUND)
     for number in range(passes):
-        mine = asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == number).dropDuplicates(["id"]).toArrow()
+        mine = asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == number).toArrow()
         ids = mine.column("id").to_numpy()
         if len(ids):
             found = found.unionByName(scan(index, ids, matrix(mine.column("vec"), dims), centre, turn, k))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from framesift.llm import itq
+from framesift.llm import itq, rabitq
 
 
 def near_pairs(dims=64, n=3000, cosine=0.9):
@@ -49,3 +49,11 @@ def test_links_with_long_codes(spark, monkeypatch):
     assert sum(got[i].component_id == i % 150 for i in range(300)) >= 295
     assert all(r.n_links <= 1 for r in got.values())
     assert itq.near_vectors(table.filter(F.col("vec_id") < 1)).collect()[0].kept
+
+
+def test_repeated_query_ids_ask_with_the_least_vector(spark):
+    rows = [(100, [5.0, 0.0]), (100, [1.0, 9.0]), (1, [1.0, 9.5]), (2, [5.0, 0.25]), (3, [-4.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for parts in (1, 3, 5):
+        got = rabitq.nearest_vectors(table.repartition(parts), lambda i: i % 100 == 0, k=2).orderBy("rank").collect()
+        assert [(r.query_id, r.vec_id) for r in got] == [(100, 1), (100, 3)] and got[0].score == 0.5
