@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.functions.vectors import cosine
+from framesift.operators.arrivals import CHUNK_ROWS, DENSE_LINKS, match_arrivals, mean_links
 from framesift.operators.near_copies import twin_groups
 from framesift.operators.rounds import match_rounds
-from framesift.operators.similarity import check_threshold, equal_groups
+from framesift.operators.similarity import BLOCK_ROWS, check_threshold, equal_groups
 from framesift.operators.skew import join_to_unique, ordered_rank, ordered_slices
 from framesift.session import save_table
 
@@ -335,14 +336,19 @@ def greedy_similar_pairs(
     vec_col: str,
     threshold: float,
     task_rows: int = TASK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
+    dense_links: float = DENSE_LINKS,
     **sizes: int,
 ) -> DataFrame:
     """Stored (moved, kept, similarity): each image is in at most one pair.
 
-    Twins are merged first, so that a large group of near copies has no quadratic number of edges.
+    Vectors with ``dense_links`` partners or more in the mean are visited in chunks (``arrivals``). Else links are listed;
+    twins are merged first, so that a large group of near copies has no quadratic number of edges.
     """
     threshold = check_threshold(threshold)
-    vectors, groups, distinct, _ = equal_groups(df, id_col, vec_col)
+    vectors, groups, distinct, n_distinct = equal_groups(df, id_col, vec_col)
+    if mean_links(distinct, threshold, n_distinct) >= dense_links:
+        return match_arrivals(vectors, threshold, groups.count(), chunk_rows, sizes.get("block_rows", BLOCK_ROWS))
     groups, links = _merged_groups(groups, distinct, threshold, sizes)
     pairs = save_table(match_groups(groups, links, task_rows).select("moved", "kept"), "pairs")
     left = vectors.select(F.col("id").alias("moved"), F.col("vec").alias("mv"))

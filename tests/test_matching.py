@@ -240,3 +240,29 @@ def test_rounds_alone(spark, t, enough):
         assert pairs == walk(rows, t)
     else:
         assert set(pairs) < set(walk(rows, t)) and done.images.count() + done.links.count() <= enough
+
+
+@pytest.mark.parametrize("case", sorted(CASES))
+@pytest.mark.parametrize("sizes", [{}, {"chunk_rows": 23, "block_rows": 16}])
+def test_chunks_of_arrivals_are_the_walk(spark, case, sizes):
+    rows, t = CASES[case]
+    got = greedy_similar_pairs(frame(spark, rows), "id", "v", t, dense_links=0.0, **sizes).collect()
+    assert sorted((r.moved, r.kept) for r in got) == walk(rows, t)
+    at = dict(rows)
+    assert all(r.similarity == pytest.approx(cosine(at[r.moved], at[r.kept])) for r in got)
+
+
+def test_chunks_take_text_ids_and_skip_rows_without(spark):
+    rows = [(f"img{i:03d}", v) for i, v in mixed(4, 60)]
+    df = frame(spark, [*rows, (None, rows[3][1])], "string")
+    got = greedy_similar_pairs(df, "id", "v", 0.8, dense_links=0.0, chunk_rows=25)
+    assert sorted((r.moved, r.kept) for r in got.collect()) == walk(rows, 0.8)
+
+
+def test_many_partners_list_no_links(spark, monkeypatch):
+    """1,500 images with some 60 partners each: no link is listed, and no round is made."""
+    rows = crowd(1500, width=6)
+    t = 0.75
+    monkeypatch.setattr(matching, "twin_groups", None)
+    got = greedy_similar_pairs(frame(spark, rows), "id", "v", t, chunk_rows=400)
+    assert sorted((r.moved, r.kept) for r in got.collect()) == walk(rows, t)
