@@ -309,12 +309,15 @@ def cosine_pairs(df: DataFrame, id_col: str, vec_col: str, threshold: float, **s
 def with_copies(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs of distinct vectors with the pairs of copies they stand for, and a row per group of copies."""
     firsts = groups.filter(F.col("id") == F.col("rep")).select("rep", "copies")
-    left = firsts.select(F.col("rep").alias("earlier"), F.col("copies").alias("_a"))
-    right = firsts.select(F.col("rep").alias("later"), F.col("copies").alias("_b"))
-    across = edges.join(left, "earlier").join(right, "later").select(
-        "earlier", "later", "similarity", (F.col("_a") * F.col("_b")).alias("n_pairs")
+    # stored, so that the optimizer sees their size: without many copies the pairs are not shuffled
+    copied = save_table(firsts.filter(F.col("copies") > 1), "copied")
+    left = copied.select(F.col("rep").alias("earlier"), F.col("copies").alias("_a"))
+    right = copied.select(F.col("rep").alias("later"), F.col("copies").alias("_b"))
+    one = F.lit(1).cast("long")
+    across = edges.join(left, "earlier", "left").join(right, "later", "left").select(
+        "earlier", "later", "similarity", (F.coalesce("_a", one) * F.coalesce("_b", one)).alias("n_pairs")
     )
-    within = firsts.filter(F.col("copies") > 1).select(
+    within = copied.select(
         F.col("rep").alias("earlier"), F.col("rep").alias("later"), F.lit(1.0).alias("similarity"),
         (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("n_pairs"),
     )

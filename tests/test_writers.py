@@ -15,7 +15,7 @@ from framesift import sinks
 from framesift.file_sink import write_files
 from framesift.functions import models
 from framesift.operators import captions as cap
-from framesift.operators.lsh import lsh_pairs, tables_needed
+from framesift.operators.lsh import _candidates, bucket_pairs, lsh_pairs, tables_needed
 from framesift.operators.similarity import cosine_pairs
 from framesift.operators.tiles import plot_cells, plot_tiles
 from framesift.plans import stages
@@ -189,3 +189,29 @@ def test_approximate_pairs(spark, sizes, width, offset):
 def test_approximate_pairs_of_nothing(spark):
     assert lsh_pairs(spark.createDataFrame([], "id int, vec array<double>"), "id", "vec", 0.9).count() == 0
     assert tables_needed(0.85, 4) < tables_needed(0.85, 8) < tables_needed(0.5, 8)
+
+
+def test_parts_and_tables_give_the_same_pairs_and_carry_vectors_once_per_part(spark):
+    """Vectors are carried once per part, however many tables there are; pairs are those of the tables."""
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(700, 16)))] + [(800, [1.0] * 16), (801, [1.0] * 16)]
+    df = spark.createDataFrame(rows, "id int, vec array<double>")
+
+    def found(**sizes):
+        return {(r.earlier, r.later, r.n_pairs) for r in lsh_pairs(df, "id", "vec", 0.5, bucket_rows=64, **sizes).collect()}
+
+    tables = found(part_rows=2)
+    assert len(tables) > 500 and (800, 801, 1) not in tables and (800, 800, 1) in tables
+    assert tables == found() == found(part_rows=200)
+    one, two = (bucket_pairs(df, 0.5, 702, bucket_rows=64, **s)._jdf.queryExecution().analyzed().toString() for s in ({}, {"part_rows": 2}))
+    assert "table_no" not in one and "table_no" in two
+
+
+@pytest.mark.parametrize("offset", [0.0, 3.0])
+def test_buckets_and_whole_parts_give_each_pair_once(offset):
+    rng = np.random.default_rng(3)
+    vecs, normals = rng.normal(size=(300, 8)) + offset, rng.standard_normal((8, 12))
+    codes = (vecs @ normals > 0).reshape(300, 3, 4) @ (1 << np.arange(4))
+    wanted = {(a, b) for a in range(150) for b in range(150, 300) if (codes[a] == codes[b]).any()}
+    met = [(int(a), int(b)) for _, low, high in _candidates(codes, np.arange(150), np.arange(150, 300)) for a in low for b in high]
+    assert wanted <= set(met) and len(met) <= 150 * 150
