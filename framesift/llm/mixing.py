@@ -220,10 +220,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         F.sum(F.col("last") - F.col("first")).alias("words"),
     )
     # rows repeated in every column are one text here and several places in the line above
-    texts = docs.withColumn("mark", F.xxhash64("text", *others)).filter("text IS NOT NULL").dropDuplicates(["doc_id", "mark", "source"])
+    texts = docs.withColumn("mark", F.xxhash64("text", *others)).filter("text IS NOT NULL")
     texts = texts.withColumn("line", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn(
         "known", F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
     )
+    # by the keys of the join below, so that texts are shuffled once
+    texts = texts.dropDuplicates(["known", "mark", "line"])
     spans = spans.withColumn("known", F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).drop("doc_id")
     words = F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))
     cut = F.transform("spans", lambda s: F.array_join(F.slice("words", s["first"] + 1, s["last"] - s["first"]), " "))
