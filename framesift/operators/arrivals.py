@@ -14,6 +14,8 @@ Near copies and equal vectors need no care: at most one of a group is free at an
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,32 +30,37 @@ CHUNK_ROWS = 32_768  # images that one task visits in order
 CHUNK_BYTES = 256 << 20  # bound on their vectors
 PART_ROWS = 512  # images compared with the free ones at a time
 DENSE_LINKS = 20.0  # mean number of partners from which on chunks are the better way
+LISTED_LINKS = 200.0  # the same for the pairs that a list of links starts from
 SAMPLE_ROWS = 512
 SAMPLE_BYTES = 16 << 20  # bound on the sample shipped with the tasks
 
 
-def mean_links(vectors: DataFrame, threshold: float, n_rows: int) -> float:
-    """About the mean number of partners of a vector: those of a bounded sample, counted among all rows."""
+def mean_links(vectors: DataFrame, thresholds: Sequence[float], n_rows: int) -> list[float]:
+    """About the mean number of partners of a vector at each threshold: those of a bounded sample, counted among all rows."""
     first = vectors.first()
+    none = [0.0] * len(thresholds)
     if first is None:
-        return 0.0
+        return none
     wanted = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * len(first["vec"]))))
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     share = min(1.0, 4.0 * wanted / n_rows)
     few = vectors.filter(spot < int(share * (1 << 30)) + 1).orderBy(spot, "id").limit(wanted)
     rows = few.select("vec").toPandas()["vec"]  # at most SAMPLE_ROWS rows
     if not len(rows):
-        return 0.0
+        return none
     sample = unit_rows(np.stack(rows.to_numpy()))
 
     def count(batches):
         for batch in batches:
             if batch.num_rows:
                 unit = unit_rows(vectors_of(pa.chunked_array([batch.column(0)])))
-                yield pa.RecordBatch.from_arrays([pa.array([int((unit @ sample.T > threshold).sum())])], names=["hits"])
+                sims = unit @ sample.T
+                yield pa.RecordBatch.from_arrays([pa.array([int((sims > t).sum())]) for t in thresholds], names=names)
 
-    hits = vectors.select("vec").mapInArrow(count, "hits long").agg(F.sum("hits")).first()[0] or 0
-    return max(0.0, hits / len(sample) - 1.0)  # each vector meets itself
+    names = [f"hits{i}" for i in range(len(thresholds))]
+    counted = vectors.select("vec").mapInArrow(count, ", ".join(f"{x} long" for x in names))
+    hits = counted.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in names]).first()
+    return [max(0.0, n / len(sample) - 1.0) for n in hits]  # each vector meets itself
 
 
 def hits_of_free(now: DataFrame, free: DataFrame, threshold: float, n_now: int, block_rows: int) -> DataFrame:
@@ -158,10 +165,11 @@ def match_arrivals(
     # numbers follow the id, the partition is their upper part
     rows = save_table(cut.withColumn("row", F.monotonically_increasing_id()), "arrivals")
     free = rows.limit(0).select("row", "vec")
+    sizes = {r["number"]: r["count"] for r in rows.groupBy(F.shiftright("row", 33).alias("number")).count().collect()}  # a row per chunk
     found = None
     for number in range(n_chunks):
         now = rows.filter((F.col("row") >= number << 33) & (F.col("row") < (number + 1) << 33)).select("row", "vec")
-        hits = save_table(hits_of_free(now, free, threshold, now.count(), block_rows), "hits")
+        hits = save_table(hits_of_free(now, free, threshold, sizes.get(number, 0), block_rows), "hits")
         swept = save_table(visit_chunk(now, hits, threshold), "swept")
         pairs = swept.filter("kept IS NOT NULL").select("moved", "kept")
         found = pairs if found is None else found.unionByName(pairs)

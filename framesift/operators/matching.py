@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.functions.vectors import cosine
-from framesift.operators.arrivals import CHUNK_ROWS, DENSE_LINKS, match_arrivals, mean_links
-from framesift.operators.near_copies import twin_groups
+from framesift.operators.arrivals import CHUNK_ROWS, DENSE_LINKS, LISTED_LINKS, match_arrivals, mean_links
+from framesift.operators.near_copies import reach_of, twin_groups
 from framesift.operators.rounds import match_rounds
 from framesift.operators.similarity import BLOCK_ROWS, check_threshold, equal_groups
 from framesift.operators.skew import join_to_unique, ordered_rank, ordered_slices
@@ -338,16 +338,19 @@ def greedy_similar_pairs(
     task_rows: int = TASK_ROWS,
     chunk_rows: int = CHUNK_ROWS,
     dense_links: float = DENSE_LINKS,
+    listed_links: float = LISTED_LINKS,
     **sizes: int,
 ) -> DataFrame:
     """Stored (moved, kept, similarity): each image is in at most one pair.
 
-    Vectors with ``dense_links`` partners or more in the mean are visited in chunks (``arrivals``). Else links are listed;
+    Vectors with ``dense_links`` partners or more in the mean are visited in chunks (``arrivals``), and so are those with
+    ``listed_links`` or more within the reach of the clumps, all of which a list would start from. Else links are listed;
     twins are merged first, so that a large group of near copies has no quadratic number of edges.
     """
     threshold = check_threshold(threshold)
     vectors, groups, distinct, n_distinct = equal_groups(df, id_col, vec_col)
-    if mean_links(distinct, threshold, n_distinct) >= dense_links:
+    partners, listed = mean_links(distinct, (threshold, reach_of(threshold)), n_distinct)
+    if partners >= dense_links or listed >= listed_links:
         return match_arrivals(vectors, threshold, groups.count(), chunk_rows, sizes.get("block_rows", BLOCK_ROWS))
     groups, links = _merged_groups(groups, distinct, threshold, sizes)
     pairs = save_table(match_groups(groups, links, task_rows).select("moved", "kept"), "pairs")

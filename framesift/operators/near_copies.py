@@ -37,6 +37,12 @@ RADIUS_SHARE = 1 / 8  # clump radius as a share of the threshold angle
 SLACK = 1e-7
 
 
+def reach_of(threshold: float) -> float:
+    """The similarity down to which first members of clumps are compared and listed."""
+    theta = math.acos(threshold)
+    return math.cos(min(theta * (1 + 2 * RADIUS_SHARE) + SLACK, math.pi - SLACK))
+
+
 def _key_udf(width: int, radius: float):
     directions = np.random.default_rng(7).normal(size=(width, PROJECTIONS))
 
@@ -69,11 +75,10 @@ def clumps(vectors: DataFrame, width: int, radius: float) -> DataFrame:
     )
 
 
-def _compare_clumps(heads: DataFrame, wide: DataFrame, threshold: float, radius: float, sizes: dict) -> DataFrame:
+def _compare_clumps(heads: DataFrame, wide: DataFrame, threshold: float, sizes: dict) -> DataFrame:
     """Stored (a, b, sure): pairs of clumps that are similar for sure, or have to be looked into."""
     theta = math.acos(threshold)
-    reach = math.cos(min(theta + 2 * radius + SLACK, math.pi - SLACK))
-    pairs = save_table(distinct_pairs(heads, reach, heads.count(), **sizes), "heads")
+    pairs = save_table(distinct_pairs(heads, reach_of(threshold), heads.count(), **sizes), "heads")
     n_pairs = pairs.count()
     of_a = wide.select(F.col("clump").alias("earlier"), F.col("radius").alias("ra"))
     of_b = wide.select(F.col("clump").alias("later"), F.col("radius").alias("rb"))
@@ -189,7 +194,7 @@ def twin_groups(
     )
     firsts = members.filter(F.col("id") == F.col("clump")).select("id")
     heads = save_table(vectors.join(firsts, "id", "left_semi"), "heads")
-    verdicts = _compare_clumps(heads, wide, threshold, radius, {"block_rows": block_rows, **sizes})
+    verdicts = _compare_clumps(heads, wide, threshold, {"block_rows": block_rows, **sizes})
     unsure = verdicts.filter(~F.col("sure")).select("a", "b")
     if unsure.head(1):
         sums = save_table(_partner_checksums(members, vectors, wide, unsure, threshold, block_rows), "sums")

@@ -266,3 +266,11 @@ def test_many_partners_list_no_links(spark, monkeypatch):
     monkeypatch.setattr(matching, "twin_groups", None)
     got = greedy_similar_pairs(frame(spark, rows), "id", "v", t, chunk_rows=400)
     assert sorted((r.moved, r.kept) for r in got.collect()) == walk(rows, t)
+
+
+def test_many_within_reach_of_clumps_list_no_links(spark, monkeypatch):
+    """700 images with some two partners each, but a third of all within the reach of the clumps: no link is listed."""
+    rows = crowd(700, width=64)
+    monkeypatch.setattr(matching, "twin_groups", None)
+    got = greedy_similar_pairs(frame(spark, rows), "id", "v", 0.35, chunk_rows=300)
+    assert sorted((r.moved, r.kept) for r in got.collect()) == walk(rows, 0.35)
