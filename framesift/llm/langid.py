@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framesift.llm.common import giving_back
 from framesift.session import save_table
 
 DIMENSIONS = 1024
@@ -16,6 +17,7 @@ ORDER = 3
 SEED = 11
 UNKNOWN = "und"
 GRAM_ROWS = 2048  # gram vectors held at a time
+HELD_GRAMS = 1 << 18  # grams of texts held before they are counted
 PROFILE_BYTES = 256 << 20  # bound on the prototypes that reach the driver and every task
 
 _CODES = 0x110000
@@ -75,6 +77,32 @@ def gram_vectors(keys: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
     return out
 
 
+class GramCounts:
+    """Counts of grams; at most HELD_GRAMS, or those of one text, wait to be counted."""
+
+    def __init__(self):
+        self.gram, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.held.append(keys)
+        self.size += len(keys)
+        if self.size >= HELD_GRAMS:
+            self.counted()
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct grams, sorted, and how often each was added."""
+        if self.held:
+            fresh, n = np.unique(np.concatenate(self.held), return_counts=True)
+            self.held, self.size = [], 0
+            self.gram, at = np.unique(np.concatenate([self.gram, fresh]), return_inverse=True)
+            n = np.concatenate([self.n, n])
+            self.n = np.zeros(len(self.gram), np.int64)
+            np.add.at(self.n, at, n)
+        return self.gram, self.n
+
+
 def language_profiles(
     docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED
 ) -> dict[str, np.ndarray]:
@@ -89,13 +117,13 @@ def language_profiles(
         import pyarrow as pa
 
         for batch in batches:
-            per_lang: dict[str, list] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys = grams(text)
+            per_lang: dict[str, GramCounts] = {}
+            for text, lang in zip(batch.column(0), batch.column(1)):
+                keys = grams(text.as_py())
                 if len(keys):
-                    per_lang.setdefault(lang, []).append(keys)
-            for lang, keys in per_lang.items():
-                gram, n = np.unique(np.concatenate(keys), return_counts=True)
+                    per_lang.setdefault(lang.as_py(), GramCounts()).add(keys)
+            for lang, counts in per_lang.items():
+                gram, n = counts.counted()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(gram)), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"]
                 )
@@ -120,8 +148,8 @@ def language_profiles(
             )
 
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
-    counts = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    sums = counts.mapInArrow(bundle, "lang string, place int, value double")
+    counts = known.mapInArrow(giving_back(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = counts.mapInArrow(giving_back(bundle), "lang string, place int, value double")
     sums = sums.groupBy("lang", "place").agg(F.sum("value").alias("value")).groupBy("lang").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("profile")
     )
@@ -150,35 +178,32 @@ def identify_language(
         import pyarrow as pa
 
         for batch in texts:
-            batch = batch.to_pylist()
             pred, score = [UNKNOWN] * len(batch), np.zeros(len(batch))
-            found = [np.unique(grams(t), return_counts=True) for t in batch] if names else []
-            at = 0
-            while at < len(found):  # so many texts at a time that their gram vectors stay few
-                to, size = at, 0
-                while to < len(found) and (to == at or size + len(found[to][0]) <= 16 * GRAM_ROWS):
-                    size += len(found[to][0])
-                    to += 1
-                vocabulary = np.unique(np.concatenate([f[0] for f in found[at:to]]))
-                totals = np.zeros((to - at, dimensions), np.float32)
+            at = 0 if names else len(batch)
+            while at < len(batch):  # so many texts at a time that their gram vectors stay few
+                found, size = [], 0
+                while at + len(found) < len(batch) and size < 16 * GRAM_ROWS:
+                    found.append(np.unique(grams(batch[at + len(found)].as_py()), return_counts=True))
+                    size += len(found[-1][0])
+                vocabulary = np.unique(np.concatenate([f[0] for f in found]))
+                totals = np.zeros((len(found), dimensions), np.float32)
                 for low in range(0, len(vocabulary), GRAM_ROWS):
                     part = vocabulary[low : low + GRAM_ROWS]
                     vectors = gram_vectors(part, dimensions, seed).astype(np.float32)
-                    for i in range(at, to):
-                        keys, n = found[i]
+                    for i, (keys, n) in enumerate(found):
                         a, b = np.searchsorted(keys, [part[0], part[-1] + 1])
                         if b > a:
-                            totals[i - at] += n[a:b].astype(np.float32) @ vectors[np.searchsorted(part, keys[a:b])]
+                            totals[i] += n[a:b].astype(np.float32) @ vectors[np.searchsorted(part, keys[a:b])]
                 norm = np.maximum(np.linalg.norm(totals, axis=1), 1e-12)
                 cosine = (totals @ proto.T) / norm[:, None]
-                for i in range(at, to):
-                    if len(found[i][0]):
-                        best = int(np.argmax(cosine[i - at]))
-                        pred[i], score[i] = names[best], min(1.0, max(0.0, float(cosine[i - at, best])))
-                at = to
+                for i, (keys, _) in enumerate(found):
+                    if len(keys):
+                        best = int(np.argmax(cosine[i]))
+                        pred[at + i], score[at + i] = names[best], min(1.0, max(0.0, float(cosine[i, best])))
+                at += len(found)
             yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score)], names=["lang_pred", "score"])
 
-    guess = F.arrow_udf(predict_typed(predict), "lang_pred string, score double")
+    guess = F.arrow_udf(predict_typed(giving_back(predict)), "lang_pred string, score double")
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "_guess")]
     return docs.select(*kept, guess("text").alias("_guess")).select(*kept, "_guess.lang_pred", "_guess.score")
 

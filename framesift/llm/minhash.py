@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framesift.llm.common import group_starts, in_blocks, n_partitions, pairs_in_runs, runs
+from framesift.llm.common import giving_back, group_starts, in_blocks, n_partitions, pairs_in_runs, runs
 from framesift.llm.components import merged
 from framesift.operators.skew import ordered_rank
 from framesift.session import save_table
@@ -97,8 +97,9 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(mark, pa.int64()), pa.array(sig, pa.binary())],
                 names=["doc_id", "n_shingles", "set_hash", "sig"],
             )
+        _words.clear()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(giving_back(sign), SIGNED)
 
 
 def chunk_keys(sigs: DataFrame) -> DataFrame:
@@ -152,7 +153,7 @@ def shared_keys(classes: DataFrame) -> DataFrame:
         yield rows(key[-1:], rep[-1:], keep[-1:])
 
     dealt = keys.select("key", "rep", "hot").repartition(parts, "key", spread).sortWithinPartitions("key")
-    return save_table(dealt.mapInArrow(shared, "key long, rep long"), "minhash-shared")
+    return save_table(dealt.mapInArrow(giving_back(shared), "key long, rep long"), "minhash-shared")
 
 
 ORDER = ["key", "_diag", "_i", "_j"]
@@ -231,7 +232,7 @@ def block_candidates(rows: DataFrame, max_distance: int) -> DataFrame:
                 yield from part.select(["key", "rep", "component"]).take(np.flatnonzero(alive)).to_batches()
 
     rows = rows.select(*ORDER, "_at", "rep", "component", "sig").repartition(*ORDER).sortWithinPartitions(*ORDER)
-    return rows.mapInArrow(survivors, "key long, rep long, component long").distinct()
+    return rows.mapInArrow(giving_back(survivors), "key long, rep long, component long").distinct()
 
 
 def block_links(rows: DataFrame, max_distance: int, percent: int) -> DataFrame:
@@ -258,7 +259,7 @@ def block_links(rows: DataFrame, max_distance: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     rows = rows.select(*ORDER, "_at", "rep", "component", "sig", "set")
-    return rows.repartition(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(confirm, "a long, b long")
+    return rows.repartition(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(giving_back(confirm), "a long, b long")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -279,10 +280,11 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             found = [shingle_hashes(t, words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "set"])
+        _words.clear()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("text IS NOT NULL")
     texts = texts.join(save_table(ids, "minhash-used"), "rep", "left_semi")
-    return save_table(texts.mapInArrow(sets, "rep long, set binary"), "minhash-sets")
+    return save_table(texts.mapInArrow(giving_back(sets), "rep long, set binary"), "minhash-sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -300,7 +302,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(
         sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b"
     )
-    return save_table(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "minhash-links")
+    return save_table(joined.select("a", "b", "sa", "sb").mapInArrow(giving_back(check), "a long, b long"), "minhash-links")
 
 
 def labelled(shared: DataFrame, found: DataFrame | None) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import arrow_schema
+from framesift.llm.common import arrow_schema, giving_back
 from framesift.session import save_table
 
 MAX_TOKENS = 1024
@@ -140,7 +140,7 @@ def tokenised_pieces(
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
-    return save_table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES), "pieces")
+    return save_table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(cut), PIECES), "pieces")
 
 
 class OpenBins:
@@ -240,7 +240,7 @@ def pack_round(items: DataFrame, n_tasks: int, room: int) -> DataFrame:
 
     # dealt by a hash of the item: groups of even size whatever the documents are
     dealt = items.select("item", F.col("size").cast("int").alias("size"))
-    return dealt.repartition(n_tasks, F.xxhash64("item")).mapInArrow(pack, PLACED)
+    return dealt.repartition(n_tasks, F.xxhash64("item")).mapInArrow(giving_back(pack), PLACED)
 
 
 def packed_places(

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import arrow_schema
+from framesift.llm.common import arrow_schema, giving_back
 from framesift.operators.skew import join_to_unique
 from framesift.session import save_table
 
@@ -133,7 +133,7 @@ def found_entities(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of("text").alias("mark"), "text")
-    return save_table(rows.mapInArrow(find, FOUND), "private-found")
+    return save_table(rows.mapInArrow(giving_back(find), FOUND), "private-found")
 
 
 def mark_of(text: str) -> Column:
@@ -159,7 +159,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         if seen:
             yield rows(seen)
 
-    counted = docs.filter("text IS NOT NULL").select("text").mapInArrow(count, "term string, n long")
+    counted = docs.filter("text IS NOT NULL").select("text").mapInArrow(giving_back(count), "term string, n long")
     return counted.groupBy("term").agg(F.sum("n").alias("n"))
 
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import collections
+import ctypes
 import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framesift.llm import langid, minhash, mixing, packing, privacy
+from framesift.llm import common, langid, minhash, mixing, packing, privacy
 from framesift.llm.common import prepare
 
 RNG = random.Random(11)
@@ -153,3 +155,38 @@ def test_mixture_shuffles_texts_once(spark):
     by = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
     keys = [re.findall(r"(\w+)#", one) for one in by]
     assert ["doc_id", "mark", "source"] not in keys and ["known", "mark", "line"] in keys
+
+
+def test_grams_are_counted_in_small_lots(monkeypatch):
+    monkeypatch.setattr(langid, "HELD_GRAMS", 500)
+    lots = [langid.grams(prose(RNG.randint(1, 60))) for _ in range(200)]
+    counts, most = langid.GramCounts(), 0
+    for keys in lots:
+        counts.add(keys)
+        most = max(most, counts.size)
+    gram, n = counts.counted()
+    want = collections.Counter(np.concatenate(lots).tolist())
+    assert dict(zip(gram.tolist(), n.tolist())) == want and most < 500
+    assert (np.diff(gram) > 0).all() and not langid.GramCounts().counted()[0].size
+
+
+def test_workers_give_freed_memory_back():
+    if not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("not the GNU C library")
+    kept = []
+
+    def held_mb() -> float:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    def work(batches):
+        for n in batches:
+            blocks = [bytes(1000) for _ in range(n)]
+            kept.append(bytes(1000))  # stands above the freed blocks, so nothing is given back by itself
+            del blocks
+            yield n
+
+    assert list(work(iter([100_000]))) == [100_000]
+    before = held_mb()
+    assert list(common.giving_back(work)(iter([1, 100_000, 2]))) == [1, 100_000, 2]
+    assert before - held_mb() > 50
