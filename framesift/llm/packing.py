@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ SPLIT_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LONG_BLANKS = re.compile(f"[{BLANKS}]{{10000,}}")  # the encoder's pattern cannot step back over much longer runs
 
-PIECES = "doc_id long, item long, piece int, start long, length long, ids binary"
+PIECES = "doc_id long, item long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
 def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
@@ -107,9 +108,10 @@ def encoded(encode, text: str) -> list[int]:
 def tokenised_pieces(
     docs: DataFrame, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, tokenizer: str = TOKENIZER_FILE
 ) -> DataFrame:
-    """doc_id, item, piece, start, length, ids of every document (doc_id, text), stored.
+    """doc_id, item, piece, start, length, ids_crc32, ids of every document (doc_id, text), stored.
 
-    ids are little-endian unsigned 32-bit ids of the whole text and ``end_id``; a null text is
+    ids are those of the whole text and ``end_id``, little-endian: of 16 bits each in pieces whose ids are all
+    below 65,536, else of 32 (see ``widened``); ids_crc32 is of those of 32 bits. A null text is
     empty. Longer documents are cut into pieces of ``max_tokens``; what remains is their first
     piece. ``item`` numbers the pieces, also those of repeated rows; further columns are ignored;
     an empty table gives no piece. A text is encoded whole: a task holds its ids, some 40 bytes each.
@@ -126,14 +128,16 @@ def tokenised_pieces(
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encoded(encode, text or "")
                 ids.append(end_id)
-                data = np.array(ids, "<u4").tobytes()
+                ids = np.array(ids, "<u4")
                 first = (len(ids) - 1) % max_tokens + 1
                 start, piece = 0, 0
                 while start < len(ids):
                     n = max_tokens if piece else first
-                    held.append((doc_id, item, piece, start, n, data[4 * start : 4 * (start + n)]))
+                    part = ids[start : start + n]
+                    small = part.astype("<u2") if part.max() < 1 << 16 else part
+                    held.append((doc_id, item, piece, start, n, zlib.crc32(part.tobytes()), small.tobytes()))
                     start, piece, item = start + n, piece + 1, item + 1
-                size += len(data)
+                size += ids.nbytes
                 if size >= 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
                     held, size = [], 0
@@ -143,6 +147,21 @@ def tokenised_pieces(
     return save_table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(cut), PIECES), "pieces")
 
 
+def widened(pieces: DataFrame) -> DataFrame:
+    """``pieces`` (length, ids and any other columns) with all ids of 32 bits."""
+
+    def widen(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.get_field_index("ids")
+            rows = zip(batch.column("length").to_pylist(), batch.column(at).to_pylist())
+            ids = [x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes() for n, x in rows]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(ids, batch.schema.field(at).type))
+
+    return pieces.mapInArrow(giving_back(widen), pieces.schema)
+
+
 class OpenBins:
     """Bins of one task. ``count[g]`` is the number of open bins with gap g."""
 
@@ -286,15 +305,19 @@ def packed_places(
 
 
 def packed_pieces(docs: DataFrame, tokenizer: str = TOKENIZER_FILE) -> DataFrame:
-    """doc_id, piece, start, length, ids, sequence_id, offset of all documents (see the parts)."""
+    """doc_id, piece, start, length, ids, sequence_id, offset of all documents (see the parts).
+
+    ids are little-endian unsigned 32-bit ids; they are stored and shuffled in the shorter form of ``tokenised_pieces``.
+    """
     pieces = tokenised_pieces(docs, tokenizer=tokenizer)
-    return pieces.join(packed_places(pieces), "item").drop("item")
+    told = pieces.select("item", "doc_id", "piece", "start", "length", "ids")
+    return widened(told.join(packed_places(pieces), "item").drop("item"))
 
 
 def packing_report(docs: DataFrame) -> DataFrame:
     """``packed_pieces`` with the CRC-32 of the ids in their place."""
     pieces = tokenised_pieces(docs)
-    told = pieces.select("item", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    told = pieces.select("item", "doc_id", "piece", "start", "length", "ids_crc32")
     return told.join(packed_places(pieces), "item").drop("item")
 
 

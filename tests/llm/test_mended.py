@@ -7,6 +7,7 @@ import ctypes
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -190,3 +191,23 @@ def test_workers_give_freed_memory_back():
     before = held_mb()
     assert list(common.giving_back(work)(iter([1, 100_000, 2]))) == [1, 100_000, 2]
     assert before - held_mb() > 50
+
+
+def test_ids_are_kept_short_until_they_are_packed(spark):
+    """Token ids below 65,536 take two bytes where they are stored and shuffled, four in the result."""
+    docs = spark.createDataFrame([(i, f"text number {i} " * (300 * i)) for i in range(5)] + [(9, None)], "doc_id long, text string")
+    stored = {(r["doc_id"], r["piece"]): r for r in packing.tokenised_pieces(docs).collect()}
+    assert all(len(r["ids"]) == 2 * r["length"] for r in stored.values())
+    packed = packing.packed_pieces(docs).collect()
+    assert len(packed) == len(stored) > 6
+    for r in packed:
+        short = stored[r["doc_id"], r["piece"]]
+        assert bytes(r["ids"]) == np.frombuffer(short["ids"], "<u2").astype("<u4").tobytes() and len(r["ids"]) == 4 * r["length"]
+        assert zlib.crc32(r["ids"]) == short["ids_crc32"]
+
+
+def test_long_ids_stay_as_they_are(spark):
+    rows = [(1, 2, np.array([1, 65535], "<u2").tobytes()), (2, 2, np.array([1, 65536], "<u4").tobytes()), (3, 1, np.array([7], "<u2").tobytes())]
+    pieces = spark.createDataFrame(rows, "item long, length long, ids binary").coalesce(1)
+    got = {r["item"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.widened(pieces).collect()}
+    assert got == {1: [1, 65535], 2: [1, 65536], 3: [7]}
