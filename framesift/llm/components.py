@@ -9,11 +9,14 @@ from framesift.session import save_table
 
 
 def is_star_forest(edges: DataFrame) -> bool:
-    """Every node hangs on one other that hangs on none: then each star is a component."""
-    twice = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if twice.head(1):
-        return False
-    return not edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").head(1)
+    """Every node hangs on one other that hangs on none: then each star is a component.
+
+    One pass with one exchange: each edge is counted at its two ends.
+    """
+    hangs = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    holds = edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    ends = hangs.unionByName(holds).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not ends.filter("up > 1 OR (up = 1 AND down = 1)").head(1)
 
 
 def merged(known: DataFrame | None, links: DataFrame) -> DataFrame:

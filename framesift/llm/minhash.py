@@ -22,6 +22,7 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 BLOCK_ROWS = 2048  # rows of a block that holds signatures only
 SET_ROWS = 256  # rows of a block that holds full sets
+SLICE_PAIRS = 25_000  # pairs compared at once; a task holds less than 20 MB for them
 STAR_ROUNDS = 3
 SAMPLE_OF = 64  # one class of so many is looked at for hot keys
 HOT_SHARE = 1e-4
@@ -211,7 +212,7 @@ def close_pairs(part, max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarra
     sig = np.stack([np.frombuffer(x, "<u2") for x in part.column("sig").to_pylist()])
     comp, slot = part.column("component").to_numpy(), part.column("key").to_numpy() & SLOTS
     own, diag = part.column("_at").to_numpy(), part.column("_diag").to_numpy()
-    for i, j in pairs_in_runs(group_starts(part, ORDER), part.num_rows, 200_000):
+    for i, j in pairs_in_runs(group_starts(part, ORDER), part.num_rows, SLICE_PAIRS):
         meet = (comp[i] != comp[j]) & (diag[i] | (own[i] != own[j]))
         i, j = i[meet], j[meet]
         differ = sig[i] != sig[j]

@@ -7,13 +7,14 @@ import ctypes
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framesift.llm import common, langid, minhash, mixing, packing, privacy
+from framesift.llm import common, components, langid, minhash, mixing, packing, privacy
 from framesift.llm.common import prepare
 
 RNG = random.Random(11)
@@ -211,3 +212,34 @@ def test_long_ids_stay_as_they_are(spark):
     pieces = spark.createDataFrame(rows, "item long, length long, ids binary").coalesce(1)
     got = {r["item"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.widened(pieces).collect()}
     assert got == {1: [1, 65535], 2: [1, 65536], 3: [7]}
+
+
+def test_star_forest_is_told_in_one_query(spark, monkeypatch):
+    heads = []
+    frame = type(spark.range(0))
+    head = frame.head
+    monkeypatch.setattr(frame, "head", lambda self, *a: (heads.append(1), head(self, *a))[1])
+    for edges, forest in (([(2, 1), (3, 1), (9, 5)], True), ([], True), ([(2, 1), (3, 2)], False), ([(3, 1), (3, 2)], False)):
+        heads.clear()
+        assert components.is_star_forest(spark.createDataFrame(edges, "a long, b long")) == forest
+        assert len(heads) == 1
+
+
+def test_pairs_of_a_large_block_are_compared_in_small_slices():
+    """700 equal signatures in different components and 300 others: all pairs of the former, in little memory."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    same = rng.integers(0, 1 << 16, minhash.VALUES, np.uint16).astype("<u2").tobytes()
+    sigs = [same] * 700 + [rng.integers(0, 1 << 16, minhash.VALUES, np.uint16).astype("<u2").tobytes() for _ in range(300)]
+    zero = pa.array([0] * 1000, pa.int64())
+    part = pa.table({
+        "key": pa.array([minhash.SLOTS + 1] * 1000, pa.int64()), "_diag": pa.array([True] * 1000), "_i": zero, "_j": zero, "_at": zero,
+        "component": pa.array(range(1000), pa.int64()), "sig": pa.array(sigs, pa.binary()),
+    })
+    tracemalloc.start()
+    found = sum(len(i) for i, _ in minhash.close_pairs(part, minhash.MAX_DISTANCE))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 700 * 699 // 2
+    assert peak < 40e6
